@@ -1,13 +1,12 @@
 """SQL for the registered queries, written independently of the Spark code.
 
-Only the column rules of the sample are shared; every report is stated again here.
+Nothing is shared with it but the event vocabulary.
 """
 
 from __future__ import annotations
 
 from clickloom import taxonomy as tx
 from clickloom.functions.scalars import WHITESPACE
-from clickloom.sources import sample
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 WHOLE_FROM = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -62,15 +61,47 @@ def delta(c: str, p: str) -> str:
 
 EMAIL = f"coalesce({', '.join(prop(k) for k in tx.EMAIL_KEYS)}, CASE WHEN contains(user_id, '@') THEN user_id END)"
 
+# The sample's column rules; ``k`` is the integer in ``props``.
+EVENT_NAME = """CASE event_type
+  WHEN 'view' THEN CASE WHEN k < 60 THEN '$pageview' WHEN k < 70 THEN 'marketplace_doc_viewed'
+    WHEN k < 80 THEN 'faq_opened' WHEN k < 90 THEN 'playground_tab_changed' ELSE 'marketplace_preview_clicked' END
+  WHEN 'click' THEN CASE WHEN k < 15 THEN 'hero_cta_clicked' WHEN k < 30 THEN 'nav_link_clicked'
+    WHEN k < 50 THEN 'marketplace_details_clicked' WHEN k < 65 THEN 'blueprint_card_clicked'
+    WHEN k < 80 THEN 'button_clicked' ELSE 'engine_deploy_clicked' END
+  WHEN 'signup' THEN CASE WHEN k < 70 THEN '$pageview' ELSE 'user_identified' END
+  WHEN 'purchase' THEN CASE WHEN k < 25 THEN 'awc_lead_form_submitted' WHEN k < 35 THEN 'demo_form_submitted'
+    ELSE '$pageview' END
+  ELSE CASE WHEN k < 50 THEN '$pageview' ELSE 'unknown' END END"""
+SESSION_ID = "CASE WHEN k % 10 = 9 THEN NULL ELSE 'sess-' || u || '-' || CAST(floor((d - 1) / 3.0) AS INT) END"
+ANONYMOUS_ID = "CASE WHEN k % 20 = 19 THEN NULL WHEN u % 5 = 0 THEN 'anon-' || u || '-' || d ELSE 'anon-' || u END"
+USER_ID = """CASE WHEN event_type IN ('signup', 'purchase') AND k % 2 = 0
+  THEN 'user' || u || CASE WHEN k % 4 = 0 THEN '@example.com' ELSE '' END END"""
+PAGE_PATH = """CASE WHEN k % 8 = 7 THEN NULL WHEN k % 5 = 0 THEN '/' WHEN k % 5 = 1 THEN '/features'
+  WHEN k % 5 = 2 THEN '/playground' ELSE '/marketplace/' || (k % 6) END"""
+PROPERTIES = """CASE
+  WHEN event_name IN ('marketplace_details_clicked', 'blueprint_card_clicked', 'marketplace_doc_viewed',
+    'marketplace_preview_clicked') THEN '{"blueprint":"bp-' || (k % 7) || '"}'
+  WHEN event_name = 'button_clicked' THEN '{"button":"b' || (k % 4) || '"}'
+  WHEN event_name = 'hero_cta_clicked' THEN '{"target":"lead_form","label":"l' || (k % 3) || '"}'
+  WHEN event_name = 'nav_link_clicked' THEN '{"label":"n' || (k % 3) || '","href":"' ||
+    CASE WHEN k % 3 = 0 THEN '/features' ELSE '/' END || '"}'
+  WHEN event_name = 'faq_opened' THEN '{"question":"q' || (k % 5) || '"}'
+  WHEN event_name = 'engine_deploy_clicked' THEN '{"engine":"e' || (k % 4) || '"}'
+  WHEN event_name = 'playground_tab_changed' THEN '{"tab":"t' || (k % 3) || '"}'
+  WHEN event_name IN ('awc_lead_form_submitted', 'demo_form_submitted')
+    THEN '{"email":"u' || u || '@example.com"}'
+  WHEN event_name = '$pageview' THEN '{"path":"/p' || (k % 9) || '"}'
+  ELSE '{}' END"""
+
 #: Rows of the event table.
 ROWS = f"""base AS (
   SELECT event_id AS eid, ts AS t, user_id AS u, event_type, value,
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, day(ts) AS d FROM events),
-named AS (SELECT *, {sample.EVENT_NAME} AS event_name FROM base),
+named AS (SELECT *, {EVENT_NAME} AS event_name FROM base),
 clicks AS (
-  SELECT CAST(eid AS VARCHAR) AS event_id, 'p1' AS project_id, event_name, {sample.PROPERTIES} AS properties_json,
-    epoch_us(t) // 1000 AS event_timestamp, 'fixture' AS source, {sample.USER_ID} AS user_id,
-    {sample.ANONYMOUS_ID} AS anonymous_id, {sample.SESSION_ID} AS session_id, {sample.PAGE_PATH} AS page_path,
+  SELECT CAST(eid AS VARCHAR) AS event_id, 'p1' AS project_id, event_name, {PROPERTIES} AS properties_json,
+    epoch_us(t) // 1000 AS event_timestamp, 'fixture' AS source, {USER_ID} AS user_id,
+    {ANONYMOUS_ID} AS anonymous_id, {SESSION_ID} AS session_id, {PAGE_PATH} AS page_path,
     CAST(eid % 3 AS INTEGER) AS kafka_partition, eid // 3 AS kafka_offset, t AS received_at, eid, k, value, event_type
   FROM named)"""
 
@@ -130,7 +161,6 @@ def wire(field: str) -> str:
 
 
 WIRE_OBJECT = "CASE WHEN json_type(j, '$.{f}') = 'OBJECT' THEN CAST(json_extract(j, '$.{f}') AS VARCHAR) END"
-WIRE_TIME = f"coalesce(try_cast({wire('timestamp')} AS BIGINT), 0)"
 WIRE_TIME = f"CAST(trunc(try_cast({wire('timestamp')} AS DOUBLE)) AS BIGINT)"
 
 PARSED = f"""{MESSAGES},
@@ -259,8 +289,7 @@ def funnel_rows() -> str:
         selects.append(
             f"SELECT {i + 1} AS position, '{step}' AS step, '{label}' AS label, {step} AS sessions, {pct(step, base)} AS rate_pct FROM t"
         )
-    counts = ", ".join(f"count(*) FILTER (WHERE {s}) AS {s}" for s in
-                       [x if x != "pageview" else "pageview" for x in steps])
+    counts = ", ".join(f"count(*) FILTER (WHERE {s}) AS {s}" for s in steps)
     return f"t AS (SELECT count(*) AS n, {counts} FROM s)", " UNION ALL ".join(selects)
 
 
@@ -285,10 +314,10 @@ BUCKETS = ", ".join(
 
 VISITORS = f"""cur AS (SELECT DISTINCT anonymous_id FROM p WHERE period = 'current' AND nullif(anonymous_id, '') IS NOT NULL),
 prev AS (SELECT DISTINCT anonymous_id FROM p WHERE period = 'previous' AND nullif(anonymous_id, '') IS NOT NULL),
-mix AS (SELECT (SELECT count(*) FROM cur WHERE anonymous_id IN (SELECT anonymous_id FROM prev)) AS returning,
+mix AS (SELECT (SELECT count(*) FROM cur WHERE anonymous_id IN (SELECT anonymous_id FROM prev)) AS "returning",
   (SELECT count(*) FROM cur WHERE anonymous_id NOT IN (SELECT anonymous_id FROM prev)) AS new_visitors,
   (SELECT count(DISTINCT session_key) FROM p WHERE period = 'current' AND nullif(anonymous_id, '') IS NULL) AS unknown),
-mixed AS (SELECT *, returning + new_visitors + unknown AS total FROM mix)"""
+mixed AS (SELECT *, "returning" + new_visitors + unknown AS total FROM mix)"""
 
 BPS = f"bp AS (SELECT *, {first_prop(tx.BLUEPRINT_KEYS)} AS blueprint FROM w WHERE event_name IN {BLUEPRINT})"
 
@@ -399,8 +428,8 @@ f AS ({FUNNEL_SELECT}),
             **{n: f"count(*) FILTER (WHERE d >= {low}" + (f" AND d < {high}" if high is not None else "") + ")"
                for n, _, low, high in tx.CONVERT_BUCKETS}}, "conversions"),
         *single("visitor_mix", {
-            "returning": "returning", "new_visitors": "new_visitors", "unknown": "unknown", "total": "total",
-            "returning_rate_pct": pct("returning", "greatest(total, 1)"),
+            "returning": '"returning"', "new_visitors": "new_visitors", "unknown": "unknown", "total": "total",
+            "returning_rate_pct": pct('"returning"', "greatest(total, 1)"),
             "new_visitor_rate_pct": pct("new_visitors", "greatest(total, 1)")}, "mixed"),
         *single("session_summary", {
             "total": "count(*)", "converted": "count(*) FILTER (WHERE form_submit)",
@@ -473,19 +502,19 @@ def sql() -> dict[str, str]:
         "faq_leaderboard": board(f"coalesce({prop('question')}, event_name)", "opens", f"event_name IN {names(tx.FAQ)}", "question", 8),
         "engine_leaderboard": board(f"coalesce({first_prop(tx.ENGINE_KEYS)}, event_name)", "interactions", f"event_name IN {names(tx.PLAYGROUND)}", "engine", 8),
         "blueprint_leaderboard": board(first_prop(tx.BLUEPRINT_KEYS), "interactions", f"event_name IN {BLUEPRINT} AND {first_prop(tx.BLUEPRINT_KEYS)} IS NOT NULL", "blueprint", 8),
-        "blueprint_treemap": with_(f"""{WINDOWED}, {BPS}, box AS (SELECT blueprint, count(*) AS value, min(received_at) AS f
+        "blueprint_treemap": with_(f"""{WINDOWED}, {BPS}, box AS (SELECT blueprint, count(*) AS boxed, min(received_at) AS f
           FROM bp WHERE blueprint IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 3, 1 LIMIT 12)""",
-          """SELECT blueprint, value, (SELECT count(*) FROM bp WHERE blueprint IS NOT NULL) AS total,
-          round(value / (SELECT count(*) FROM bp WHERE blueprint IS NOT NULL) * 100, 1) AS share_pct, event_name AS event,
+          """SELECT blueprint, boxed AS value, (SELECT count(*) FROM bp WHERE blueprint IS NOT NULL) AS total,
+          round(boxed / (SELECT count(*) FROM bp WHERE blueprint IS NOT NULL) * 100, 1) AS share_pct, event_name AS event,
           regexp_replace(event_name, '^(marketplace_|blueprint_)', '') AS event_label, count(*) AS event_value
-          FROM bp JOIN box USING (blueprint) GROUP BY blueprint, value, event_name"""),
+          FROM bp JOIN box USING (blueprint) GROUP BY blueprint, boxed, event_name"""),
         "top_paths": with_(f"{WINDOWED}, {PATHS}", f"""SELECT path, sessions, converted, {pct('converted', 'sessions')} AS conversion_rate_pct
           FROM path_counts ORDER BY sessions DESC, converted DESC, f, path LIMIT 8"""),
         "time_to_convert": with_(f"{SESSIONS}, {CONVERT}", f"SELECT count(*) AS converted_sessions, {BUCKETS}, round_even(quantile_cont(d, 0.5), 1) AS median_seconds FROM conversions"),
         "time_to_convert_buckets": with_(f"{SESSIONS}, {CONVERT}, b AS (SELECT {BUCKETS} FROM conversions)", " UNION ALL ".join(
             f"SELECT '{n}' AS id, '{label}' AS label, \"{n}\" AS sessions FROM b" for n, label, _, _ in tx.CONVERT_BUCKETS)),
-        "visitor_mix": with_(f"{COMPARED}, {VISITORS}", f"""SELECT returning, new_visitors, unknown, total,
-          {pct('returning', 'greatest(total, 1)')} AS returning_rate_pct, {pct('new_visitors', 'greatest(total, 1)')} AS new_visitor_rate_pct FROM mixed"""),
+        "visitor_mix": with_(f"{COMPARED}, {VISITORS}", f"""SELECT "returning", new_visitors, unknown, total,
+          {pct('"returning"', 'greatest(total, 1)')} AS returning_rate_pct, {pct('new_visitors', 'greatest(total, 1)')} AS new_visitor_rate_pct FROM mixed"""),
         "returning_visitors": with_(f"{COMPARED}, {VISITORS}", "SELECT anonymous_id FROM cur INTERSECT SELECT anonymous_id FROM prev"),
         "new_visitors": with_(f"{COMPARED}, {VISITORS}", "SELECT anonymous_id FROM cur EXCEPT SELECT anonymous_id FROM prev"),
         "session_rows": with_(ROWS_OUT, "SELECT * FROM r"),
@@ -517,6 +546,11 @@ def sql() -> dict[str, str]:
         "event_page_meta": with_(EV, """SELECT CAST(50 AS INTEGER) AS "limit", CAST(100 AS INTEGER) AS "offset",
           greatest(0, least(50, count(*) - 100)) AS returned, count(*) AS total_matched FROM ev WHERE event_name = '$pageview'"""),
         "filter_by_user": with_(EV, "SELECT event_id, event_name, user_id FROM ev WHERE user_id = 'user12@example.com'"),
+        "new_since": with_(EV, f"""SELECT event_id, row_number() OVER (ORDER BY {RECENT_ORDER}) <= 50 AS is_new
+          FROM ev ORDER BY {RECENT_ORDER} LIMIT 100"""),
+        "live_snapshot": with_(COMPONENTS, f"""SELECT event_id, event_name, component, received_at, least(20, greatest(0, n - 10)) AS returned,
+          n AS total_matched, (SELECT count(*) FROM ev WHERE received_at >= {WHOLE_FROM}) AS events_in_window
+          FROM (SELECT *, count(*) OVER () AS n FROM evc WHERE event_name = 'faq_opened' ORDER BY {RECENT_ORDER} LIMIT 20 OFFSET 10)"""),
         "pageview_split": with_(EV, """SELECT count(*) FILTER (WHERE event_name = '$pageview') AS pageviews,
           count(*) FILTER (WHERE event_name <> '$pageview') AS custom_events FROM ev"""),
         "rates": with_(EV, rate_sql("ev", 5, 1)),
@@ -554,6 +588,10 @@ def sql() -> dict[str, str]:
         "preferred_topk": "SELECT p_partkey, p_name, p_size <= 3 AS popular FROM part ORDER BY p_size <= 3 DESC, lower(p_name), p_partkey LIMIT 20",
         "first_by_title": "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey LIMIT 3",
         "prefix_key": """SELECT p_partkey, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'group-one' WHEN p_brand LIKE 'Brand#2%' THEN 'group-two' END AS key FROM part""",
+        "event_table_scan": with_(WINDOWED, """SELECT event_id, project_id, event_name, properties_json, event_timestamp, source, user_id,
+          anonymous_id, session_id, raw_path AS page_path, kafka_partition, kafka_offset, received_at AS ingested_at
+          FROM w JOIN (SELECT event_id, page_path AS raw_path FROM clicks) USING (event_id)"""),
+        "load_history": with_(PARSED, f"SELECT {KEPT} FROM firsts"),
         "verify_table": with_(EV, f"""SELECT event_id, event_name, received_at AS ingested_at, (SELECT count(*) FROM ev) AS row_count
           FROM ev ORDER BY {RECENT_ORDER} LIMIT 10"""),
         "ingest_status": with_(EV, """SELECT 'partition' AS scope, kafka_partition, count(*) AS row_count, max(received_at) AS last_ingested_at,

@@ -6,6 +6,7 @@ comparisons take 15 days against the 15 before.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from clickloom.operators import (
     catalog, envelope, ingest_checks, insights, live, metrics, periods, sessionize, sessions,
 )
 from clickloom.plans import report
-from clickloom.sources import documents, sample
+from clickloom.sources import documents, kafka, sample
+from clickloom.sources import events as table_io
 from clickloom.streaming import jobs
 
 AS_OF = sample.AS_OF
@@ -142,8 +144,6 @@ def _pairs(column):
 @query
 def publish_messages(spark, sf_dir):
     """The value written to the log, read back as fields."""
-    from clickloom.sources import kafka
-
     shown = events(spark, sf_dir).select("event_id", "event_name", "user_id", "session_id", "page_path")
     value = F.col("value")
     return kafka.to_messages(shown).select(
@@ -373,6 +373,27 @@ def filter_by_user(spark, sf_dir):
     return rows.select("event_id", "event_name", "user_id")
 
 
+@query
+def new_since(spark, sf_dir):
+    """The newest page against the page shown 50 events earlier."""
+    rows = events(spark, sf_dir)
+    page, shown = live.page_events(rows, 100), live.page_events(rows, 50, 50)
+    last_seen = shown.agg(F.max("received_at")).scalar()
+    return live.new_since(page, last_seen, shown).select("event_id", "is_new")
+
+
+@query
+def live_snapshot(spark, sf_dir):
+    """The page of a snapshot of one event name with its page numbers."""
+    shot = live.live_snapshot(events(spark, sf_dir), AS_OF, name="faq_opened", limit=20, offset=10, seconds=WHOLE)
+    meta = shot["meta"]
+    return shot["events"].select(
+        "event_id", "event_name", "component", "received_at",
+        meta.select("returned").scalar().alias("returned"), meta.select("total_matched").scalar().alias("total_matched"),
+        shot["stats"].where("scope = 'all'").select("events").scalar().alias("events_in_window"),
+    )
+
+
 @query
 def pageview_split(spark, sf_dir):
     return insights.pageview_split(events(spark, sf_dir))
@@ -526,6 +547,25 @@ def prefix_key(spark, sf_dir):
 # State of the table
 
 
+@query
+def event_table_scan(spark, sf_dir):
+    """Create the partitioned table, append by column name, scan it back by date."""
+    name = f"events_{uuid.uuid4().hex[:12]}"
+    table_io.create_event_table(spark, name, location=runtime.run_dir(spark, "table"))
+    table_io.append_rows(sample.clickstream_rows(sample.read_events(spark, sf_dir)), name)
+    return table_io.scan_events(spark, name, 2 * DAYS, AS_OF)
+
+
+@query
+def load_history(spark, sf_dir):
+    """Parsed messages with their replays through the table, deduplicated on reading."""
+    name = f"events_{uuid.uuid4().hex[:12]}"
+    table_io.create_event_table(spark, name, location=runtime.run_dir(spark, "table"))
+    table_io.append_rows(parsed(spark, sf_dir), name)
+    rows = table_io.load_events(spark, f"history:{name}", 2 * DAYS, AS_OF)
+    return rows.select("event_id", "event_name", "kafka_partition", "kafka_offset", "received_at", "session_key")
+
+
 @query
 def verify_table(spark, sf_dir):
     rows = ingest_checks.verify_table(events(spark, sf_dir), 10)
@@ -642,12 +682,9 @@ def drained(spark, stream, mode):
 def stream_ingest(spark, sf_dir):
     folder = runtime.run_dir(spark, "ingest")
     messages = sample.raw_messages(event_stream(spark, sf_dir))
-
-    def parse(batch):
-        return envelope.parse_envelope(batch, "drop", ingested_at=F.col("event_timestamp"))
-
-    jobs.run_available(messages, jobs.append_batch(f"{folder}/table", parse), f"{folder}/checkpoint")
-    rows = spark.read.parquet(f"{folder}/table").drop("batch_id")
+    rows = envelope.parse_envelope(messages, "drop", ingested_at=F.col("event_timestamp"))
+    jobs.run_available(rows, jobs.append_batch(f"{folder}/table"), f"{folder}/checkpoint")
+    rows = spark.read.parquet(f"{folder}/table").drop("batch_id", "ingest_date")
     kept = envelope.dedupe_events(envelope.to_canonical(rows))
     return kept.select("event_id", "event_name", "kafka_partition", "kafka_offset", "received_at", "session_key")
 

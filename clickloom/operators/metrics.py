@@ -71,23 +71,32 @@ def events_by_type(events: DataFrame, window_seconds: float, as_of) -> DataFrame
     )
 
 
+def _named(counted: DataFrame, total: str) -> DataFrame:
+    """Drop the group without a component after the aggregation.
+
+    The counts skip ``-``, so that group is 0. A filter on the component itself would
+    be pushed below the aggregation and evaluate the whole label rule a second time.
+    """
+    return counted.where(F.col(total) > 0)
+
+
 def top_components(events: DataFrame, k: int = 12) -> DataFrame:
     """Most frequent (name, component) pairs; events without a component are left out."""
-    rows = _with_component(events).where(F.col("component") != "-")
-    return (
-        rows.groupBy("event_name", "component")
-        .agg(F.count("*").alias("total"), F.min("received_at").alias("_first"))
-        .orderBy(F.desc("total"), "_first", "event_name", "component")
-        .limit(k)
-        .drop("_first")
+    counted = (
+        _with_component(events)
+        .groupBy("event_name", "component")
+        .agg(F.count(F.nullif("component", F.lit("-"))).alias("total"), F.min("received_at").alias("_first"))
     )
+    ranked = _named(counted, "total").orderBy(F.desc("total"), "_first", "event_name", "component")
+    return ranked.limit(k).drop("_first")
 
 
 def component_rate(events: DataFrame, window_seconds: float, as_of) -> DataFrame:
     """Events per second of each component in the trailing window."""
     recent = periods.events_in_window(events, window_seconds, as_of)
-    rows = _with_component(recent).where(F.col("component") != "-")
-    return rows.groupBy("component").agg((F.count("*") / F.lit(float(window_seconds))).alias("per_second"))
+    total = F.count(F.nullif("component", F.lit("-"))).alias("total")
+    counted = _named(_with_component(recent).groupBy("component").agg(total), "total")
+    return counted.select("component", (F.col("total") / F.lit(float(window_seconds))).alias("per_second"))
 
 
 def error_rate(attempts: DataFrame, window_seconds: float, as_of, ts: str = "received_at") -> DataFrame:

@@ -107,18 +107,21 @@ def _by_age(rows: DataFrame, key: str, timeout: int, fold_limit: int = FOLD_LIMI
     So an event belongs to the start in its own slice, or to the last one before.
     """
     sliced = rows.withColumn("_slice", F.expr(f"_us div {timeout}"))
-    slices = _islands(sliced, key, timeout)
+    # written once: the summaries are read by every step below
+    slices = checkpointed(_islands(sliced, key, timeout))
     starts = slices.where("NOT _long AND _slice = _island_slice").select(key, F.col("_island").alias("_at"))
-    long_rows = sliced.select(key, "_slice", "_us").join(
-        slices.where("_long").select(key, "_slice", "_island", "_size", "_next_first"), [key, "_slice"]
-    )
-    starts = starts.unionByName(_folded(long_rows.where(F.col("_size") <= fold_limit), key, timeout))
 
-    # one number: the slices of the longest stretch that is too big to fold
-    widest = slices.where(F.col("_long") & (F.col("_size") > fold_limit)).agg(F.max("_slices")).first()[0]
+    foldable = F.col("_size") <= fold_limit
+    folds, widest = (
+        slices.where("_long").agg(F.count_if(foldable), F.max(F.when(~foldable, F.col("_slices")))).first()
+    )
+    if folds or widest:
+        summary = slices.where("_long").select(key, "_slice", "_island", "_size", "_next_first")
+        long_rows = sliced.select(key, "_slice", "_us").join(summary, [key, "_slice"])
+    if folds:
+        starts = starts.unionByName(_folded(long_rows.where(foldable), key, timeout))
     if widest:
-        big = long_rows.where(F.col("_size") > fold_limit)
-        starts = starts.unionByName(_doubled(big, key, timeout, widest))
+        starts = starts.unionByName(_doubled(long_rows.where(~foldable), key, timeout, widest))
 
     along = W.Window.partitionBy(key).orderBy("_slice")
     carried = (

@@ -85,7 +85,7 @@ def event_order() -> Column:
     return F.struct(*[F.col(c) for c in ORDER_COLUMNS])
 
 
-def table_ddl(table: str, fmt: str = "parquet") -> list[str]:
+def table_ddl(table: str, fmt: str = "parquet", location: str | None = None) -> list[str]:
     """Statements that create the database and the event table when absent.
 
     The table is partitioned by ingest date: every report filters on arrival time,
@@ -97,5 +97,7 @@ def table_ddl(table: str, fmt: str = "parquet") -> list[str]:
         layout = f"{columns}\n) USING iceberg PARTITIONED BY (days(ingested_at))"
     else:
         layout = f"{columns},\n  {PARTITION_COLUMN} date\n) USING {fmt} PARTITIONED BY ({PARTITION_COLUMN})"
+    if location:
+        layout += f" LOCATION '{location}'"
     statements = [f"CREATE DATABASE IF NOT EXISTS {database}"] if database else []
     return statements + [f"CREATE TABLE IF NOT EXISTS {table} (\n  {layout}"]

@@ -14,11 +14,13 @@ from clickloom.operators import envelope, periods
 DDL_ATTEMPTS = 3
 
 
-def create_event_table(spark: SparkSession, table: str, fmt: str = "parquet", wait_seconds: float = 5) -> None:
+def create_event_table(
+    spark: SparkSession, table: str, fmt: str = "parquet", location: str | None = None, wait_seconds: float = 5
+) -> None:
     """Create database and table when absent; the metastore gets three attempts."""
     for attempt in range(1, DDL_ATTEMPTS + 1):
         try:
-            for statement in schema.table_ddl(table, fmt):
+            for statement in schema.table_ddl(table, fmt, location):
                 spark.sql(statement)
             return
         except Exception:

@@ -6,7 +6,9 @@ can be checked against SQL over the same table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators import envelope
@@ -14,38 +16,57 @@ from clickloom.operators import envelope
 #: End of the sample's clock; the current week is the seven days before it.
 AS_OF = "2024-01-31 00:00:00"
 
-# CASE rules of the sample, valid in Spark and in other SQL engines.
-# ``k`` is the integer in ``props``, ``u`` the user id, ``d`` the day of the month.
-EVENT_NAME = """CASE event_type
-  WHEN 'view' THEN CASE WHEN k < 60 THEN '$pageview' WHEN k < 70 THEN 'marketplace_doc_viewed'
-    WHEN k < 80 THEN 'faq_opened' WHEN k < 90 THEN 'playground_tab_changed' ELSE 'marketplace_preview_clicked' END
-  WHEN 'click' THEN CASE WHEN k < 15 THEN 'hero_cta_clicked' WHEN k < 30 THEN 'nav_link_clicked'
-    WHEN k < 50 THEN 'marketplace_details_clicked' WHEN k < 65 THEN 'blueprint_card_clicked'
-    WHEN k < 80 THEN 'button_clicked' ELSE 'engine_deploy_clicked' END
-  WHEN 'signup' THEN CASE WHEN k < 70 THEN '$pageview' ELSE 'user_identified' END
-  WHEN 'purchase' THEN CASE WHEN k < 25 THEN 'awc_lead_form_submitted' WHEN k < 35 THEN 'demo_form_submitted'
-    ELSE '$pageview' END
-  ELSE CASE WHEN k < 50 THEN '$pageview' ELSE 'unknown' END END"""
-SESSION_ID = "CASE WHEN k % 10 = 9 THEN NULL ELSE 'sess-' || u || '-' || CAST(floor((d - 1) / 3.0) AS INT) END"
-ANONYMOUS_ID = """CASE WHEN k % 20 = 19 THEN NULL WHEN u % 5 = 0 THEN 'anon-' || u || '-' || d ELSE 'anon-' || u END"""
-USER_ID = """CASE WHEN event_type IN ('signup', 'purchase') AND k % 2 = 0
-  THEN 'user' || u || CASE WHEN k % 4 = 0 THEN '@example.com' ELSE '' END END"""
-PAGE_PATH = """CASE WHEN k % 8 = 7 THEN NULL WHEN k % 5 = 0 THEN '/' WHEN k % 5 = 1 THEN '/features'
-  WHEN k % 5 = 2 THEN '/playground' ELSE '/marketplace/' || (k % 6) END"""
-PROPERTIES = """CASE
-  WHEN event_name IN ('marketplace_details_clicked', 'blueprint_card_clicked', 'marketplace_doc_viewed',
-    'marketplace_preview_clicked') THEN '{"blueprint":"bp-' || (k % 7) || '"}'
-  WHEN event_name = 'button_clicked' THEN '{"button":"b' || (k % 4) || '"}'
-  WHEN event_name = 'hero_cta_clicked' THEN '{"target":"lead_form","label":"l' || (k % 3) || '"}'
-  WHEN event_name = 'nav_link_clicked' THEN '{"label":"n' || (k % 3) || '","href":"' ||
-    CASE WHEN k % 3 = 0 THEN '/features' ELSE '/' END || '"}'
-  WHEN event_name = 'faq_opened' THEN '{"question":"q' || (k % 5) || '"}'
-  WHEN event_name = 'engine_deploy_clicked' THEN '{"engine":"e' || (k % 4) || '"}'
-  WHEN event_name = 'playground_tab_changed' THEN '{"tab":"t' || (k % 3) || '"}'
-  WHEN event_name IN ('awc_lead_form_submitted', 'demo_form_submitted')
-    THEN '{"email":"u' || u || '@example.com"}'
-  WHEN event_name = '$pageview' THEN '{"path":"/p' || (k % 9) || '"}'
-  ELSE '{}' END"""
+# Event names of the sample per event type, each up to a bound of ``k``.
+NAMES = {
+    "view": (
+        (60, "$pageview"), (70, "marketplace_doc_viewed"), (80, "faq_opened"), (90, "playground_tab_changed"),
+        (100, "marketplace_preview_clicked"),
+    ),
+    "click": (
+        (15, "hero_cta_clicked"), (30, "nav_link_clicked"), (50, "marketplace_details_clicked"),
+        (65, "blueprint_card_clicked"), (80, "button_clicked"), (100, "engine_deploy_clicked"),
+    ),
+    "signup": ((70, "$pageview"), (100, "user_identified")),
+    "purchase": ((25, "awc_lead_form_submitted"), (35, "demo_form_submitted"), (100, "$pageview")),
+    "error": ((50, "$pageview"), (100, "unknown")),
+}
+# Properties of the sample by event name; ``u`` is filled in per row.
+PROPERTIES = {
+    "marketplace_details_clicked": lambda k: {"blueprint": f"bp-{k % 7}"},
+    "blueprint_card_clicked": lambda k: {"blueprint": f"bp-{k % 7}"},
+    "marketplace_doc_viewed": lambda k: {"blueprint": f"bp-{k % 7}"},
+    "marketplace_preview_clicked": lambda k: {"blueprint": f"bp-{k % 7}"},
+    "button_clicked": lambda k: {"button": f"b{k % 4}"},
+    "hero_cta_clicked": lambda k: {"target": "lead_form", "label": f"l{k % 3}"},
+    "nav_link_clicked": lambda k: {"label": f"n{k % 3}", "href": "/features" if k % 3 == 0 else "/"},
+    "faq_opened": lambda k: {"question": f"q{k % 5}"},
+    "engine_deploy_clicked": lambda k: {"engine": f"e{k % 4}"},
+    "playground_tab_changed": lambda k: {"tab": f"t{k % 3}"},
+    "awc_lead_form_submitted": lambda k: {"email": "u<u>@example.com"},
+    "demo_form_submitted": lambda k: {"email": "u<u>@example.com"},
+    "$pageview": lambda k: {"path": f"/p{k % 9}"},
+}
+RULE = "map<string,array<struct<name:string,properties:string,page:string>>>"
+
+
+def _page(k: int) -> str | None:
+    if k % 8 == 7:
+        return None
+    return ("/", "/features", "/playground")[k % 5] if k % 5 < 3 else f"/marketplace/{k % 6}"
+
+
+def _rule(event_type: str, k: int) -> dict:
+    name = next(n for bound, n in NAMES[event_type] if k < bound)
+    properties = PROPERTIES.get(name, lambda _: {})(k)
+    return {"name": name, "properties": json.dumps(properties, separators=(",", ":")), "page": _page(k)}
+
+
+def _rules() -> Column:
+    """Rules per event type and ``k`` as one constant, which stays small wherever
+    Spark copies it, unlike nested CASE expressions."""
+    table = {t: [_rule(t, k) for k in range(100)] for t in NAMES}
+    return F.from_json(F.lit(json.dumps(table)), RULE)
+
 
 def clickstream_rows(events: DataFrame) -> DataFrame:
     """Rows of the event table from the ``events`` test table."""
@@ -55,20 +76,26 @@ def clickstream_rows(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("u"),
         "event_type",
         "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-    ).withColumn("d", F.dayofmonth("t"))
-    named = base.withColumn("event_name", F.expr(EVENT_NAME))
-    return named.select(
+        F.regexp_extract("props", r"\d+", 0).cast("int").alias("k"),
+    )
+    k, u = F.col("k"), F.col("u").cast("string")
+    rule = F.get(F.element_at(_rules(), F.col("event_type")), k)
+    day = F.dayofmonth("t")
+    third = F.floor((day - 1) / 3).cast("string")
+    signed = F.col("event_type").isin("signup", "purchase") & (k % 2 == 0)
+    domain = F.when(k % 4 == 0, "@example.com").otherwise("")
+    rotating = F.when(F.col("u") % 5 == 0, F.concat(F.lit("-"), day.cast("string"))).otherwise("")
+    return base.select(
         F.col("eid").cast("string").alias("event_id"),
         F.lit("p1").alias("project_id"),
-        "event_name",
-        F.expr(PROPERTIES).alias("properties_json"),
+        rule["name"].alias("event_name"),
+        F.replace(rule["properties"], F.lit("<u>"), u).alias("properties_json"),
         F.unix_millis("t").alias("event_timestamp"),
         F.lit("fixture").alias("source"),
-        F.expr(USER_ID).alias("user_id"),
-        F.expr(ANONYMOUS_ID).alias("anonymous_id"),
-        F.expr(SESSION_ID).alias("session_id"),
-        F.expr(PAGE_PATH).alias("page_path"),
+        F.when(signed, F.concat(F.lit("user"), u, domain)).alias("user_id"),
+        F.when(k % 20 != 19, F.concat(F.lit("anon-"), u, rotating)).alias("anonymous_id"),
+        F.when(k % 10 != 9, F.concat(F.lit("sess-"), u, F.lit("-"), third)).alias("session_id"),
+        rule["page"].alias("page_path"),
         (F.col("eid") % 3).cast("int").alias("kafka_partition"),
         F.expr("eid div 3").alias("kafka_offset"),
         F.col("t").alias("kafka_timestamp"),

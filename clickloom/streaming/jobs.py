@@ -6,7 +6,7 @@ the client clock.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,35 +15,40 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from clickloom import schema
 from clickloom.functions import scalars as sf
 from clickloom.operators import live
+from clickloom.sources import events as table_io
 
 INGEST_INTERVAL = "30 seconds"
 COMMIT_INTERVAL = "60 seconds"
 LIVE_INTERVAL = "5 seconds"
 
 
-def append_batch(path: str, transform: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet"):
+def append_batch(path: str, fmt: str = "parquet"):
     """A ``foreachBatch`` writer that is safe to repeat.
 
-    Each batch owns the directory ``batch_id=<n>``; a replayed batch replaces its own
-    directory, so the files hold every row once. No counting pass over the batch:
-    row counts come from the query progress.
+    Every batch writes below its own ``batch_id``; a replayed batch replaces exactly
+    those directories, so the files hold every row once. Events are also split by
+    ingest date. Stamp ``ingested_at`` on the stream, where Spark keeps one clock
+    reading per batch, so that a replay finds the same date. No counting pass: row
+    counts come from the query progress.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if transform is None else transform(batch)
-        rows.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+        rows, parts = batch.withColumn("batch_id", F.lit(batch_id)), ["batch_id"]
+        if "ingested_at" in batch.columns:
+            rows = rows.withColumn(schema.PARTITION_COLUMN, F.to_date("ingested_at"))
+            parts = [schema.PARTITION_COLUMN, "batch_id"]
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*parts).format(fmt).save(path)
 
     return write
 
 
-def append_table(table: str, transform: Callable[[DataFrame], DataFrame] | None = None):
+def append_table(table: str):
     """A ``foreachBatch`` writer for a catalog table; repeats are removed at read time
     by ``dedupe_events``, since a plain append may run twice after a failure."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        from clickloom.sources import events as table_io
-
-        table_io.append_rows(batch if transform is None else transform(batch), table)
+        table_io.append_rows(batch, table)
 
     return write
 
@@ -105,9 +110,8 @@ def _finish(query: StreamingQuery, timeout: float | None) -> None:
 
 
 def last_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the highest ``batch_id`` directory; the partition filter reads only it."""
-    rows = spark.read.parquet(path)
-    return rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar()).drop("batch_id")
+    """Rows of the highest ``batch_id`` directory; no other one is opened."""
+    return spark.read.parquet(f"{path}/batch_id={_batch_before(spark, path)}")
 
 
 # Stateful operators
@@ -216,7 +220,7 @@ def keep_latest(path: str, n: int = live.BUFFER_SIZE):
     return write
 
 
-def _batch_before(spark: SparkSession, path: str, batch_id: int) -> int | None:
+def _batch_before(spark: SparkSession, path: str, batch_id: float = math.inf) -> int | None:
     """Highest batch number below ``batch_id`` that has a folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
