@@ -190,14 +190,12 @@ def compare_periods(spark, sf_dir):
 
 @query
 def activity_trends_daily(spark, sf_dir):
-    rows = windowed(spark, sf_dir)
-    return insights.activity_trends(rows, insights.first_activity(rows), hourly=False)
+    return insights.activity_trends(windowed(spark, sf_dir), hourly=False)
 
 
 @query
 def activity_trends_hourly(spark, sf_dir):
-    rows = windowed(spark, sf_dir)
-    return insights.activity_trends(rows, insights.first_activity(rows), hourly=True)
+    return insights.activity_trends(windowed(spark, sf_dir), hourly=True)
 
 
 @query

@@ -100,9 +100,17 @@ def actor_key(user_id: Column, anonymous_id: Column, session: Column) -> Column:
 
 
 def property_struct(properties_json: Column, keys: Iterable[str]) -> Column:
-    """The named properties as text, parsed once; all NULL for text that is no object."""
-    fields = T.StructType([T.StructField(k, T.StringType()) for k in dict.fromkeys(keys)])
-    return F.from_json(properties_json, fields)
+    """The named properties as text, parsed once; all NULL for text that is no object.
+
+    Text that mentions none of the keys is not parsed at all. A backslash may hide a
+    key behind an escape, so such text is always parsed.
+    """
+    names = list(dict.fromkeys(keys))
+    fields = T.StructType([T.StructField(k, T.StringType()) for k in names])
+    mentioned = F.contains(properties_json, F.lit("\\"))
+    for k in names:
+        mentioned |= F.contains(properties_json, F.lit(k))
+    return F.when(mentioned, F.from_json(properties_json, fields))
 
 
 def first_prop(props: Column, keys: Sequence[str]) -> Column:

@@ -6,7 +6,8 @@ keeps k rows per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +79,12 @@ def kpis_from(frame: DataFrame, actors: DataFrame, *by: str) -> DataFrame:
     parts = _session_totals(frame, by).unionByName(_actor_totals(actors, by), allowMissingColumns=True)
     names = [c for c in parts.columns if c not in by]
     total = parts.groupBy(*by).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in names])
-    viewed, all_sessions = (
-        F.greatest(F.col(c), F.lit(1)) for c in ("pageview_sessions", "sessions")
-    )
+    return _kpi_rates(total, *by)
+
+
+def _kpi_rates(total: DataFrame, *by: str) -> DataFrame:
+    """Rates of the KPIs; an empty base counts as 1."""
+    viewed, all_sessions = (F.greatest(F.col(c), F.lit(1)) for c in ("pageview_sessions", "sessions"))
     return total.select(
         *by,
         "sessions",
@@ -95,32 +99,47 @@ def kpis_from(frame: DataFrame, actors: DataFrame, *by: str) -> DataFrame:
 
 
 def kpis(events: DataFrame, *by: str, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
-    """KPIs straight from events.
+    """KPIs straight from events, in one scan.
 
-    One scan: events are first reduced to (session, actor) pairs, and both the
-    session and the actor totals read that shuffle.
+    Two grouping sets over the same rows: (session, page), which also answers whether
+    a session saw two pages, and (actor). All buffers are numbers, so every step
+    aggregates by hash.
     """
     form, pageview = is_in(taxonomy.form_submit), F.col("event_name") == taxonomy.pageview
     known = sf.present(F.col("user_id")).isNotNull() | is_in(taxonomy.identify)
-    path = sf.present(F.col("page_path"))
     flag = lambda c: F.max(F.when(c, F.lit(1)).otherwise(F.lit(0)))
-    pairs = events.groupBy(*by, "session_key", "actor_key").agg(
+    seen = ("has_pageview", "has_marketplace", "has_form_submit", "identified")
+    rows = events.withColumn("_page", sf.present(F.col("page_path")))
+    parts = rows.groupingSets(
+        [[*by, "session_key", "_page"], [*by, "actor_key"]], *by, "session_key", "_page", "actor_key"
+    ).agg(
         F.count("*").alias("event_count"),
+        F.sum(F.when(form, 1).otherwise(0)).alias("form_submissions"),
         flag(pageview).alias("has_pageview"),
         flag(is_in(taxonomy.marketplace)).alias("has_marketplace"),
         flag(form).alias("has_form_submit"),
-        F.sum(F.when(form, 1).otherwise(0)).alias("form_submissions"),
         flag(known).alias("identified"),
-        F.min(path).alias("low_path"),
-        F.max(path).alias("high_path"),
+        F.grouping("session_key").alias("is_actor"),
     )
-    frame = pairs.groupBy(*by, "session_key").agg(
-        *[F.max(c).alias(c) for c in ("has_pageview", "has_marketplace", "has_form_submit")],
+    both = parts.groupBy(*by, "is_actor", "session_key", "actor_key").agg(
+        *[F.max(c).alias(c) for c in seen],
         *[F.sum(c).alias(c) for c in ("event_count", "form_submissions")],
-        F.coalesce(F.min("low_path") != F.max("high_path"), F.lit(False)).alias("multi_page"),
+        (F.count("_page") >= 2).alias("multi_page"),
+    )
+    frame = F.col("is_actor") == 0
+    of_session = lambda c: F.sum(F.when(frame, F.col(c)))
+    total = both.groupBy(*by).agg(
+        F.count_if(frame).alias("sessions"),
+        F.count_if(~frame).alias("actors"),
+        F.sum(F.when(~frame, F.col("identified"))).alias("identified_users"),
+        of_session("form_submissions").alias("form_submissions"),
+        of_session("has_pageview").alias("pageview_sessions"),
+        of_session("has_marketplace").alias("marketplace_sessions"),
+        of_session("has_form_submit").alias("form_sessions"),
+        F.count_if(frame & F.col("multi_page")).alias("multi_page_sessions"),
+        F.count_if(frame & (F.col("event_count") >= ENGAGED_EVENTS)).alias("engaged_sessions"),
     )
-    actors = pairs.groupBy(*by, "actor_key").agg(F.max("identified").alias("identified"))
-    return kpis_from(frame, actors, *by)
+    return _kpi_rates(total.fillna(0), *by)
 
 
 def kpi_comparison(by_period: DataFrame) -> DataFrame:
@@ -161,23 +180,45 @@ def funnel(frame: DataFrame) -> DataFrame:
 # Activity
 
 
-def activity_trends(events: DataFrame, frame: DataFrame, hourly: bool) -> DataFrame:
-    """Events, sessions by first event and form submissions per UTC hour or day."""
-    form = is_in(tx.FORM_SUBMIT)
-    per_event = events.groupBy(sf.bucket_key(F.col("received_at"), hourly).alias("label")).agg(
-        F.count("*").alias("events"), F.count_if(form).alias("form_submissions")
+def activity_trends(events: DataFrame, hourly: bool) -> DataFrame:
+    """Events, sessions by first event and form submissions per UTC hour or day.
+
+    One scan with two grouping sets: buckets of events, and the start of each session.
+    """
+    rows = events.select(
+        sf.bucket_key(F.col("received_at"), hourly).alias("label"), "session_key", "received_at", "event_name"
     )
+    parts = rows.groupingSets([["label"], ["session_key"]], "label", "session_key").agg(
+        F.count("*").alias("events"),
+        F.count_if(is_in(tx.FORM_SUBMIT)).alias("form_submissions"),
+        F.min("received_at").alias("started"),
+        F.grouping("label").alias("is_session"),
+    )
+    session = F.col("is_session") == 1
+    label = F.when(session, sf.bucket_key(F.col("started"), hourly)).otherwise(F.col("label"))
+    return parts.groupBy(label.alias("label")).agg(
+        F.coalesce(F.sum(F.when(~session, F.col("events"))), F.lit(0)).alias("events"),
+        F.count_if(session).alias("sessions"),
+        F.coalesce(F.sum(F.when(~session, F.col("form_submissions"))), F.lit(0)).alias("form_submissions"),
+    ).orderBy("label")
+
+
+def hourly_activity(events: DataFrame) -> DataFrame:
+    """Events and form submissions per hour, the base of trends and heatmap."""
+    return events.groupBy(F.date_trunc("hour", "received_at").alias("hour_start")).agg(
+        F.count("*").alias("events"), F.count_if(is_in(tx.FORM_SUBMIT)).alias("form_submissions")
+    )
+
+
+def trends_from(hours: DataFrame, frame: DataFrame, hourly: bool) -> DataFrame:
+    """``activity_trends`` from hourly counts and a session frame."""
+    per_event = hours.select(sf.bucket_key(F.col("hour_start"), hourly).alias("label"), "events", "form_submissions")
     per_session = frame.groupBy(sf.bucket_key(F.col("first_activity_at"), hourly).alias("label")).agg(
         F.count("*").alias("sessions")
     )
     return align_buckets(per_event, per_session, key="label", values=("events", "sessions", "form_submissions"))
 
 
-def first_activity(events: DataFrame) -> DataFrame:
-    """Smallest session frame: when each session began."""
-    return events.groupBy("session_key").agg(F.min("received_at").alias("first_activity_at"))
-
-
 def align_buckets(*series: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Outer alignment of bucketed counts, missing ones 0, in key order."""
     rows = series[0]
@@ -194,11 +235,15 @@ def is_hourly(window_seconds: float) -> bool:
 
 def activity_heatmap(events: DataFrame) -> DataFrame:
     """All 168 weekday and hour cells (Monday 0, UTC) with counts and the maximum."""
-    t = F.col("received_at")
-    counts = events.groupBy(F.weekday(t).alias("weekday"), F.hour(t).alias("hour")).agg(
-        F.count("*").alias("events")
+    return heatmap_from(hourly_activity(events))
+
+
+def heatmap_from(hours: DataFrame) -> DataFrame:
+    t = F.col("hour_start")
+    counts = hours.groupBy(F.weekday(t).alias("weekday"), F.hour(t).alias("hour")).agg(
+        F.sum("events").alias("events")
     )
-    cells = events.sparkSession.range(168, numPartitions=1).select(
+    cells = hours.sparkSession.range(168, numPartitions=1).select(
         F.expr("CAST(id DIV 24 AS INT)").alias("weekday"),
         F.expr("CAST(id % 24 AS INT)").alias("hour"),
         F.lit(0).cast("long").alias("events"),
@@ -218,70 +263,124 @@ def activity_heatmap(events: DataFrame) -> DataFrame:
 # Leaderboards
 
 
-def top_pages(events: DataFrame, k: int = 8, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
-    viewed = events.where(
-        (F.col("event_name") == taxonomy.pageview) & sf.present(F.col("page_path")).isNotNull()
+@dataclass(frozen=True)
+class Board:
+    """A ranked list: which events count, under which label, and how to name both."""
+
+    names: Callable[[tx.Taxonomy], Sequence[str] | None]
+    keys: Sequence[str]
+    label: Callable[[Column, Column], Column]
+    column: str
+    count: str
+    size: int
+
+
+#: ``label`` gets the event name and the first non-blank of the listed properties.
+BOARDS = {
+    "top_pages": Board(lambda t: (t.pageview,), (), lambda name, prop: sf.present(F.col("page_path")), "path", "views", 8),
+    "top_events": Board(lambda t: None, (), lambda name, prop: name, "name", "count", 10),
+    "cta_leaderboard": Board(
+        lambda t: t.cta_leaderboard, tx.CTA_KEYS, lambda name, prop: F.concat_ws(" · ", name, prop), "label", "clicks", 8
+    ),
+    "faq_leaderboard": Board(
+        lambda t: t.faq, tx.FAQ_KEYS, lambda name, prop: F.coalesce(prop, name), "question", "opens", 8
+    ),
+    "engine_leaderboard": Board(
+        lambda t: t.playground, tx.ENGINE_KEYS, lambda name, prop: F.coalesce(prop, name), "engine", "interactions", 8
+    ),
+    "blueprint_leaderboard": Board(
+        lambda t: t.blueprint_interaction, tx.BLUEPRINT_KEYS, lambda name, prop: prop, "blueprint", "interactions", 8
+    ),
+}
+
+
+def board_counts(events: DataFrame, *boards: str, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+    """Counts per board, label and event name: all boards from one scan and one shuffle.
+
+    For a single board its event names reach the file scan as a filter.
+    """
+    boards = boards or tuple(BOARDS)
+    keys = [k for b in boards for k in BOARDS[b].keys]
+    counted = [BOARDS[b].names(taxonomy) for b in boards]
+    if all(n is not None for n in counted):
+        events = events.where(is_in({name for n in counted for name in n}))
+    rows = events.withColumn("_p", sf.property_struct(F.col("properties_json"), keys)) if keys else events
+    entries = []
+    for board in boards:
+        spec, chosen = BOARDS[board], BOARDS[board].names(taxonomy)
+        prop = sf.first_prop(F.col("_p"), spec.keys) if spec.keys else None
+        entry = F.struct(F.lit(board).alias("board"), spec.label(F.col("event_name"), prop).alias("label"))
+        entries.append(entry if chosen is None else F.when(is_in(chosen), entry))
+    tall = rows.select("event_name", "received_at", F.explode(F.array(*entries)).alias("e"))
+    return (
+        tall.select("event_name", "received_at", "e.board", "e.label")
+        .where("label IS NOT NULL")
+        .groupBy("board", "label", "event_name")
+        .agg(F.count("*").alias("n"), F.min("received_at").alias("first"))
     )
-    return top_k(viewed.withColumnRenamed("page_path", "path"), "path", k, "views")
 
 
-def top_events(events: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(events.withColumnRenamed("event_name", "name"), "name", k)
+def board_top(counts: DataFrame, board: str, k: int | None = None) -> DataFrame:
+    """The ``k`` largest labels of a board; ties go to the one seen first, then by label."""
+    spec = BOARDS[board]
+    labels = counts.where(F.col("board") == board).groupBy("label").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first")
+    )
+    top = labels.orderBy(F.desc("n"), "first", "label").limit(spec.size if k is None else k)
+    return top.select(F.col("label").alias(spec.column), F.col("n").alias(spec.count))
+
 
+def leaderboard(events: DataFrame, board: str, k: int | None = None, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+    return board_top(board_counts(events, board, taxonomy=taxonomy), board, k)
 
-def _labelled(events: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Events of a class with ``prop``, the first non-blank of the listed properties."""
-    chosen = events.where(is_in(names)).withColumn("_p", sf.property_struct(F.col("properties_json"), keys))
-    return chosen.withColumn("prop", sf.first_prop(F.col("_p"), keys)).drop("_p")
 
+def top_pages(events: DataFrame, k: int = 8) -> DataFrame:
+    return leaderboard(events, "top_pages", k)
 
-def cta_leaderboard(events: DataFrame, k: int = 8, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
-    rows = _labelled(events, taxonomy.cta_leaderboard, tx.CTA_KEYS)
-    label = F.concat_ws(" · ", "event_name", "prop")
-    return top_k(rows.withColumn("label", label), "label", k, "clicks")
+
+def top_events(events: DataFrame, k: int = 10) -> DataFrame:
+    return leaderboard(events, "top_events", k)
 
 
-def faq_leaderboard(events: DataFrame, k: int = 8, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
-    rows = _labelled(events, taxonomy.faq, tx.FAQ_KEYS)
-    return top_k(rows.withColumn("question", F.coalesce("prop", "event_name")), "question", k, "opens")
+def cta_leaderboard(events: DataFrame, k: int = 8) -> DataFrame:
+    return leaderboard(events, "cta_leaderboard", k)
 
 
-def engine_leaderboard(events: DataFrame, k: int = 8, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
-    rows = _labelled(events, taxonomy.playground, tx.ENGINE_KEYS)
-    return top_k(rows.withColumn("engine", F.coalesce("prop", "event_name")), "engine", k, "interactions")
+def faq_leaderboard(events: DataFrame, k: int = 8) -> DataFrame:
+    return leaderboard(events, "faq_leaderboard", k)
 
 
-def _blueprint_events(events: DataFrame, taxonomy: tx.Taxonomy) -> DataFrame:
-    rows = _labelled(events, taxonomy.blueprint_interaction, tx.BLUEPRINT_KEYS)
-    return rows.where("prop IS NOT NULL").withColumnRenamed("prop", "blueprint")
+def engine_leaderboard(events: DataFrame, k: int = 8) -> DataFrame:
+    return leaderboard(events, "engine_leaderboard", k)
 
 
-def blueprint_leaderboard(events: DataFrame, k: int = 8, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
-    return top_k(_blueprint_events(events, taxonomy), "blueprint", k, "interactions")
+def blueprint_leaderboard(events: DataFrame, k: int = 8) -> DataFrame:
+    return leaderboard(events, "blueprint_leaderboard", k)
 
 
 def blueprint_treemap(events: DataFrame, k: int = 12, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+    return treemap_from(board_counts(events, "blueprint_leaderboard", taxonomy=taxonomy), k)
+
+
+def treemap_from(counts: DataFrame, k: int = 12) -> DataFrame:
     """Interactions per blueprint and event, top ``k`` blueprints, long form.
 
     ``total`` covers all blueprints, also those cut. A blueprint gathers at most one
     entry per interaction event name, which is a fixed set.
     """
-    pairs = (
-        _blueprint_events(events, taxonomy)
-        .groupBy("blueprint", "event_name")
-        .agg(F.count("*").alias("n"), F.min("received_at").alias("first"))
-    )
+    pairs = counts.where("board = 'blueprint_leaderboard'").withColumnRenamed("label", "blueprint")
     entry = F.struct((-F.col("n")).alias("neg"), "first", "event_name", "n")
     boxes = pairs.groupBy("blueprint").agg(
         F.sum("n").alias("value"),
         F.min("first").alias("first"),
         F.sort_array(F.collect_list(entry)).alias("entries"),
     )
-    total = pairs.agg(F.sum("n").alias("total"))
+    # the unused minimum keeps the total on the same shuffle as the boxes
+    total = pairs.agg(F.struct(F.sum("n").alias("n"), F.min("first").alias("first")).alias("t"))
     top = boxes.orderBy(F.desc("value"), "first", "blueprint").limit(k)
     return (
         top.select("blueprint", "value", F.inline("entries"))
-        .withColumn("total", total.scalar())
+        .withColumn("total", total.scalar()["n"])
         .select(
             "blueprint",
             "value",

@@ -19,7 +19,7 @@ from clickloom.runtime import checkpointed
 MODES = ("gap", "fixed")
 TIMEOUT = 1800
 GAP_SLICE = 3600
-#: Longest stretch of activity (events) folded in one task; longer ones are doubled.
+#: Longest stretch of activity (events) walked in one task; longer ones are doubled.
 FOLD_LIMIT = 1_000_000
 
 
@@ -166,21 +166,31 @@ def _islands(sliced: DataFrame, key: str, timeout: int) -> DataFrame:
 
 
 def _folded(rows: DataFrame, key: str, timeout: int) -> DataFrame:
-    """Session starts of stretches small enough for one task."""
-    key_type = rows.schema[key].dataType.simpleString()
-
-    def chain(pdf):
-        import numpy as np
-        import pandas as pd
+    """Session starts of stretches small enough for one task.
 
-        times = np.sort(pdf["_us"].to_numpy())
-        starts, at = [], 0
-        while at < len(times):
-            starts.append(times[at])
-            at = int(np.searchsorted(times, times[at] + timeout, side="left"))
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(starts), "_at": starts})
+    Stretches stream through sorted Arrow batches; a task holds one batch and the
+    start of the open session.
+    """
+    key_type = rows.schema[key].dataType.simpleString()
 
-    return rows.groupBy(key, "_island").applyInPandas(chain, f"{key} {key_type}, _at long")
+    def chain(batches):
+        import pyarrow as pa
+
+        stretch = start = None
+        for batch in batches:
+            keys, times = [], []
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
+                if row[:2] != stretch or row[2] - start >= timeout:
+                    stretch, start = row[:2], row[2]
+                    keys.append(row[0])
+                    times.append(start)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, batch.schema.field(0).type), pa.array(times, pa.int64())], names=[key, "_at"]
+            )
+
+    placed = rows.select(key, "_island", "_us").repartition(key, "_island")
+    ordered = placed.sortWithinPartitions(key, "_island", "_us")
+    return ordered.mapInArrow(chain, f"{key} {key_type}, _at long")
 
 
 def _doubled(rows: DataFrame, key: str, timeout: int, widest: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import window as W
 
 from clickloom import schema, taxonomy as tx
 from clickloom.functions import scalars as sf
+from clickloom.runtime import checkpointed
 
 #: Longest page list kept inside a session row; ``session_pages`` lists all pages.
 INLINE_PAGES = 500
@@ -139,7 +140,13 @@ def inline_pages(pages: DataFrame, limit: int = INLINE_PAGES) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("_rn", "page_path"))).alias("_head"))
         .select("session_key", F.when(F.size("_head") <= limit, F.col("_head.page_path")).alias("pages"))
     )
-    counts = pages.groupBy("session_key").agg(F.count("*").alias("page_count"))
+    # asking for the time here too keeps both branches on one shuffle of the pages
+    counts = (
+        pages.groupBy("session_key")
+        .agg(F.count("*").alias("page_count"), F.max("first_seen.received_at").alias("_newest"))
+        .where("_newest IS NOT NULL")
+        .drop("_newest")
+    )
     return counts.join(head, "session_key")
 
 
@@ -222,14 +229,13 @@ def recent_converters(events: DataFrame, n: int = 20, frame: DataFrame | None =
     """The ``n`` newest converted sessions, newest first.
 
     Pages are gathered for these sessions only: the events are filtered by the
-    ``n`` session keys before any page is grouped.
+    ``n`` session keys before any page is grouped. Without a ready frame the ``n`` rows
+    are written down, since two branches read them.
     """
-    frame = session_frame(events) if frame is None else frame
-    newest = (
-        frame.where("has_form_submit = 1")
-        .orderBy(F.desc("submitted_at"), "session_key")
-        .limit(n)
-    )
+    ranked = (session_frame(events) if frame is None else frame).where("has_form_submit = 1")
+    newest = ranked.orderBy(F.desc("submitted_at"), "session_key").limit(n)
+    if frame is None:
+        newest = checkpointed(newest)
     # n rows, so the keys always fit in a broadcast
     keys = F.broadcast(newest.select("session_key"))
     pages = inline_pages(session_pages(events.join(keys, "session_key", "left_semi")))

@@ -47,37 +47,46 @@ def build(
     window_seconds: int | None = None, dedupe: bool = True,
     keep: Callable[[DataFrame], DataFrame] = written,
 ) -> dict[str, DataFrame]:
-    """The panels; ``keep`` decides how the session frame is held."""
+    """The panels; ``keep`` decides how what several panels read is held.
+
+    Kept are the deduplicated events of both periods with the columns the panels use,
+    the session frame, the board counts and the hourly counts. So the raw table is
+    read and shuffled by event id once, however many panels are asked for.
+    """
     seconds = window_seconds or periods.window_days(days) * periods.DAY
-    rows = envelope.dedupe_events(events) if dedupe else events
-    both = periods.split_periods(rows, seconds, as_of, comparison)
+    span = 2 * seconds if comparison == "prior" else seconds
+    rows = periods.events_in_window(events, span, as_of)
+    rows = envelope.dedupe_events(rows) if dedupe else rows
+    both = keep(periods.split_periods(rows, seconds, as_of, comparison).select("period", *COLUMNS))
     current = both.where(F.col("period") == periods.CURRENT).drop("period")
 
     frames = keep(sessions.session_frame(both, "period"))
+    boards = keep(insights.board_counts(current))
+    hours = keep(insights.hourly_activity(current))
     frame = frames.where(F.col("period") == periods.CURRENT).drop("period")
     by_period = insights.kpis_from(frames, insights.actor_flags(both, "period"), "period")
     return {
         "kpis": by_period.where(F.col("period") == periods.CURRENT).drop("period"),
         "kpi_comparison": insights.kpi_comparison(by_period),
         "funnel": insights.funnel(frame),
-        "activity_trends": insights.activity_trends(current, frame, insights.is_hourly(seconds)),
-        "activity_heatmap": insights.activity_heatmap(current),
+        "activity_trends": insights.trends_from(hours, frame, insights.is_hourly(seconds)),
+        "activity_heatmap": insights.heatmap_from(hours),
         "time_to_convert": insights.time_to_convert(frame),
         "visitor_mix": insights.visitor_mix(both),
-        "cta_leaderboard": insights.cta_leaderboard(current),
-        "faq_leaderboard": insights.faq_leaderboard(current),
-        "engine_leaderboard": insights.engine_leaderboard(current),
-        "blueprint_leaderboard": insights.blueprint_leaderboard(current),
-        "blueprint_treemap": insights.blueprint_treemap(current),
+        **{name: insights.board_top(boards, name) for name in insights.BOARDS},
+        "blueprint_treemap": insights.treemap_from(boards),
         "top_paths": insights.top_paths(current),
-        "top_pages": insights.top_pages(current),
-        "top_events": insights.top_events(current),
         "recent_converters": sessions.recent_converters(current, frame=frame),
         "all_sessions": sessions.session_rows(current, frame=frame),
         "session_summary": sessions.session_summary(frame),
     }
 
 
+#: Event columns the panels read.
+COLUMNS = (
+    "event_id", "event_name", "properties_json", "user_id", "anonymous_id", "page_path", "kafka_partition",
+    "kafka_offset", "received_at", "session_key", "actor_key",
+)
 #: Panels small enough for the flat form, with their label and value columns.
 FLAT = {
     "funnel": ("step", ("sessions", "rate_pct")),
