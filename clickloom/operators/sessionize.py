@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -55,6 +55,11 @@ def session_spans(sessionized: DataFrame, key: str = "actor_key", time_col: str
     )
 
 
+def _slice_of(column: str, length: int) -> Column:
+    """Number of the time slice, rounding down also before 1970."""
+    return F.expr(f"({column} - pmod({column}, {length})) div {length}")
+
+
 def _earlier(window):
     return window.rowsBetween(W.Window.unboundedPreceding, -1)
 
@@ -64,7 +69,7 @@ def _up_to_here(window):
 
 
 def _by_gap(rows: DataFrame, key: str, timeout: int, slice_seconds: int = GAP_SLICE) -> DataFrame:
-    sliced = rows.withColumn("_slice", F.expr(f"_us div {slice_seconds * 1_000_000}"))
+    sliced = rows.withColumn("_slice", _slice_of("_us", slice_seconds * 1_000_000))
     inside = W.Window.partitionBy(key, "_slice").orderBy("_us")
     breaks = F.col("_us") - F.lag("_us").over(inside) > timeout
     marked = sliced.withColumn("_break", F.when(breaks, F.col("_us")))
@@ -106,7 +111,7 @@ def _by_age(rows: DataFrame, key: str, timeout: int, fold_limit: int = FOLD_LIMI
     A start at s closes at s + timeout, which is never before the end of its slice.
     So an event belongs to the start in its own slice, or to the last one before.
     """
-    sliced = rows.withColumn("_slice", F.expr(f"_us div {timeout}"))
+    sliced = rows.withColumn("_slice", _slice_of("_us", timeout))
     # written once: the summaries are read by every step below
     slices = checkpointed(_islands(sliced, key, timeout))
     starts = slices.where("NOT _long AND _slice = _island_slice").select(key, F.col("_island").alias("_at"))
@@ -126,7 +131,7 @@ def _by_age(rows: DataFrame, key: str, timeout: int, fold_limit: int = FOLD_LIMI
     along = W.Window.partitionBy(key).orderBy("_slice")
     carried = (
         slices.select(key, "_slice")
-        .join(starts.withColumn("_slice", F.expr(f"_at div {timeout}")), [key, "_slice"], "left")
+        .join(starts.withColumn("_slice", _slice_of("_at", timeout)), [key, "_slice"], "left")
         .withColumn("_before", F.last("_at", ignorenulls=True).over(_earlier(along)))
         .withColumn("_base", F.count("_at").over(_earlier(along)))
     )
@@ -152,16 +157,19 @@ def _islands(sliced: DataFrame, key: str, timeout: int) -> DataFrame:
     pause = F.col("_first") - F.lag("_last").over(along) >= timeout
     opens = F.coalesce(pause, F.lit(True))
     island = W.Window.partitionBy(key, "_island")
+    # first event after the slice that follows this one, within the stretch
+    place = F.struct("_first", "_island")
     adjacent = F.lead("_slice").over(along) == F.col("_slice") + 1
+    later = F.when(adjacent, F.lead(place, 2).over(along)).otherwise(F.lead(place).over(along))
+    same_stretch = later["_island"] == F.col("_island")
     return (
         slices.withColumn("_open_at", F.when(opens, F.col("_first")))
         .withColumn("_island", F.last("_open_at", ignorenulls=True).over(_up_to_here(along)))
-        # first event after the slice that follows this one
-        .withColumn("_next_first", F.when(adjacent, F.lead("_first", 2).over(along)).otherwise(F.lead("_first").over(along)))
+        .withColumn("_next_first", F.when(same_stretch, later["_first"]))
         .withColumn("_long", F.max("_last").over(island) - F.col("_island") >= timeout)
         .withColumn("_size", F.sum("_n").over(island))
         .withColumn("_slices", F.count("*").over(island))
-        .withColumn("_island_slice", F.expr(f"_island div {timeout}"))
+        .withColumn("_island_slice", _slice_of("_island", timeout))
     )
 
 
