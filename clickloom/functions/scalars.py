@@ -133,21 +133,37 @@ def short_event_name(c: Column) -> Column:
 
 
 def sanitize_label(c: Column, limit: int = 64) -> Column:
-    """Runs of characters outside word, ``. : / -`` become one underscore."""
+    """Runs of characters outside letters, digits and ``_ . : / -`` become one underscore."""
     cleaned = F.left(F.regexp_replace(strip(c), r"[^\p{L}\p{N}_.:/-]+", "_"), F.lit(limit))
-    return F.coalesce(present(F.btrim(cleaned, F.lit("_"))), F.when(c.isNotNull(), F.lit(tx.UNKNOWN)))
+    # an empty label becomes "unknown"; said as a pattern, so that the label is built once
+    return F.regexp_replace(F.btrim(cleaned, F.lit("_")), "^$", tx.UNKNOWN)
 
 
-def event_component(event_name: Column, props: Column) -> Column:
-    """Low-cardinality ``key:value`` of the first property that names a component.
+def component_source(event_name: Column, props: Column) -> Column:
+    """Which property names the component, and its text; NULL without one.
 
     ``props`` needs the component keys and ``path``.
     """
-    named = [F.concat(F.lit(f"{k}:"), sanitize_label(nonblank(props[k]))) for k in tx.COMPONENT_KEYS]
-    page = F.when(
-        event_name == tx.PAGEVIEW, F.concat(F.lit("path:"), sanitize_label(nonblank(props["path"])))
-    )
-    return F.coalesce(*named, page, F.lit("-"))
+    def found(key: str) -> Column:
+        return F.length(strip(props[key])) > 0
+
+    def source(key: str) -> Column:
+        return F.struct(F.lit(key).alias("key"), props[key].alias("text"))
+
+    first, *others = tx.COMPONENT_KEYS
+    choice = F.when(found(first), source(first))
+    for key in others:
+        choice = choice.when(found(key), source(key))
+    return choice.when((event_name == tx.PAGEVIEW) & found("path"), source("path"))
+
+
+def component_label(source: Column) -> Column:
+    return F.coalesce(F.concat(source["key"], F.lit(":"), sanitize_label(source["text"])), F.lit("-"))
+
+
+def event_component(event_name: Column, props: Column) -> Column:
+    """Low-cardinality ``key:value`` of the first property that names a component."""
+    return component_label(component_source(event_name, props))
 
 
 COMPONENT_PROPS = (*tx.COMPONENT_KEYS, "path")

@@ -21,10 +21,13 @@ def _is_object(c: Column) -> Column:
 
 
 def _envelope(message: Column) -> Column:
-    """Envelope fields as text; NULL unless the message is one JSON object."""
-    parsed = F.from_json(message, schema.ENVELOPE_TEXT)
-    well_formed = _is_object(message) & F.json_object_keys(message).isNotNull()
-    return F.when(well_formed, parsed)
+    """Envelope fields as text, from one parse; ``bad_json`` holds a text that is no JSON."""
+    return F.from_json(message, schema.ENVELOPE_TEXT, {"columnNameOfCorruptRecord": "bad_json"})
+
+
+def _is_bad(message: Column, e: Column) -> Column:
+    """Not one JSON object. A bad message has no field but ``bad_json``."""
+    return e.isNull() | e["bad_json"].isNotNull() | ~_is_object(message)
 
 
 def _log_columns() -> list[Column]:
@@ -52,38 +55,34 @@ def parse_envelope(
     if bad_records not in BAD_RECORDS:
         raise ValueError(f"bad_records must be one of {BAD_RECORDS}")
     stamped = F.current_timestamp() if ingested_at is None else ingested_at
+    message = F.col("message")
+    if bad_records == "drop":
+        # a predicate of its own: one on the parsed fields would parse twice
+        messages = messages.where(_is_object(message) & F.json_object_keys(message).isNotNull())
     rows = messages.select(
-        _envelope(F.col("message")).alias("e"),
-        F.col("message").alias("raw_payload"),
-        *_log_columns(),
-        stamped.alias("ingested_at"),
+        _envelope(message).alias("e"), message.alias("raw_payload"), *_log_columns(), stamped.alias("ingested_at")
     )
     e = F.col("e")
-    bad = e.isNull()
-    if bad_records == "drop":
-        rows = rows.where(~bad)
+    rows = rows.select("*", _is_bad(F.col("raw_payload"), e).alias("is_bad"))
+    bad = F.col("is_bad")
     name = F.coalesce(sf.present(e["name"]), sf.present(e["event_name"]), F.lit(tx.UNKNOWN))
     if bad_records == "fail":
         text = F.concat(F.lit("message is no JSON object: partition "), F.col("kafka_partition"),
                         F.lit(" offset "), F.col("kafka_offset"))
         name = F.when(bad, F.raise_error(text).cast("string")).otherwise(name)
-    else:
+    elif bad_records != "drop":
         name = F.when(~bad, name)
+
+    def field(c: str) -> Column:
+        return sf.present(e[c]) if bad_records == "drop" else F.when(~bad, sf.present(e[c]))
+
     columns = {
-        "event_id": sf.present(e["event_id"]),
-        "project_id": sf.present(e["project_id"]),
+        **{c: field(c) for c in ("event_id", "project_id", "source", "user_id", "anonymous_id", "session_id", "page_path")},
         "event_name": name,
-        "properties_json": _object_text(e["properties"]),
-        "event_timestamp": sf.int_or_null(e["timestamp"]),
-        "source": sf.present(e["source"]),
-        "user_id": sf.present(e["user_id"]),
-        "anonymous_id": sf.present(e["anonymous_id"]),
-        "session_id": sf.present(e["session_id"]),
-        "page_path": sf.present(e["page_path"]),
+        "properties_json": _object_text(field("properties")),
+        "event_timestamp": sf.int_or_null(field("timestamp")),
     }
-    out = rows.select(
-        *[columns.get(c, F.col(c)).alias(c) for c in schema.EVENT_COLUMNS], bad.alias("is_bad")
-    )
+    out = rows.select(*[columns.get(c, F.col(c)).alias(c) for c in schema.EVENT_COLUMNS], "is_bad")
     return out if bad_records == "quarantine" else out.drop("is_bad")
 
 
@@ -108,12 +107,11 @@ def parse_envelope_lenient(messages: DataFrame, received_at: Column | None = Non
     ``{}``; a context that is no object is NULL.
     """
     stamped = F.current_timestamp() if received_at is None else received_at
+    message = F.col("message")
     rows = messages.select(
-        _envelope(F.col("message")).alias("e"),
-        F.col("message").alias("raw"),
-        *_log_columns(),
-        stamped.alias("received_at"),
+        _envelope(message).alias("e"), message.alias("raw"), *_log_columns(), stamped.alias("received_at")
     )
+    rows = rows.withColumn("e", F.when(~_is_bad(F.col("raw"), F.col("e")), F.col("e")))
     e = F.col("e")
     live = rows.select(
         "raw",
@@ -166,8 +164,10 @@ def validate_envelope(messages: DataFrame) -> DataFrame:
         ],
         rule("timestamp_not_an_integer", ~F.rlike(e["timestamp"], F.lit(r"^[+-]?\d+(\.0+)?$"))),
     ]
+    message = F.col("message")
     return (
-        messages.withColumn("e", _envelope(F.col("message")))
+        messages.withColumn("e", _envelope(message))
+        .withColumn("e", F.when(~_is_bad(message, e), e))
         .withColumn("failed_rules", F.filter(F.array(*rules), lambda r: r.isNotNull()))
         .drop("e")
     )
@@ -179,11 +179,13 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_component(events: DataFrame) -> DataFrame:
-    """Add ``component``, parsing the properties once."""
+    """Add ``component``; properties are parsed once and one label is cleaned."""
+    name = F.col("event_name")
     return (
         events.withColumn("_p", sf.property_struct(F.col("properties_json"), sf.COMPONENT_PROPS))
-        .withColumn("component", sf.event_component(F.col("event_name"), F.col("_p")))
-        .drop("_p")
+        .withColumn("_c", sf.component_source(name, F.col("_p")))
+        .withColumn("component", sf.component_label(F.col("_c")))
+        .drop("_p", "_c")
     )
 
 
