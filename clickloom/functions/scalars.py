@@ -84,11 +84,10 @@ def session_key(session_id: Column, anonymous_id: Column, fallback: Column) -> C
     )
 
 
-def event_fallback(event_id: Column, partition: Column, offset: Column) -> Column:
-    """What makes an event without ids unique: its id, else its log position."""
-    return F.coalesce(
-        present(event_id), F.concat_ws("/", partition.cast("string"), offset.cast("string"))
-    )
+def event_fallback(event_id: Column, partition: Column, offset: Column, received_at: Column) -> Column:
+    """What sets an event without ids apart: its id, its log position, its arrival."""
+    position = F.concat(partition.cast("string"), F.lit("/"), offset.cast("string"))
+    return F.coalesce(present(event_id), position, F.unix_micros(received_at).cast("string"))
 
 
 def actor_key(user_id: Column, anonymous_id: Column, session: Column) -> Column:
@@ -188,8 +187,8 @@ def parse_time(c: Column) -> Column:
         if not (frac and f.endswith("'Z'"))
     ]
     return (
-        F.when(number > 1e12, F.timestamp_micros((number * 1000).cast("long")))
-        .when(number > 1e9, F.timestamp_micros((number * 1000000).cast("long")))
+        F.when(number > 1e12, F.timestamp_micros((number * 1000).try_cast("long")))
+        .when(number > 1e9, F.timestamp_micros((number * 1000000).try_cast("long")))
         .otherwise(F.coalesce(*parsed))
     )
 

@@ -211,7 +211,7 @@ def to_canonical(events: DataFrame, time_col: str = "ingested_at") -> DataFrame:
 
 
 def with_keys(events: DataFrame) -> DataFrame:
-    fallback = sf.event_fallback(F.col("event_id"), F.col("kafka_partition"), F.col("kafka_offset"))
+    fallback = sf.event_fallback(*[F.col(c) for c in ("event_id", "kafka_partition", "kafka_offset", "received_at")])
     keyed = events.withColumn(
         "session_key", sf.session_key(F.col("session_id"), F.col("anonymous_id"), fallback)
     )

@@ -330,6 +330,22 @@ def board_top(counts: DataFrame, board: str, k: int | None = None) -> DataFrame:
     return top.select(F.col("label").alias(spec.column), F.col("n").alias(spec.count))
 
 
+def board_tops(counts: DataFrame, *boards: str) -> DataFrame:
+    """The top labels of several boards in one ranking: board, rank, label, n.
+
+    The rank filter keeps the largest board's size per board and task before the
+    shuffle that brings a board together.
+    """
+    boards = boards or tuple(BOARDS)
+    sizes = F.create_map(*[F.lit(x) for b in boards for x in (b, BOARDS[b].size)])
+    labels = counts.where(F.col("board").isin(*boards)).groupBy("board", "label").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first")
+    )
+    rank = F.row_number().over(W.Window.partitionBy("board").orderBy(F.desc("n"), "first", "label"))
+    ranked = labels.withColumn("rank", rank).where(F.col("rank") <= max(BOARDS[b].size for b in boards))
+    return ranked.where(F.col("rank") <= F.element_at(sizes, F.col("board"))).select("board", "rank", "label", "n")
+
+
 def leaderboard(events: DataFrame, board: str, k: int | None = None, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
     return board_top(board_counts(events, board, taxonomy=taxonomy), board, k)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
+from functools import partial
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,30 +15,21 @@ from clickloom.operators import envelope, insights, periods, sessions
 
 
 @contextmanager
-def insights_report(events: DataFrame, as_of, days: int | None = 7, **options) -> Iterator[dict[str, DataFrame]]:
-    """Panels of the report by name, all lazy.
-
-    One aggregation of both periods gives the session frame behind the KPIs, funnel,
-    time to convert, trends, summary and converters. It is kept (spilling to disk)
-    until the ``with`` block ends; losing an executor recomputes its share.
-    """
-    kept = []
-
-    def keep(frame: DataFrame) -> DataFrame:
-        kept.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
-        return kept[-1]
-
+def insights_report(events: DataFrame, as_of, days: int | None = 7, **options) -> Iterator[Panels]:
+    """Panels of the report by name. What they share is written below one folder in the
+    shared directory, which goes away with the ``with`` block."""
+    spark = events.sparkSession
+    folder = runtime.run_dir(spark, "report")
     try:
-        yield build(events, as_of, days, keep=keep, **options)
+        yield build(events, as_of, days, keep=lambda frame: written(frame, folder), **options)
     finally:
-        for frame in kept:
-            frame.unpersist()
+        runtime.remove(spark, folder)
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """Keep a frame as a table in the shared folder, for reports that outlive a block."""
+def written(frame: DataFrame, folder: str | None = None) -> DataFrame:
+    """Keep a frame as a table in the shared folder: losing an executor loses nothing."""
     spark = frame.sparkSession
-    path = runtime.run_dir(spark, "sessions")
+    path = f"{folder or runtime.run_dir(spark, 'report')}/{uuid.uuid4().hex[:12]}"
     frame.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -46,12 +38,12 @@ def build(
     events: DataFrame, as_of, days: int | None = 7, comparison: str = "prior",
     window_seconds: int | None = None, dedupe: bool = True,
     keep: Callable[[DataFrame], DataFrame] = written,
-) -> dict[str, DataFrame]:
+) -> Panels:
     """The panels; ``keep`` decides how what several panels read is held.
 
     Kept are the deduplicated events of both periods with the columns the panels use,
-    the session frame, the board counts and the hourly counts. So the raw table is
-    read and shuffled by event id once, however many panels are asked for.
+    the session frame, the KPIs, the board counts and the hourly counts. So the raw
+    table is read and shuffled by event id once, however many panels are asked for.
     """
     seconds = window_seconds or periods.window_days(days) * periods.DAY
     span = 2 * seconds if comparison == "prior" else seconds
@@ -64,22 +56,39 @@ def build(
     boards = keep(insights.board_counts(current))
     hours = keep(insights.hourly_activity(current))
     frame = frames.where(F.col("period") == periods.CURRENT).drop("period")
-    by_period = insights.kpis_from(frames, insights.actor_flags(both, "period"), "period")
-    return {
-        "kpis": by_period.where(F.col("period") == periods.CURRENT).drop("period"),
-        "kpi_comparison": insights.kpi_comparison(by_period),
-        "funnel": insights.funnel(frame),
-        "activity_trends": insights.trends_from(hours, frame, insights.is_hourly(seconds)),
-        "activity_heatmap": insights.heatmap_from(hours),
-        "time_to_convert": insights.time_to_convert(frame),
-        "visitor_mix": insights.visitor_mix(both),
-        **{name: insights.board_top(boards, name) for name in insights.BOARDS},
-        "blueprint_treemap": insights.treemap_from(boards),
-        "top_paths": insights.top_paths(current),
-        "recent_converters": sessions.recent_converters(current, frame=frame),
-        "all_sessions": sessions.session_rows(current, frame=frame),
-        "session_summary": sessions.session_summary(frame),
-    }
+    by_period = keep(insights.kpis_from(frames, insights.actor_flags(both, "period"), "period"))
+    return Panels({
+        "kpis": lambda: by_period.where(F.col("period") == periods.CURRENT).drop("period"),
+        "kpi_comparison": lambda: insights.kpi_comparison(by_period),
+        "funnel": lambda: insights.funnel(frame),
+        "activity_trends": lambda: insights.trends_from(hours, frame, insights.is_hourly(seconds)),
+        "activity_heatmap": lambda: insights.heatmap_from(hours),
+        "time_to_convert": lambda: insights.time_to_convert(frame),
+        "visitor_mix": lambda: insights.visitor_mix(both),
+        "boards": lambda: insights.board_tops(boards),
+        **{name: partial(insights.board_top, boards, name) for name in insights.BOARDS},
+        "blueprint_treemap": lambda: insights.treemap_from(boards),
+        "top_paths": lambda: insights.top_paths(current),
+        "recent_converters": lambda: sessions.recent_converters(current, frame=frame),
+        "all_sessions": lambda: sessions.session_rows(current, frame=frame),
+        "session_summary": lambda: sessions.session_summary(frame),
+    })
+
+
+class Panels(Mapping):
+    """Panels by name, each defined when it is asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]) -> None:
+        self._builders = builders
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._builders[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
 
 
 #: Event columns the panels read.
@@ -91,24 +100,26 @@ COLUMNS = (
 FLAT = {
     "funnel": ("step", ("sessions", "rate_pct")),
     "activity_trends": ("label", ("events", "sessions", "form_submissions")),
-    "cta_leaderboard": ("label", ("clicks",)),
-    "faq_leaderboard": ("question", ("opens",)),
-    "engine_leaderboard": ("engine", ("interactions",)),
-    "blueprint_leaderboard": ("blueprint", ("interactions",)),
     "top_paths": ("path", ("sessions", "converted", "conversion_rate_pct")),
-    "top_pages": ("path", ("views",)),
-    "top_events": ("name", ("count",)),
 }
 SINGLE = ("kpis", "kpi_comparison", "time_to_convert", "visitor_mix", "session_summary")
 
 
-def flat_report(panels: dict[str, DataFrame]) -> DataFrame:
+def flat_report(panels: Mapping[str, DataFrame]) -> DataFrame:
     """One long frame (panel, label, metric, value) of every fixed-size panel."""
     parts = []
     for name, (label, values) in FLAT.items():
         parts.append(_long(panels[name], name, F.col(label), values))
+    metric = F.create_map(*[F.lit(x) for b, spec in insights.BOARDS.items() for x in (b, spec.count)])
+    parts.append(
+        panels["boards"].select(
+            F.col("board").alias("panel"), "label", F.element_at(metric, F.col("board")).alias("metric"),
+            F.col("n").cast("double").alias("value"),
+        )
+    )
     for name in SINGLE:
-        parts.append(_long(panels[name], name, F.lit(""), panels[name].columns))
+        panel = panels[name]
+        parts.append(_long(panel, name, F.lit(""), panel.columns))
     flat = parts[0]
     for part in parts[1:]:
         flat = flat.unionByName(part)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -36,9 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="clickloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_dir(context.applicationId)
+
+
+@functools.cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"clickloom-{application}-")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -46,6 +50,14 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder made with ``run_dir``, on whatever file system it is."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} is not below the shared folder")
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
 def checkpointed(df):
     """Cut the lineage of an iterative frame with a reliable checkpoint."""
     spark = df.sparkSession

@@ -76,7 +76,8 @@ def clickstream_rows(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("u"),
         "event_type",
         "value",
-        F.regexp_extract("props", r"\d+", 0).cast("int").alias("k"),
+        # the text is {"k": <number>}
+        F.btrim("props", F.lit('{"k: }')).cast("int").alias("k"),
     )
     k, u = F.col("k"), F.col("u").cast("string")
     rule = F.get(F.element_at(_rules(), F.col("event_type")), k)
@@ -163,17 +164,19 @@ def raw_messages(events: DataFrame) -> DataFrame:
         F.col("kafka_timestamp").alias("event_timestamp"),
         eid.alias("eid"),
     )
-    # every 50th message is sent again five minutes later at a new offset
-    copies = F.when(F.col("eid") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    repeated = sent.withColumn("copy", F.explode(copies))
-    again = F.col("copy") == 1
-    return repeated.select(
-        "message",
-        "partition",
-        F.when(again, F.col("offset") + 1_000_000_000).otherwise(F.col("offset")).alias("offset"),
-        F.when(again, F.col("event_timestamp") + F.expr("INTERVAL 5 MINUTES"))
-        .otherwise(F.col("event_timestamp")).alias("event_timestamp"),
+    # every 50th message is sent again five minutes later at a new offset; as the output
+    # of a generator, the message is built once and no later filter builds it again
+    repeated = sent.select(
+        "eid",
+        F.stack(
+            F.lit(2),
+            F.lit(False), "message", "partition", "offset", "event_timestamp",
+            F.lit(True), "message", "partition", F.col("offset") + 1_000_000_000,
+            F.col("event_timestamp") + F.expr("INTERVAL 5 MINUTES"),
+        ).alias("again", "message", "partition", "offset", "event_timestamp"),
     )
+    wanted = repeated.where(~F.col("again") | (F.col("eid") % 50 == 0))
+    return wanted.select("message", "partition", "offset", "event_timestamp")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

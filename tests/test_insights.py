@@ -152,6 +152,8 @@ def test_board_labels(make_events):
     for board, rows in want.items():
         assert [tuple(r) for r in insights.board_top(counts, board).collect()] == rows
         assert [tuple(r) for r in insights.leaderboard(events, board).collect()] == rows
+        tops = insights.board_tops(counts).where(F.col("board") == board).orderBy("rank")
+        assert [(r["label"], r["n"]) for r in tops.collect()] == rows
 
 
 def test_treemap_total_covers_cut_blueprints(make_events):
