@@ -52,9 +52,10 @@ def page_meta(events: DataFrame, page: DataFrame, limit: int, offset: int) -> Da
 
 
 def live_projection(events: DataFrame) -> DataFrame:
-    """The live row: eight columns, and the ids that are non-empty."""
+    """The live row: eight columns, the ids that are non-empty, and the context if any."""
     rows = events if "component" in events.columns else envelope.with_component(events)
-    return rows.select(*LIVE_COLUMNS, *[sf.present(F.col(c)).alias(c) for c in OPTIONAL_COLUMNS])
+    extra = [c for c in (*OPTIONAL_COLUMNS, "context_json") if c in rows.columns]
+    return rows.select(*LIVE_COLUMNS, *[sf.present(F.col(c)).alias(c) for c in extra])
 
 
 def legacy_projection(events: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def legacy_projection(events: DataFrame) -> DataFrame:
 
 
 def live_stats(events: DataFrame, seconds: int, as_of) -> DataFrame:
-    """Counts and rate per minute in the window: one row per name and one for all.
+    """Counts and rate per minute in the window: one row for all, then one per name.
 
     A rollup gives the total in the same pass; its row has ``scope`` = all.
     """
@@ -77,7 +78,7 @@ def live_stats(events: DataFrame, seconds: int, as_of) -> DataFrame:
         "events",
         F.bround(F.col("events") / seconds * 60, 2).alias("rate_per_minute"),
         F.lit(seconds).alias("window_seconds"),
-    )
+    ).orderBy("scope", F.desc("events"), "name")
 
 
 def distinct_names(events: DataFrame) -> DataFrame:

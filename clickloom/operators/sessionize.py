@@ -35,6 +35,8 @@ def sessionize(
 
     ``gap``    a session ends when the next event comes more than the timeout later
     ``fixed``  a session ends the timeout after its first event, however busy it is
+
+    Events without a key are kept, with both columns NULL.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -48,7 +50,7 @@ def sessionize(
 
 def session_spans(sessionized: DataFrame, key: str = "actor_key", time_col: str = "received_at") -> DataFrame:
     """One row per derived session."""
-    return sessionized.groupBy(key, "session_no").agg(
+    return sessionized.where("session_no IS NOT NULL").groupBy(key, "session_no").agg(
         F.min(time_col).alias("started_at"),
         F.max(time_col).alias("ended_at"),
         F.count("*").alias("events"),
@@ -75,7 +77,7 @@ def _by_gap(rows: DataFrame, key: str, timeout: int, slice_seconds: int = GAP_SL
     marked = sliced.withColumn("_break", F.when(breaks, F.col("_us")))
 
     # same grouping as the window above, so no further shuffle
-    slices = marked.groupBy(key, "_slice").agg(
+    slices = marked.where(F.col(key).isNotNull()).groupBy(key, "_slice").agg(
         F.min("_us").alias("_first"),
         F.max("_us").alias("_last"),
         F.max("_break").alias("_last_break"),
@@ -98,8 +100,8 @@ def _by_gap(rows: DataFrame, key: str, timeout: int, slice_seconds: int = GAP_SL
     return (
         marked.withColumn("_seen", F.last("_break", ignorenulls=True).over(here))
         .withColumn("_count", F.count("_break").over(here))
-        .join(carried, [key, "_slice"])
-        .withColumn("_start", F.coalesce("_seen", "_entering"))
+        .join(carried, [key, "_slice"], "left")
+        .withColumn("_start", F.when(F.col(key).isNotNull(), F.coalesce("_seen", "_entering")))
         .withColumn("session_no", F.col("_base") + F.col("_count"))
         .drop("_break", "_seen", "_count", "_entering", "_base")
     )
@@ -137,7 +139,7 @@ def _by_age(rows: DataFrame, key: str, timeout: int, fold_limit: int = FOLD_LIMI
     )
     own = F.col("_us") >= F.col("_at")
     return (
-        sliced.join(carried, [key, "_slice"])
+        sliced.join(carried, [key, "_slice"], "left")
         .withColumn("_start", F.when(own, F.col("_at")).otherwise(F.col("_before")))
         .withColumn("session_no", F.col("_base") + F.coalesce(own, F.lit(False)).cast("long"))
         .drop("_at", "_before", "_base")
@@ -151,7 +153,7 @@ def _islands(sliced: DataFrame, key: str, timeout: int) -> DataFrame:
     independent. One shorter than the timeout is a single session.
     """
     along = W.Window.partitionBy(key).orderBy("_slice")
-    slices = sliced.groupBy(key, "_slice").agg(
+    slices = sliced.where(F.col(key).isNotNull()).groupBy(key, "_slice").agg(
         F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("_n")
     )
     pause = F.col("_first") - F.lag("_last").over(along) >= timeout

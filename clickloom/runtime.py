@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import os
 import tempfile
 import uuid
@@ -25,6 +26,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, *paths: str, partition_bytes: int = 128 * 1024**2) -> int:
+    """Set the shuffle partitions for inputs of this size and return their number.
+
+    Adaptive execution merges partitions that turn out small but does not add any, so
+    a large run has to start with enough of them to fit executor memory.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for path in paths:
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        total += location.getFileSystem(conf).getContentSummary(location).getLength()
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see, named by ``spark.checkpoint.dir``.
 

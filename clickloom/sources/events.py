@@ -33,11 +33,21 @@ def with_partition(events: DataFrame) -> DataFrame:
     return events.withColumn(schema.PARTITION_COLUMN, F.to_date("ingested_at"))
 
 
+def gathered_by_day(events: DataFrame) -> DataFrame:
+    """Rows of a day brought together for writing, in files of the advisory size.
+
+    Adaptive execution splits a day that is too big and merges small ones, so neither
+    a hot day nor many small files come out.
+    """
+    return events.hint("rebalance", schema.PARTITION_COLUMN)
+
+
 def append_rows(events: DataFrame, table: str) -> None:
     """Append by column name, not by position."""
     names = events.sparkSession.table(table).columns
-    rows = with_partition(events) if schema.PARTITION_COLUMN in names else events
-    rows.select(*names).write.insertInto(table)
+    if schema.PARTITION_COLUMN in names:
+        events = gathered_by_day(with_partition(events))
+    events.select(*names).write.insertInto(table)
 
 
 def append_v2(events: DataFrame, table: str) -> None:

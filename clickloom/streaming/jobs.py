@@ -35,7 +35,7 @@ def append_batch(path: str, fmt: str = "parquet"):
     def write(batch: DataFrame, batch_id: int) -> None:
         rows, parts = batch.withColumn("batch_id", F.lit(batch_id)), ["batch_id"]
         if "ingested_at" in batch.columns:
-            rows = rows.withColumn(schema.PARTITION_COLUMN, F.to_date("ingested_at"))
+            rows = table_io.gathered_by_day(table_io.with_partition(rows))
             parts = [schema.PARTITION_COLUMN, "batch_id"]
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*parts).format(fmt).save(path)
@@ -77,9 +77,9 @@ def run_available(df: DataFrame, writer, checkpoint: str, timeout: float | None
 
 def stream_to_table(df: DataFrame, table: str, checkpoint: str, interval: str = COMMIT_INTERVAL) -> StreamingQuery:
     """Continuous exactly-once append, partitioned by ingest date."""
-    rows = df.withColumn(schema.PARTITION_COLUMN, F.to_date("ingested_at"))
     return (
-        rows.writeStream.option("checkpointLocation", checkpoint)
+        table_io.with_partition(df)
+        .writeStream.option("checkpointLocation", checkpoint)
         .partitionBy(schema.PARTITION_COLUMN)
         .trigger(processingTime=interval)
         .toTable(table)

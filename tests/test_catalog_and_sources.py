@@ -129,3 +129,15 @@ def test_live_source_reads_the_buffer(spark, make_events, tmp_path):
     rows = envelope.with_component(make_events({"t": DAY - 10}, {"t": DAY - 400}, {"t": DAY - 4000}))
     live.latest_n(rows, 2).write.parquet(buffer)
     assert table_io.load_events(spark, f"live:{buffer}", as_of=AS_OF, seconds=300).count() == 1
+
+
+def test_shuffles_are_sized_by_the_input(spark):
+    from clickloom import runtime
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        path = "/root/testdata/sf0.001/events.parquet"
+        assert runtime.size_shuffles(spark, path) == int(before)
+        assert runtime.size_shuffles(spark, path, path, partition_bytes=100) > 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -61,6 +61,15 @@ def test_times_before_1970(spark):
         assert spans(user_events(spark, rows), timeout_seconds=10, mode=mode, **options) == by_hand(rows, 10, mode)
 
 
+def test_events_without_a_key_are_kept(spark):
+    df = user_events(spark, [("u", 0.0), (None, 1.0), (None, 90000.0), ("u", 5.0)])
+    for mode in ("gap", "fixed"):
+        out = sessionize.sessionize(df, "user_id", mode=mode).orderBy("user_id", "received_at").collect()
+        assert [(r["user_id"], r["session_no"], r["session_started_at"] is None) for r in out] == [
+            (None, None, True), (None, None, True), ("u", 1, False), ("u", 1, False),
+        ]
+
+
 def test_no_fixed_session_reaches_the_timeout(spark):
     rows = [(f"u{i % 5}", float(i * 7 % 5000)) for i in range(2000)]
     found = spans(user_events(spark, rows), timeout_seconds=100, mode="fixed")
