@@ -35,10 +35,6 @@ def nonblank(c: Column) -> Column:
     return present(strip(c))
 
 
-def rest_of(c: Column, start: Column) -> Column:
-    return F.substr(c, start, F.length(c))
-
-
 def pct(n: Column, d: Column) -> Column:
     """Percentage with one decimal, ties to even, 0.0 for an empty base."""
     return F.when(d <= 0, F.lit(0.0)).otherwise(F.bround(n / d * 100, 1))
@@ -60,14 +56,11 @@ def delta_pct(current: Column, previous: Column) -> Column:
 def mask_email(c: Column) -> Column:
     """Keep the first character and the domain; other texts keep two characters."""
     text = strip(c)
-    at = F.instr(text, "@")
-    domain = rest_of(text, at + F.lit(1))
     return (
-        F.when(text.isNull(), F.lit(None).cast("string"))
-        .when((at == 0) & (F.length(text) > 2), F.concat(F.left(text, F.lit(2)), F.lit("***")))
-        .when(at == 0, F.lit("***"))
-        .when(at == 1, F.concat(F.lit("***@"), domain))
-        .otherwise(F.concat(F.left(text, F.lit(1)), F.lit("***@"), domain))
+        F.when(c.isNull(), F.lit(None).cast("string"))
+        .when(F.contains(c, F.lit("@")), F.regexp_replace(text, "^([^@]?)[^@]*@", "$1***@"))
+        .when(F.length(text) > 2, F.concat(F.left(text, F.lit(2)), F.lit("***")))
+        .otherwise(F.lit("***"))
     )
 
 

@@ -23,10 +23,10 @@ def definitions() -> dict[str, str]:
     return {
         "pct(n DOUBLE, d DOUBLE) RETURNS DOUBLE": "CASE WHEN d <= 0 THEN 0D ELSE bround(n / d * 100, 1) END",
         "mask_email(email STRING) RETURNS STRING": """
-            CASE WHEN instr(trim(email), '@') = 0 AND length(trim(email)) > 2 THEN left(trim(email), 2) || '***'
-                 WHEN instr(trim(email), '@') = 0 THEN '***'
-                 ELSE left(trim(email), least(1, instr(trim(email), '@') - 1)) || '***@'
-                      || substring(trim(email), instr(trim(email), '@') + 1) END""",
+            CASE WHEN email IS NULL THEN NULL
+                 WHEN contains(email, '@') THEN regexp_replace(trim(email), '^([^@]?)[^@]*@', '$1***@')
+                 WHEN length(trim(email)) > 2 THEN left(trim(email), 2) || '***'
+                 ELSE '***' END""",
         "session_key(session_id STRING, anonymous_id STRING, event_ref STRING) RETURNS STRING":
             "coalesce(nullif(session_id, ''), 'anon:' || nullif(anonymous_id, ''), 'evt:' || event_ref)",
         "sanitize_label(label STRING) RETURNS STRING": r"""

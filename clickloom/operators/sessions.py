@@ -72,14 +72,15 @@ def session_frame(events: DataFrame, *by: str, taxonomy: tx.Taxonomy = tx.DEFAUL
     t, order = F.col("received_at"), schema.event_order()
     form = is_in(taxonomy.form_submit)
     pageview = F.col("event_name") == taxonomy.pageview
-    email = sf.form_email(F.col("_p"), F.col("user_id"))
+    email = F.col("_email")
     user = sf.present(F.col("user_id"))
     shown = F.coalesce(user, email)
     path = sf.present(F.col("page_path"))
     visitor = sf.present(F.col("anonymous_id"))
     submit = F.struct(order.alias("at"), F.col("event_name").alias("name"), email.alias("email"), "user_id")
     display = F.struct(order.alias("at"), user.alias("user"), email.alias("email"))
-    rows = events.withColumn("_p", sf.property_struct(F.col("properties_json"), tx.EMAIL_KEYS))
+    parsed = events.withColumn("_p", sf.property_struct(F.col("properties_json"), tx.EMAIL_KEYS))
+    rows = parsed.withColumn("_email", sf.form_email(F.col("_p"), F.col("user_id")))
     frame = rows.groupBy(*by, "session_key").agg(
         F.count("*").alias("event_count"),
         F.min(t).alias("first_activity_at"),
