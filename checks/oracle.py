@@ -626,5 +626,5 @@ def sql() -> dict[str, str]:
     }
     out["stream_ingest"] = out["dedupe_events"]
     out["stream_counters"] = out["event_counters"]
-    out["stream_sessions_fixed"] = AGE_SQL
+    out["stream_sessions_fixed"] = out["stream_sessions_state"] = AGE_SQL
     return out

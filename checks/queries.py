@@ -660,9 +660,12 @@ def context_fields(spark, sf_dir):
 # Streams, drained over what is there
 
 
-def event_stream(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def event_stream(spark, sf_dir, **options):
+    path = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    if runtime.is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def canonical_stream(spark, sf_dir):
@@ -725,13 +728,23 @@ def stream_sessions_gap(spark, sf_dir):
 
 @query
 def stream_sessions_fixed(spark, sf_dir):
-    rows = jobs.stream_sessions_fixed(_user_stream(spark, sf_dir), AGE_TIMEOUT, key="user_id")
+    """Drained in one batch of any size."""
+    folder = runtime.run_dir(spark, "sessions")
+    writer = jobs.keep_sessions(folder, AGE_TIMEOUT, "user_id")
+    jobs.run_available(_user_stream(spark, sf_dir), writer, f"{folder}/checkpoint")
+    return jobs.kept_sessions(spark, folder, "user_id")
+
+
+@query
+def stream_sessions_state(spark, sf_dir):
+    """The stateful operator, whose batches are bounded by the source."""
+    rows = jobs.stream_sessions_fixed(_user_stream(spark, sf_dir, maxFilesPerTrigger=64), AGE_TIMEOUT, key="user_id")
     updates = spark.read.parquet(drained(spark, rows, "update"))
     return jobs.latest_sessions(updates, "user_id")
 
 
-def _user_stream(spark, sf_dir):
-    return event_stream(spark, sf_dir).select(
+def _user_stream(spark, sf_dir, **options):
+    return event_stream(spark, sf_dir, **options).select(
         F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("received_at")
     )
 

@@ -67,6 +67,11 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(location).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made with ``run_dir``, on whatever file system it is."""
     if not path.startswith(shared_dir(spark)):

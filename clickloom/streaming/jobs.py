@@ -10,11 +10,12 @@ import math
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from clickloom import schema
 from clickloom.functions import scalars as sf
-from clickloom.operators import live
+from clickloom.operators import live, sessionize
 from clickloom.sources import events as table_io
 
 INGEST_INTERVAL = "30 seconds"
@@ -145,10 +146,10 @@ def stream_sessions_fixed(
 ) -> DataFrame:
     """Sessions by fixed age, as updates: the current numbers of each session.
 
-    State per key is the open session only. One key's times of one micro-batch (eight
-    bytes each) meet in a task, so the source's ``max...PerTrigger`` bounds them.
-    Arrival times never run backwards between batches; one that does joins the open
-    session.
+    For steady streams. State per key is the open session only. One key's times of one
+    micro-batch (eight bytes each) meet in a task, so set the source's
+    ``max...PerTrigger``; for a backlog in one batch use ``keep_sessions``. An arrival
+    time before the open session joins that session.
     """
     timeout = timeout_seconds * 1_000_000
     out = f"{key} string, session_no long, started_us long, ended_us long, events long"
@@ -179,6 +180,63 @@ def stream_sessions_fixed(
     return timed.groupBy(key).applyInPandasWithState(advance, out, state_schema, "update", "NoTimeout")
 
 
+def keep_sessions(
+    path: str, timeout_seconds: int = 1800, key: str = "actor_key", ts: str = "received_at"
+):
+    """A ``foreachBatch`` writer for sessions by fixed age, for batches of any size.
+
+    The open session of every key is a table, one version per batch. A batch puts the
+    start of a key's open session before the key's events and runs the batch operator,
+    which spreads a busy key over tasks. Updates go to ``sessions``, the open sessions
+    to ``open``; a repeated batch writes the same files.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = batch.select(key, F.col(ts).alias("at")).where(F.col(key).isNotNull())
+        earlier = _batch_before(spark, f"{path}/open", batch_id)
+        blank = {"ended_at": "timestamp", "events": "long", "base": "long"}
+        if earlier is None:
+            rows = known.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()})
+        else:
+            before = spark.read.parquet(f"{path}/open/batch_id={earlier}")
+            # a time before the open session counts as its start
+            joined = known.join(before.select(key, "started_at"), key, "left")
+            clamped = joined.select(key, F.greatest("at", "started_at").alias("at"))
+            touched = before.join(known.select(key).distinct(), key, "left_semi")
+            seeds = touched.select(
+                key, F.col("started_at").alias("at"), "ended_at", "events", F.col("session_no").alias("base")
+            )
+            rows = clamped.unionByName(seeds, allowMissingColumns=True)
+        numbered = sessionize.sessionize(rows, key, timeout_seconds, "fixed", "at")
+        spans = numbered.groupBy(key, "session_no").agg(
+            F.min("at").alias("started_at"),
+            F.max(F.coalesce("ended_at", "at")).alias("ended_at"),
+            F.sum(F.coalesce("events", F.lit(1))).alias("events"),
+            F.max("base").alias("base"),
+        )
+        # the sessions of one key in one batch: bounded by its time range
+        base = F.coalesce(F.max("base").over(W.Window.partitionBy(key)), F.lit(1))
+        shifted = spans.withColumn("session_no", F.col("session_no") + base - 1).drop("base")
+        shifted.write.mode("overwrite").parquet(f"{path}/sessions/batch_id={batch_id}")
+
+        updates = spark.read.parquet(f"{path}/sessions/batch_id={batch_id}")
+        last = F.max(F.struct("session_no", "started_at", "ended_at", "events")).alias("s")
+        still_open = updates.groupBy(key).agg(last).select(key, "s.*")
+        if earlier is not None:
+            still_open = still_open.unionByName(before.join(updates.select(key).distinct(), key, "left_anti"))
+        still_open.write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+
+    return write
+
+
+def kept_sessions(spark: SparkSession, path: str, key: str = "actor_key") -> DataFrame:
+    """Final numbers of each session that ``keep_sessions`` wrote."""
+    return spark.read.parquet(f"{path}/sessions").groupBy(key, "session_no").agg(
+        F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.max("events").alias("events")
+    )
+
+
 def latest_sessions(updates: DataFrame, key: str = "actor_key") -> DataFrame:
     """Final numbers of each session from its updates: they only grow."""
     return updates.groupBy(key, "session_no").agg(

@@ -75,19 +75,40 @@ def test_gap_sessions_close_behind_the_watermark(spark, source):
     assert rows(out, *columns) == rows(want, *columns)
 
 
-def test_fixed_sessions_equal_the_batch_operator(spark, source):
+SPAN = ("user_id", "session_no", "started_at", "ended_at", "events")
+
+
+def fixed_by_state(spark, source):
+    updates = spark.read.parquet(drain(spark, jobs.stream_sessions_fixed(source.stream(), key="user_id"), "update"))
+    return jobs.latest_sessions(updates, "user_id")
+
+
+def fixed_by_batch(spark, source):
+    folder = runtime.run_dir(spark, "kept")
+    jobs.run_available(source.stream(), jobs.keep_sessions(folder, key="user_id"), f"{folder}/checkpoint", timeout=120)
+    return jobs.kept_sessions(spark, folder, "user_id")
+
+
+@pytest.mark.parametrize("run", [fixed_by_state, fixed_by_batch])
+def test_fixed_sessions_equal_the_batch_operator(spark, source, run):
     dice = random.Random(3)
     t = 0
-    for _ in range(4):
+    for users in ("uvw", "u", "vw", "uvw"):
         chunk = []
         for _ in range(25):
             t += dice.choice([0, 50, 700, 1799, 1800, 1801])
-            chunk.append((str(t), dice.choice("uvw"), t))
+            chunk.append((str(t), dice.choice(users), t))
         source.add(*chunk)
-    updates = spark.read.parquet(drain(spark, jobs.stream_sessions_fixed(source.stream(), key="user_id"), "update"))
     want = sessionize.session_spans(sessionize.sessionize(source.batch(), "user_id", mode="fixed"), "user_id")
-    columns = ("user_id", "session_no", "started_at", "ended_at", "events")
-    assert rows(jobs.latest_sessions(updates, "user_id"), *columns) == rows(want, *columns)
+    assert rows(run(spark, source), *SPAN) == rows(want, *SPAN)
+
+
+@pytest.mark.parametrize("run", [fixed_by_state, fixed_by_batch])
+def test_a_time_before_the_open_session_joins_it(spark, source, run):
+    source.add(("1", "u", 5000), ("2", "u", 5100))
+    source.add(("late", "u", 100), ("3", "u", 5200))
+    got = run(spark, source).select("session_no", F.unix_seconds("started_at") - T0, F.unix_seconds("ended_at") - T0, "events")
+    assert [tuple(r) for r in got.collect()] == [(1, 5000, 5200, 4)]
 
 
 def test_running_counters(spark, source):
