@@ -180,7 +180,7 @@ def funnel(frame: DataFrame) -> DataFrame:
 # Activity
 
 
-def activity_trends(events: DataFrame, hourly: bool) -> DataFrame:
+def activity_trends(events: DataFrame, hourly: bool, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
     """Events, sessions by first event and form submissions per UTC hour or day.
 
     One scan with two grouping sets: buckets of events, and the start of each session.
@@ -190,7 +190,7 @@ def activity_trends(events: DataFrame, hourly: bool) -> DataFrame:
     )
     parts = rows.groupingSets([["label"], ["session_key"]], "label", "session_key").agg(
         F.count("*").alias("events"),
-        F.count_if(is_in(tx.FORM_SUBMIT)).alias("form_submissions"),
+        F.count_if(is_in(taxonomy.form_submit)).alias("form_submissions"),
         F.min("received_at").alias("started"),
         F.grouping("label").alias("is_session"),
     )
@@ -203,10 +203,10 @@ def activity_trends(events: DataFrame, hourly: bool) -> DataFrame:
     ).orderBy("label")
 
 
-def hourly_activity(events: DataFrame) -> DataFrame:
+def hourly_activity(events: DataFrame, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
     """Events and form submissions per hour, the base of trends and heatmap."""
     return events.groupBy(F.date_trunc("hour", "received_at").alias("hour_start")).agg(
-        F.count("*").alias("events"), F.count_if(is_in(tx.FORM_SUBMIT)).alias("form_submissions")
+        F.count("*").alias("events"), F.count_if(is_in(taxonomy.form_submit)).alias("form_submissions")
     )
 
 

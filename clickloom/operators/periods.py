@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ def instant(as_of: datetime | str | Column) -> Column:
         return as_of
     if isinstance(as_of, datetime):
         if as_of.tzinfo is not None:
-            as_of = as_of.astimezone(tz=__import__("datetime").timezone.utc)
+            as_of = as_of.astimezone(timezone.utc)
         as_of = as_of.strftime("%Y-%m-%d %H:%M:%S.%f")
     return F.lit(as_of).cast("timestamp")
 

@@ -118,15 +118,19 @@ def last_batch(spark: SparkSession, path: str) -> DataFrame:
 # Stateful operators
 
 
-def stream_dedupe(events: DataFrame, ttl: str = "1 hour", ts: str = "received_at") -> DataFrame:
+def stream_dedupe(events: DataFrame, ttl: str = "1 hour", ts: str = "received_at", spread: int = 1) -> DataFrame:
     """First event per id within ``ttl``; events without an id all pass.
 
     An event without an id gets a key of its own from its log position, so the
-    missing ids do not share one state entry.
+    missing ids do not share one state entry. With ``spread`` > 1 an id repeated very
+    often is first thinned out on that many tasks, at the price of a second state.
     """
     position = F.concat_ws("/", F.lit("\x00"), "kafka_partition", "kafka_offset")
-    keyed = events.withColumn("_id", F.coalesce(sf.present(F.col("event_id")), position))
-    return keyed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["_id"]).drop("_id")
+    keyed = events.withColumn("_id", F.coalesce(sf.present(F.col("event_id")), position)).withWatermark(ts, ttl)
+    if spread > 1:
+        salt = F.pmod(F.xxhash64("kafka_partition", "kafka_offset"), F.lit(spread))
+        keyed = keyed.withColumn("_salt", salt).dropDuplicatesWithinWatermark(["_id", "_salt"]).drop("_salt")
+    return keyed.dropDuplicatesWithinWatermark(["_id"]).drop("_id")
 
 
 def stream_sessions_gap(

@@ -57,10 +57,11 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_dedupe_across_batches(spark, source):
+@pytest.mark.parametrize("spread", [1, 4])
+def test_dedupe_across_batches(spark, source, spread):
     source.add(("a", "u", 0), ("b", "u", 1), (None, "u", 2), (None, "u", 2))
     source.add(("a", "u", 300), ("c", "u", 301), ("", "u", 302), ("", "u", 302))
-    out = spark.read.parquet(drain(spark, jobs.stream_dedupe(source.stream())))
+    out = spark.read.parquet(drain(spark, jobs.stream_dedupe(source.stream(), spread=spread)))
     assert rows(out.fillna("-", "event_id"), "event_id") == [("",), ("",), ("-",), ("-",), ("a",), ("b",), ("c",)]
 
 
