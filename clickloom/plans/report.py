@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import partial
 
@@ -31,7 +32,7 @@ def written(frame: DataFrame, folder: str | None = None) -> DataFrame:
     spark = frame.sparkSession
     path = f"{folder or runtime.run_dir(spark, 'report')}/{uuid.uuid4().hex[:12]}"
     frame.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def build(
@@ -52,9 +53,12 @@ def build(
     both = keep(periods.split_periods(rows, seconds, as_of, comparison).select("period", *COLUMNS))
     current = both.where(F.col("period") == periods.CURRENT).drop("period")
 
-    frames = keep(sessions.session_frame(both, "period"))
-    boards = keep(insights.board_counts(current))
-    hours = keep(insights.hourly_activity(current))
+    shared = (
+        sessions.session_frame(both, "period"), insights.board_counts(current), insights.hourly_activity(current)
+    )
+    # independent jobs over the same events: submitted together they fill the cluster
+    with ThreadPoolExecutor(len(shared)) as pool:
+        frames, boards, hours = pool.map(keep, shared)
     frame = frames.where(F.col("period") == periods.CURRENT).drop("period")
     by_period = keep(insights.kpis_from(frames, insights.actor_flags(both, "period"), "period"))
     return Panels({
