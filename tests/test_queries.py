@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
-from checks import compare
+from checks import compare, oracle
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SQL = contract.oracle_sql()
+SQL = oracle.sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +16,17 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(contract.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+def test_sql_only_for_registered_queries():
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    assert compare.check(spark, duck, contract.queries()[name], SQL.get(name), SF) is None
+    assert compare.check(spark, duck, QUERIES[name], SQL[name], SF) is None
 
 
 def test_entry(spark):
