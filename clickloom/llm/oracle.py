@@ -33,4 +33,67 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op3_decontaminate": OP3}
+OP2 = r"""
+WITH d AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
+    FROM documents
+), s AS (
+    SELECT source, sum(size) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), step AS (
+    SELECT *, sum(n) OVER () - coalesce(sum(3 * n) OVER before, 0) AS left_n, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS left_w
+    FROM s WINDOW before AS (ORDER BY 3 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), capped AS (
+    SELECT source, n, w, 3 * n * left_w < left_n * w AS at_cap FROM step
+), goal AS (
+    SELECT source, n, CASE WHEN at_cap THEN CAST(3 * n AS DOUBLE)
+        ELSE CAST((sum(n) OVER () - sum(CASE WHEN at_cap THEN 3 * n ELSE 0 END) OVER ()) * w AS DOUBLE)
+             / CAST(sum(CASE WHEN at_cap THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target
+    FROM capped
+), placed AS (
+    SELECT d.doc_id, d.size, CAST(g.n AS BIGINT) AS source_size, g.target,
+           CASE WHEN g.n > 0 THEN floor(g.target / g.n) ELSE 0 END AS passes,
+           coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+    FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (passes + CASE WHEN source_size > 0 AND begins + size / 2.0 <= target - passes * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed
+"""
+
+OP7 = r"""
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), g AS (
+    SELECT digest, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN last IS NOT NULL AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last IS NOT NULL AND page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest AND p.n >= 1000
+"""
+
+CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for control in CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+OP6 = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length({_escaped("role")}) + 1 + length({_escaped("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES = {"op6_chat_format": OP6, "op7_warc": OP7, "op2_mix_sources": OP2, "op3_decontaminate": OP3}

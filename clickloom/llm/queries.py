@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, domain_rules
+from clickloom.llm import chat_format, decontaminate, domain_rules, feistel, source_mix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    size = source_mix.word_count(F.col("text"))
+    rows = documents.select(
+        F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")).alias("row"),
+        "source", size.alias("size"), source_mix.order_key(F.col("doc_id"), F.col("text")).alias("key"),
+    )
+    placed = source_mix.place(rows)
+    return placed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contaminated(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     ids = F.concat_ws(",", F.sort_array(F.transform("items", lambda i: i.cast("string"))))
@@ -21,13 +32,45 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The contract's conversation -1, in the message layout.
+CONTROL_RECORD = (
+    '{"id": -1, "messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, '
+    '{"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+)
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_row = chat_format.to_turns(table(spark, sf_dir, "conversations"))
+    by_record = chat_format.json_to_turns(spark.createDataFrame([(CONTROL_RECORD,)], "record string")).drop("layout")
+    return chat_format.read_back(chat_format.format_turns(by_row.unionByName(by_record)))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = warc.lookup(warc.write_archive(pages), pages.select(warc.url_key(F.col("url")).alias("url_key"), "page_id"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     weights = domain_rules.fit_weights(documents, domain_rules.trusted_ids(table(spark, sf_dir, "labels")))
     return domain_rules.apply_rules(documents, weights)
 
 
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("text_hash"),
+    )
+    placed = feistel.shard_rows(rows)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
+    "op6_chat_format": op6_chat_format,
+    "op7_warc": op7_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_shard": op10_shard,
 }
