@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import chat_format, decontaminate, domain_rules, feistel, source_mix, warc
+from clickloom.llm import chat_format, decontaminate, domain_rules, feistel, mil_quality, simhash, source_mix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return mil_quality.score(documents, mil_quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     size = source_mix.word_count(F.col("text"))
@@ -32,6 +37,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 #: The contract's conversation -1, in the message layout.
 CONTROL_RECORD = (
     '{"id": -1, "messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, '
@@ -67,8 +77,10 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
+    "op4_simhash": op4_simhash,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op9_quality_rules": op9_quality_rules,
