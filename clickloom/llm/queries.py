@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import chat_format, decontaminate, domain_rules, feistel, mil_quality, simhash, source_mix, warc
+from clickloom.llm import chat_format, ctw, decontaminate, domain_rules, feistel, mil_quality, simhash, source_mix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     weights = domain_rules.fit_weights(documents, domain_rules.trusted_ids(table(spark, sf_dir, "labels")))
@@ -83,6 +87,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
+    "op8_context_tree": op8_context_tree,
     "op9_quality_rules": op9_quality_rules,
     "op10_shard": op10_shard,
 }
