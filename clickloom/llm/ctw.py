@@ -42,9 +42,9 @@ DEPTH = 5
 FOLDS, HELD_OUT = 5, 1
 CHUNK_BYTES = 32 << 20
 #: Bytes handled at a time inside a task.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Distinct keys a task holds before it passes their counts on.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 19
 #: Byte runs of one group of subtrees, on average.
 GROUP_RUNS = 250_000
 #: Subtree code lengths are summed as integers of this fraction of a nat.
@@ -311,32 +311,34 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", fold
 
 def _wanted(table: pa.Table) -> pa.Table:
     """Distinct byte runs and words of a chunk."""
-    seen, words, held = [], set(), 0
+    seen, words, held = [], [], 0
     for texts in _texts(table):
-        for text in texts:
-            words.update(text.split())
+        words.append(_word_keys({w for text in texts for w in text.split()}))
         for (runs, _), _ in pieces(texts):
             seen.append(_distinct(runs))
             held += len(seen[-1])
             if held > 2 * HELD_KEYS:
                 seen = [_distinct(np.concatenate(seen))]
                 held = len(seen[0])
-    runs = _distinct(np.concatenate(seen)).astype(np.int64)
-    keys = np.array(sorted({word_key(w) for w in words}), dtype=np.int64)
+    runs, keys = _distinct(np.concatenate(seen)).astype(np.int64), _distinct(np.concatenate(words))
     n = len(runs) + len(keys)
     kinds = np.repeat(np.array([RUN, WORD], dtype=np.int32), [len(runs), len(keys)])
     chunk = pa.array(np.full(n, table.column("chunk")[0].as_py(), dtype=np.int32))
     return pa.table([chunk, pa.array(kinds), pa.array(np.concatenate([runs, keys]))], ["chunk", "kind", "key"])
 
 
+def _word_keys(words: set[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 def _texts(table: pa.Table) -> Iterator[list[bytes]]:
-    for at in range(0, table.num_rows, 1024):
-        yield [normal_text(v) for v in table.column("text").slice(at, 1024).to_pylist()]
+    for at in range(0, table.num_rows, 512):
+        yield [normal_text(v) for v in table.column("text").slice(at, 512).to_pylist()]
 
 
 def _scorer(base: tuple[int, int, int]):
@@ -345,20 +347,21 @@ def _scorer(base: tuple[int, int, int]):
 
     def score(table: pa.Table, found: pa.Table) -> pa.Table:
         kind, key, value = (found.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.argsort(key[kind == RUN])
-        runs, log_p = key[kind == RUN][order].astype(np.uint64), value[kind == RUN][order]
-        known = dict(zip(key[kind == WORD].tolist(), value[kind == WORD].tolist()))
-        seen: dict[bytes, float] = {}
+        order = np.lexsort([key, kind])
+        kind, key, value = kind[order], key[order], value[order]
+        first = int(np.searchsorted(kind, WORD))
+        runs, log_p, known, known_n = key[:first].astype(np.uint64), value[:first], key[first:], value[first:]
         n = table.num_rows
         tokens, hits, sizes = (np.zeros(n, dtype=np.int64) for _ in range(3))
         base_score, total = np.zeros(n), np.zeros(n)
         at = 0
         for texts in _texts(table):
-            for i, text in enumerate(texts):
-                words = text.split()
-                for word in set(words):
-                    if word not in seen:
-                        seen[word] = known.get(word_key(word), 0.0)
+            split = [text.split() for text in texts]
+            here = {w for words in split for w in words}
+            keys = _word_keys(here)
+            place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            seen = dict(zip(here, np.where(known[place] == keys, known_n[place], 0.0).tolist())) if len(known) else dict.fromkeys(here, 0.0)
+            for i, (text, words) in enumerate(zip(texts, split)):
                 c = np.array([seen[w] for w in words] + [float(train_docs)])
                 tokens[at + i], hits[at + i], sizes[at + i] = len(c), np.count_nonzero(c), len(text)
                 base_score[at + i] = np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1))).sum()
