@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import chat_format, ctw, decontaminate, domain_rules, feistel, mil_quality, simhash, source_mix, warc
+from clickloom.llm import chat_format, ctw, decontaminate, domain_rules, feistel, mil_quality, paragraph_dedup, simhash, source_mix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
 #: The contract's conversation -1, in the message layout.
 CONTROL_RECORD = (
     '{"id": -1, "messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, '
@@ -85,6 +89,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_context_tree": op8_context_tree,
