@@ -40,9 +40,9 @@ from clickloom.llm import text as T
 
 DEPTH = 5
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Bytes handled at a time inside a task.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Distinct keys a task holds before it passes their counts on.
 HELD_KEYS = 1 << 19
 #: Byte runs of one group of subtrees, on average.
@@ -323,6 +323,8 @@ def _wanted(table: pa.Table) -> pa.Table:
     runs, keys = _distinct(np.concatenate(seen)).astype(np.int64), _distinct(np.concatenate(words))
     n = len(runs) + len(keys)
     kinds = np.repeat(np.array([RUN, WORD], dtype=np.int32), [len(runs), len(keys)])
+    del seen, words
+    pa.default_memory_pool().release_unused()
     chunk = pa.array(np.full(n, table.column("chunk")[0].as_py(), dtype=np.int32))
     return pa.table([chunk, pa.array(kinds), pa.array(np.concatenate([runs, keys]))], ["chunk", "kind", "key"])
 
@@ -350,6 +352,8 @@ def _scorer(base: tuple[int, int, int]):
         order = np.lexsort([key, kind])
         kind, key, value = kind[order], key[order], value[order]
         first = int(np.searchsorted(kind, WORD))
+        del found, order
+        pa.default_memory_pool().release_unused()
         runs, log_p, known, known_n = key[:first].astype(np.uint64), value[:first], key[first:], value[first:]
         n = table.num_rows
         tokens, hits, sizes = (np.zeros(n, dtype=np.int64) for _ in range(3))
