@@ -166,7 +166,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     # sorted by key, then page id, so that many captures of one URL are split over parts too
     lines = spark.read.schema(CAPTURE).parquet(f"{folder}/captures")
     lines = lines.withColumn("page_order", F.coalesce("page_id", F.lit(-(1 << 63))))
-    ordered = lines.repartitionByRange("url_key", "page_order").sortWithinPartitions("url_key", "page_order")
+    ordered = lines.repartitionByRange(_tasks(spark), "url_key", "page_order").sortWithinPartitions("url_key", "page_order")
     ordered.mapInArrow(_index_writer(folder), DIRECTORY).write.parquet(f"{folder}/directory")
     blocks = spark.read.schema(DIRECTORY).parquet(f"{folder}/directory")
     firsts = blocks.groupBy("file").agg(F.min(F.struct("first_key", "first_page")).alias("first")).collect()
@@ -175,6 +175,11 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     return Archive(spark, folder, tuple(parts))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks of steps whose rows are small but stand for much work, so they are not merged by size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _record_writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
@@ -281,7 +286,7 @@ def lookup(archive: Archive, wanted: DataFrame) -> DataFrame:
     wanted = wanted.select("url_key", F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_order")).distinct()
     wanted = wanted.withColumn("part", part_of("url_key", "page_order")).filter("part >= 0")
     # ranges of (part, key) keep neighbours together and split a large part over tasks
-    wanted = wanted.repartitionByRange("part", "url_key", "page_order").sortWithinPartitions("part", "url_key", "page_order")
+    wanted = wanted.repartitionByRange(_tasks(archive.spark), "part", "url_key", "page_order").sortWithinPartitions("part", "url_key", "page_order")
     directory = f"{archive.folder}/directory"
     return wanted.mapInArrow(_reader(archive.folder, directory, files), FOUND)
 
