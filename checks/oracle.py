@@ -146,7 +146,9 @@ whole AS (
     || ',"session_id":' || CASE WHEN k = 24 THEN '""' ELSE {quoted('session_id')} END
     || ',"page_path":' || {quoted('page_path')} || '}}' AS whole FROM clicks),
 sent AS (
-  SELECT CASE k WHEN 13 THEN '{{bad' WHEN 14 THEN '[1,2]' WHEN 15 THEN '' ELSE whole END AS message,
+  SELECT CASE k WHEN 13 THEN '{{bad' WHEN 14 THEN '[1,2]' WHEN 15 THEN ''
+    WHEN 27 THEN whole || '{{"name":"second"}}' WHEN 28 THEN whole || ' junk' WHEN 29 THEN '{{''name'':''quoted''}}'
+    WHEN 30 THEN whole || '],[{{"name":"second"}}' ELSE whole END AS message,
     kafka_partition AS "partition", kafka_offset AS "offset", received_at AS event_timestamp, eid FROM whole),
 msg AS (
   SELECT message, "partition", "offset", event_timestamp FROM sent
@@ -539,6 +541,9 @@ def sql() -> dict[str, str]:
         "live_stats": with_(WINDOWED, f"""SELECT 'name' AS scope, event_name AS name, count(*) AS events,
           round_even(count(*) / {WHOLE}.0 * 60, 2) AS rate_per_minute, CAST({WHOLE} AS INTEGER) AS window_seconds FROM w GROUP BY event_name
           UNION ALL SELECT 'all', NULL, count(*), round_even(count(*) / {WHOLE}.0 * 60, 2), {WHOLE} FROM w"""),
+        "live_stats_quiet": with_(EV, """SELECT 'all' AS scope, CAST(NULL AS VARCHAR) AS name, count(*) AS events, CAST(0 AS DOUBLE) AS rate_per_minute,
+          CAST(60 AS INTEGER) AS window_seconds FROM ev WHERE received_at >= TIMESTAMP '2029-12-31 23:59:00'"""),
+        "event_page_wide": with_(EV, f"SELECT event_id, event_name FROM ev ORDER BY {RECENT_ORDER} LIMIT 450"),
         "distinct_names": with_(EV, "SELECT DISTINCT event_name AS name FROM ev WHERE event_name <> ''"),
         "live_projection": with_(COMPONENTS, f"SELECT {LIVE} FROM evc"),
         "legacy_projection": with_(EV, "SELECT properties_json AS message, event_name AS name, received_at AS kafka_timestamp, received_at FROM ev"),
@@ -597,6 +602,8 @@ def sql() -> dict[str, str]:
         "ingest_status": with_(EV, """SELECT 'partition' AS scope, kafka_partition, count(*) AS row_count, max(received_at) AS last_ingested_at,
           max(kafka_offset) + 1 AS next_offset FROM ev GROUP BY kafka_partition
           UNION ALL SELECT 'table', NULL, count(*), max(received_at), NULL FROM ev"""),
+        "ingest_status_empty": with_(EV, """SELECT 'table' AS scope, CAST(NULL AS INTEGER) AS kafka_partition, count(*) AS row_count,
+          max(received_at) AS last_ingested_at, CAST(NULL AS BIGINT) AS next_offset FROM ev WHERE event_name = 'no such event'"""),
         "ingest_lag": with_(MESSAGES, """SELECT kafka_partition, end_offset, next_offset, greatest(0, end_offset - next_offset) AS lag
           FROM (SELECT "partition" AS kafka_partition, max("offset") + 1 AS end_offset FROM msg GROUP BY 1)
           JOIN (SELECT kafka_partition, max(kafka_offset) + 1 AS next_offset FROM clicks GROUP BY 1) USING (kafka_partition)"""),

@@ -338,6 +338,17 @@ def live_stats(spark, sf_dir):
     return live.live_stats(events(spark, sf_dir), WHOLE, AS_OF)
 
 
+@query
+def live_stats_quiet(spark, sf_dir):
+    """A window after the last event."""
+    return live.live_stats(events(spark, sf_dir), 60, "2030-01-01 00:00:00")
+
+
+@query
+def event_page_wide(spark, sf_dir):
+    return live.page_events(events(spark, sf_dir), limit=450).select("event_id", "event_name")
+
+
 @query
 def distinct_names(spark, sf_dir):
     return live.distinct_names(events(spark, sf_dir))
@@ -575,6 +586,11 @@ def ingest_status(spark, sf_dir):
     return ingest_checks.ingest_status(events(spark, sf_dir))
 
 
+@query
+def ingest_status_empty(spark, sf_dir):
+    return ingest_checks.ingest_status(events(spark, sf_dir).where("event_name = 'no such event'"))
+
+
 @query
 def ingest_lag(spark, sf_dir):
     ends = sample.messages(spark, sf_dir).groupBy(F.col("partition").alias("kafka_partition")).agg(

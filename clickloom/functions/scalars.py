@@ -18,6 +18,8 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+#: What becomes an underscore in a label.
+LABEL_BREAKS = r"[^\p{L}\p{N}_.:/-]+"
 UTM_KEYS = ("source", "medium", "campaign", "term", "content")
 
 
@@ -126,7 +128,7 @@ def short_event_name(c: Column) -> Column:
 
 def sanitize_label(c: Column, limit: int = 64) -> Column:
     """Runs of characters outside letters, digits and ``_ . : / -`` become one underscore."""
-    cleaned = F.left(F.regexp_replace(strip(c), r"[^\p{L}\p{N}_.:/-]+", "_"), F.lit(limit))
+    cleaned = F.left(F.regexp_replace(strip(c), LABEL_BREAKS, "_"), F.lit(limit))
     # an empty label becomes "unknown"; said as a pattern, so that the label is built once
     return F.regexp_replace(F.btrim(cleaned, F.lit("_")), "^$", tx.UNKNOWN)
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from clickloom import schema, taxonomy as tx
@@ -21,13 +22,16 @@ def _is_object(c: Column) -> Column:
 
 
 def _envelope(message: Column) -> Column:
-    """Envelope fields as text, from one parse; ``bad_json`` holds a text that is no JSON."""
-    return F.from_json(message, schema.ENVELOPE_TEXT, {"columnNameOfCorruptRecord": "bad_json"})
+    """Envelope fields as text; NULL when the message is not one JSON object and nothing else.
 
-
-def _is_bad(message: Column, e: Column) -> Column:
-    """Not one JSON object. A bad message has no field but ``bad_json``."""
-    return e.isNull() | e["bad_json"].isNotNull() | ~_is_object(message)
+    The parser ignores what follows a complete value, so the message is read inside an
+    array, where it must be the only element, and inside an object: what could end the
+    one early is an error in the other.
+    """
+    inside = F.from_json(F.concat(F.lit("["), message, F.lit("]")), T.ArrayType(schema.ENVELOPE_TEXT), {"allowSingleQuotes": "false"})
+    alone = F.filter(F.array(inside), lambda found: F.size(found) == 1)
+    closed = F.json_object_keys(F.concat(F.lit('{"m":'), message, F.lit("}"))).isNotNull()
+    return F.when(_is_object(message) & closed, F.get(F.get(alone, F.lit(0)), F.lit(0)))
 
 
 def _log_columns() -> list[Column]:
@@ -56,14 +60,13 @@ def parse_envelope(
         raise ValueError(f"bad_records must be one of {BAD_RECORDS}")
     stamped = F.current_timestamp() if ingested_at is None else ingested_at
     message = F.col("message")
-    if bad_records == "drop":
-        # a predicate of its own: one on the parsed fields would parse twice
-        messages = messages.where(_is_object(message) & F.json_object_keys(message).isNotNull())
     rows = messages.select(
         _envelope(message).alias("e"), message.alias("raw_payload"), *_log_columns(), stamped.alias("ingested_at")
     )
     e = F.col("e")
-    rows = rows.select("*", _is_bad(F.col("raw_payload"), e).alias("is_bad"))
+    if bad_records == "drop":
+        rows = rows.where(e.isNotNull())
+    rows = rows.select("*", e.isNull().alias("is_bad"))
     bad = F.col("is_bad")
     name = F.coalesce(sf.present(e["name"]), sf.present(e["event_name"]), F.lit(tx.UNKNOWN))
     if bad_records == "fail":
@@ -111,7 +114,6 @@ def parse_envelope_lenient(messages: DataFrame, received_at: Column | None = Non
     rows = messages.select(
         _envelope(message).alias("e"), message.alias("raw"), *_log_columns(), stamped.alias("received_at")
     )
-    rows = rows.withColumn("e", F.when(~_is_bad(F.col("raw"), F.col("e")), F.col("e")))
     e = F.col("e")
     live = rows.select(
         "raw",
@@ -167,7 +169,6 @@ def validate_envelope(messages: DataFrame) -> DataFrame:
     message = F.col("message")
     return (
         messages.withColumn("e", _envelope(message))
-        .withColumn("e", F.when(~_is_bad(message, e), e))
         .withColumn("failed_rules", F.filter(F.array(*rules), lambda r: r.isNotNull()))
         .drop("e")
     )

@@ -22,20 +22,14 @@ def next_offsets(events: DataFrame) -> DataFrame:
 
 
 def ingest_status(events: DataFrame, time_col: str = "ingested_at") -> DataFrame:
-    """Per partition: rows, newest arrival, next offset; and one row for the table."""
-    per = events.rollup("kafka_partition").agg(
+    """Per partition: rows, newest arrival, next offset; and one row for the table, also an empty one."""
+    per = events.groupBy("kafka_partition").agg(
         F.count("*").alias("row_count"),
         F.max(time_col).alias("last_ingested_at"),
         (F.max("kafka_offset") + 1).alias("next_offset"),
-        F.grouping("kafka_partition").alias("_all"),
-    )
-    return per.select(
-        F.when(F.col("_all") == 1, "table").otherwise("partition").alias("scope"),
-        F.when(F.col("_all") == 0, F.col("kafka_partition")).alias("kafka_partition"),
-        "row_count",
-        "last_ingested_at",
-        F.when(F.col("_all") == 0, F.col("next_offset")).alias("next_offset"),
-    )
+    ).select(F.lit("partition").alias("scope"), "*")
+    table = per.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"), F.max("last_ingested_at").alias("last_ingested_at"))
+    return per.unionByName(table.withColumn("scope", F.lit("table")), allowMissingColumns=True)
 
 
 def ingest_lag(end_offsets: DataFrame, committed: DataFrame) -> DataFrame:

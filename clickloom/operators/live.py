@@ -36,10 +36,11 @@ def latest_n(events: DataFrame, n: int = BUFFER_SIZE) -> DataFrame:
     return events.orderBy(*newest_first()).limit(n)
 
 
-def page_events(events: DataFrame, limit: int = 50, offset: int = 0, buffer: int = BUFFER_SIZE) -> DataFrame:
-    """One page, newest first; the limit is held to 1..buffer. Ends in a top-k."""
-    limit = max(1, min(limit, buffer))
-    return events.orderBy(*newest_first()).offset(max(0, offset)).limit(limit)
+def page_events(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page, newest first. Ends in a top-k of ``offset + limit`` rows."""
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has a limit of at least 1 and an offset of at least 0")
+    return events.orderBy(*newest_first()).offset(offset).limit(limit)
 
 
 def page_meta(events: DataFrame, page: DataFrame, limit: int, offset: int) -> DataFrame:
@@ -67,18 +68,22 @@ def legacy_projection(events: DataFrame) -> DataFrame:
 def live_stats(events: DataFrame, seconds: int, as_of) -> DataFrame:
     """Counts and rate per minute in the window: one row for all, then one per name.
 
-    A rollup gives the total in the same pass; its row has ``scope`` = all.
+    The total adds up the names' counts; a window without events has a total of 0.
+    Names with equal counts are in the order in which they were first seen.
     """
-    seconds = max(1, seconds)
+    if seconds < 1:
+        raise ValueError("the window has at least one second")
     recent = periods.events_in_window(events, seconds, as_of)
-    counts = recent.rollup("event_name").agg(F.count("*").alias("events"), F.grouping("event_name").alias("_all"))
-    return counts.select(
-        F.when(F.col("_all") == 1, "all").otherwise("name").alias("scope"),
-        F.when(F.col("_all") == 0, F.col("event_name")).alias("name"),
-        "events",
+    names = recent.groupBy(F.col("event_name").alias("name")).agg(F.count("*").alias("events"), F.min("received_at").alias("_seen"))
+    total = names.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
+    counts = names.select(F.lit("name").alias("scope"), "name", "events", "_seen").unionByName(
+        total.select(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("name"), "events", F.lit(None).cast("timestamp").alias("_seen"))
+    )
+    return counts.orderBy("scope", F.desc("events"), "_seen", "name").select(
+        "scope", "name", "events",
         F.bround(F.col("events") / seconds * 60, 2).alias("rate_per_minute"),
         F.lit(seconds).alias("window_seconds"),
-    ).orderBy("scope", F.desc("events"), "name")
+    )
 
 
 def distinct_names(events: DataFrame) -> DataFrame:

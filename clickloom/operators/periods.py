@@ -30,8 +30,11 @@ def before(as_of: datetime | str | Column, seconds: float) -> Column:
 
 
 def window_days(days: int | None, default: int = 7) -> int:
-    """At least one day; there is no upper limit."""
-    return max(1, default if days is None else days)
+    """Days of a window, at least one; there is no upper limit."""
+    days = default if days is None else days
+    if days < 1:
+        raise ValueError("the window has at least one day")
+    return days
 
 
 def events_in_window(

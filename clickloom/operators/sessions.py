@@ -9,14 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from clickloom import schema, taxonomy as tx
 from clickloom.functions import scalars as sf
-from clickloom.runtime import checkpointed
-
-#: Longest page list kept inside a session row; ``session_pages`` lists all pages.
-INLINE_PAGES = 500
 
 FILTER_MODES = ("all", "converted", "not_converted", "anonymous", "identified")
 
@@ -126,38 +121,27 @@ def session_pages(events: DataFrame) -> DataFrame:
     return first.select("session_key", "page_path", F.col("first_seen.received_at").alias("first_seen_at"), "first_seen")
 
 
-def inline_pages(pages: DataFrame, limit: int = INLINE_PAGES) -> DataFrame:
+def inline_pages(pages: DataFrame) -> DataFrame:
     """Page count and ordered page list per session from ``session_pages``.
 
-    Lists longer than ``limit`` are left to ``session_pages``: their ``pages`` is
-    NULL and never a cut list. The rank filter bounds what a reducer gathers to
-    ``limit + 1`` rows per session and runs before the shuffle as well.
+    The list has every distinct page, in the order of its first view. Callers that do
+    not need it count the rows of ``session_pages`` instead.
     """
-    rank = F.row_number().over(W.Window.partitionBy("session_key").orderBy("first_seen", "page_path"))
-    head = (
-        pages.withColumn("_rn", rank)
-        .where(F.col("_rn") <= limit + 1)
-        .groupBy("session_key")
-        .agg(F.sort_array(F.collect_list(F.struct("_rn", "page_path"))).alias("_head"))
-        .select("session_key", F.when(F.size("_head") <= limit, F.col("_head.page_path")).alias("pages"))
-    )
-    # asking for the time here too keeps both branches on one shuffle of the pages
-    counts = (
-        pages.groupBy("session_key")
-        .agg(F.count("*").alias("page_count"), F.max("first_seen.received_at").alias("_newest"))
-        .where("_newest IS NOT NULL")
-        .drop("_newest")
+    listed = pages.groupBy("session_key").agg(
+        F.count("*").alias("page_count"), F.sort_array(F.collect_list(F.struct("first_seen", "page_path"))).alias("_pages")
     )
-    return counts.join(head, "session_key")
+    return listed.select("session_key", "page_count", F.col("_pages.page_path").alias("pages"))
 
 
-def session_rows(
-    events: DataFrame, frame: DataFrame | None = None, limit: int = INLINE_PAGES
-) -> DataFrame:
-    """One row per session with ids, display name, conversion and pages, unsorted."""
+def session_rows(events: DataFrame, frame: DataFrame | None = None, pages: bool = True) -> DataFrame:
+    """One row per session with ids, display name, conversion and pages, unsorted.
+
+    Without ``pages`` the rows have the page count alone, so no list is gathered.
+    """
     frame = session_frame(events) if frame is None else frame
-    joined = frame.join(inline_pages(session_pages(events), limit), "session_key", "left")
-    page_count = F.coalesce("page_count", F.lit(0))
+    seen = session_pages(events)
+    listed = inline_pages(seen) if pages else seen.groupBy("session_key").agg(F.count("*").alias("page_count"))
+    joined = frame.join(listed, "session_key", "left")
     return joined.select(
         F.col("session_key").alias("session_id"),
         sf.truncate_id(F.col("session_key")).alias("session_id_short"),
@@ -167,8 +151,8 @@ def session_rows(
         (F.col("has_form_submit") == 1).alias("converted"),
         "form_event",
         (F.col("has_marketplace") == 1).alias("marketplace_engaged"),
-        F.when(page_count == 0, F.array().cast("array<string>")).otherwise(F.col("pages")).alias("pages"),
-        page_count.alias("page_count"),
+        *([F.coalesce("pages", F.array().cast("array<string>")).alias("pages")] if pages else []),
+        F.coalesce("page_count", F.lit(0)).alias("page_count"),
         "event_count",
         "first_activity_at",
         "last_activity_at",
@@ -230,15 +214,11 @@ def recent_converters(events: DataFrame, n: int = 20, frame: DataFrame | None =
     """The ``n`` newest converted sessions, newest first.
 
     Pages are gathered for these sessions only: the events are filtered by the
-    ``n`` session keys before any page is grouped. Without a ready frame the ``n`` rows
-    are written down, since two branches read them.
+    ``n`` session keys before any page is grouped.
     """
     ranked = (session_frame(events) if frame is None else frame).where("has_form_submit = 1")
     newest = ranked.orderBy(F.desc("submitted_at"), "session_key").limit(n)
-    if frame is None:
-        newest = checkpointed(newest)
-    # n rows, so the keys always fit in a broadcast
-    keys = F.broadcast(newest.select("session_key"))
+    keys = newest.select("session_key")
     pages = inline_pages(session_pages(events.join(keys, "session_key", "left_semi")))
     started = F.coalesce("first_pageview_at", "first_activity_at")
     return (
@@ -249,7 +229,7 @@ def recent_converters(events: DataFrame, n: int = 20, frame: DataFrame | None =
             "submitted_at",
             "email_masked",
             F.col("submit_user_id").alias("user_id"),
-            F.when(F.col("page_count").isNull(), F.array().cast("array<string>")).otherwise(F.col("pages")).alias("pages"),
+            F.coalesce("pages", F.array().cast("array<string>")).alias("pages"),
             "event_count",
             seconds_between(started, F.col("submitted_at")).alias("time_to_convert_seconds"),
         )

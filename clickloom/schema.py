@@ -24,7 +24,6 @@ ENVELOPE_TEXT = T.StructType(
             "session_id",
             "page_path",
             "context",
-            "bad_json",  # the text itself when it is no JSON
         )
     ]
 )

@@ -88,6 +88,8 @@ def load_events(
         return envelope.dedupe_events(envelope.to_canonical(scan_events(spark, name, days, as_of, comparison=comparison)))
     if kind == "live":
         clock = F.current_timestamp() if as_of is None else as_of
-        seconds = max(60, min(seconds, 3600))
-        return periods.events_in_window(envelope.with_keys(spark.read.parquet(name)), seconds, clock)
+        if seconds < 1:
+            raise ValueError("the window has at least one second")
+        recent = periods.events_in_window(spark.read.parquet(name), seconds, clock)
+        return envelope.dedupe_events(envelope.with_keys(recent))
     raise ValueError("source must be history:<table> or live:<path>")

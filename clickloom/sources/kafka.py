@@ -54,12 +54,13 @@ def start_position(mode: str | Mapping[int, int], topic: str) -> str:
 
 
 def stream_options(topic: str, starting: str | Mapping[int, int] = "earliest", max_per_trigger: int | None = None,
-                   env: Mapping[str, str] | None = None) -> dict[str, str]:
+                   env: Mapping[str, str] | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Options of a stream; offsets that are gone fail the query unless ``fail_on_data_loss`` is off."""
     options = {
         **client_options(env),
         "subscribe": topic,
         "startingOffsets": start_position(starting, topic),
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if max_per_trigger:
         options["maxOffsetsPerTrigger"] = str(max_per_trigger)
@@ -67,14 +68,15 @@ def stream_options(topic: str, starting: str | Mapping[int, int] = "earliest", m
 
 
 def kafka_events(spark: SparkSession, topic: str, starting: str | Mapping[int, int] = "earliest",
-                 max_per_trigger: int | None = None) -> DataFrame:
+                 max_per_trigger: int | None = None, fail_on_data_loss: bool = True) -> DataFrame:
     """Messages of a topic as a stream: message, partition, offset, event_timestamp."""
-    options = stream_options(topic, starting, max_per_trigger)
+    options = stream_options(topic, starting, max_per_trigger, fail_on_data_loss=fail_on_data_loss)
     return spark.readStream.format("kafka").options(**options).load().selectExpr(*MESSAGE)
 
 
 def batch_options(topic: str, start: Mapping[int, int] | str = "earliest", end: Mapping[int, int] | str = "latest",
-                  max_per_partition: int | None = None, env: Mapping[str, str] | None = None) -> dict[str, str]:
+                  max_per_partition: int | None = None, env: Mapping[str, str] | None = None,
+                  fail_on_data_loss: bool = True) -> dict[str, str]:
     """Options of a bounded read, at most ``max_per_partition`` messages each."""
     if max_per_partition is not None:
         if not isinstance(start, Mapping):
@@ -86,7 +88,7 @@ def batch_options(topic: str, start: Mapping[int, int] | str = "earliest", end:
         "subscribe": topic,
         "startingOffsets": start_position(start, topic),
         "endingOffsets": ending,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
 
 

@@ -155,6 +155,10 @@ def raw_messages(events: DataFrame) -> DataFrame:
     )
     message = (
         F.when(F.col("k") == 13, F.lit("{bad")).when(F.col("k") == 14, F.lit("[1,2]")).when(F.col("k") == 15, F.lit(""))
+        .when(F.col("k") == 27, F.concat(whole, F.lit('{"name":"second"}')))
+        .when(F.col("k") == 28, F.concat(whole, F.lit(" junk")))
+        .when(F.col("k") == 29, F.lit("{'name':'quoted'}"))
+        .when(F.col("k") == 30, F.concat(whole, F.lit('],[{"name":"second"}')))
         .otherwise(whole)
     )
     sent = rows.select(

@@ -52,7 +52,7 @@ def test_kafka_options():
     env = {"KAFKA_BOOTSTRAP_SERVERS": " host:1 ", "KAFKA_SASL_MECHANISM": ""}
     options = kafka.stream_options("t", "latest", 100, env)
     assert options == {
-        "kafka.bootstrap.servers": "host:1", "subscribe": "t", "startingOffsets": "latest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": "100",
+        "kafka.bootstrap.servers": "host:1", "subscribe": "t", "startingOffsets": "latest", "failOnDataLoss": "true", "maxOffsetsPerTrigger": "100",
     }
     bounded = kafka.batch_options("t", {1: 5, 0: 7}, max_per_partition=50, env={})
     assert json.loads(bounded["startingOffsets"]) == {"t": {"0": 7, "1": 5}}

@@ -12,6 +12,13 @@ MESSAGES = {
     "malformed": "{bad",
     "array": "[1,2]",
     "empty": "",
+    "two": '{"name":"a"}{"name":"b"}',
+    "two_listed": '{"name":"a"},{"name":"b"}',
+    "trailing": '{"name":"a"} junk',
+    "single_quoted": "{'name':'q'}",
+    "closes_array": '{"name":"a"}],[{"name":"b"}',
+    "closes_object": '{"name":"a"}},{"m":{"name":"b"}',
+    "more_keys": '{"name":"a"},"m":{"name":"b"}',
     "text_props": json.dumps({**GOOD, "properties": "text"}),
     "text_time": json.dumps({**GOOD, "timestamp": "5"}),
     "fraction_time": json.dumps({**GOOD, "timestamp": 1.5}),
@@ -24,6 +31,9 @@ MESSAGES = {
 }
 
 
+BAD = {"malformed", "array", "empty", "two", "two_listed", "trailing", "single_quoted", "closes_array", "closes_object", "more_keys"}
+
+
 @pytest.fixture
 def messages(spark):
     rows = [(m, 0, i, None) for i, m in enumerate(MESSAGES.values())]
@@ -37,16 +47,16 @@ def by_case(df):
 
 def test_quarantine_keeps_every_message_and_marks_the_bad(messages):
     rows = by_case(envelope.parse_envelope(messages))
-    assert {n for n, r in rows.items() if r["is_bad"]} == {"malformed", "array", "empty"}
+    assert {n for n, r in rows.items() if r["is_bad"]} == BAD
     assert len(rows) == len(MESSAGES)
     assert rows["malformed"]["event_name"] is None and rows["malformed"]["raw_payload"] == "{bad"
     good, bad = envelope.quarantined(envelope.parse_envelope(messages))
-    assert (good.count(), bad.count()) == (len(MESSAGES) - 3, 3)
+    assert (good.count(), bad.count()) == (len(MESSAGES) - len(BAD), len(BAD))
 
 
 def test_fields_of_the_parse(messages):
     rows = by_case(envelope.parse_envelope(messages, "drop"))
-    assert len(rows) == len(MESSAGES) - 3
+    assert len(rows) == len(MESSAGES) - len(BAD)
     assert json.loads(rows["good"]["properties_json"]) == GOOD["properties"]
     assert rows["text_props"]["properties_json"] is None
     times = {n: rows[n]["event_timestamp"] for n in ("good", "text_time", "fraction_time", "junk_time")}
@@ -61,8 +71,11 @@ def test_keep_and_fail(messages):
     assert len(kept) == len(MESSAGES) and kept["array"]["event_name"] is None
     with pytest.raises(PySparkException, match="no JSON object"):
         envelope.parse_envelope_strict(messages).collect()
-    clean = messages.where("message LIKE '{\"%'")
-    assert envelope.parse_envelope_strict(clean).count() == len(MESSAGES) - 3
+    clean = messages.where(~F.col("offset").isin([i for i, n in enumerate(MESSAGES) if n in BAD]))
+    assert len(envelope.parse_envelope_strict(clean).collect()) == len(MESSAGES) - len(BAD)
+    for name in BAD:
+        with pytest.raises(PySparkException, match="no JSON object"):
+            envelope.parse_envelope_strict(messages.where(F.col("offset") == list(MESSAGES).index(name))).collect()
     with pytest.raises(ValueError):
         envelope.parse_envelope(messages, "other")
 
@@ -70,7 +83,7 @@ def test_keep_and_fail(messages):
 def test_lenient_never_fails(messages):
     rows = by_case(envelope.parse_envelope_lenient(messages))
     assert len(rows) == len(MESSAGES)
-    assert all(rows[n]["event_name"] == "unknown" for n in ("malformed", "array", "empty", "other_name"))
+    assert all(rows[n]["event_name"] == "unknown" for n in (*BAD, "other_name"))
     assert rows["empty_ids"]["session_id"] == "" and rows["text_props"]["properties_json"] == "{}"
     assert json.loads(rows["context"]["context_json"])["utm"] == {"source": "s"}
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom import taxonomy as tx
-from clickloom.operators import insights, live, periods, quantiles, sessions
+from clickloom.operators import ingest_checks, insights, live, periods, quantiles, sessions
 from clickloom.plans import report
 from conftest import AS_OF, DAY
 
@@ -203,6 +203,28 @@ def test_live_stats(make_events):
     events = make_events({"t": DAY - 1}, {"t": DAY - 60}, {"t": DAY - 61, "name": "old"}, {"t": DAY, "name": "x"})
     rows = {(r["scope"], r["name"]): (r["events"], r["rate_per_minute"]) for r in live.live_stats(events, 60, AS_OF).collect()}
     assert rows == {("all", None): (3, 3.0), ("name", "$pageview"): (2, 2.0), ("name", "x"): (1, 1.0)}
+    quiet = live.live_stats(events, 60, "2024-02-01 00:00:00").collect()
+    assert [(r["scope"], r["events"], r["rate_per_minute"]) for r in quiet] == [("all", 0, 0.0)]
+    with pytest.raises(ValueError):
+        live.live_stats(events, 0, AS_OF)
+
+
+def test_ties_are_in_the_order_first_seen(make_events):
+    events = make_events({"t": 5, "name": "a"}, {"t": 1, "name": "b"}, {"t": 9, "name": "b"}, {"t": 7, "name": "a"})
+    assert [r["name"] for r in live.live_stats(events, DAY, AS_OF).collect()] == [None, "b", "a"]
+
+
+def test_pages_of_events_have_the_size_asked_for(make_events):
+    events = make_events(*[{"t": i} for i in range(500)])
+    assert live.page_events(events, 450).count() == 450
+    for limit, offset in ((0, 0), (1, -1)):
+        with pytest.raises(ValueError):
+            live.page_events(events, limit, offset)
+
+
+def test_status_of_an_empty_table(make_events):
+    status = ingest_checks.ingest_status(make_events({"t": 1}).limit(0), "received_at").collect()
+    assert [(r["scope"], r["row_count"], r["last_ingested_at"]) for r in status] == [("table", 0, None)]
 
 
 def test_report_panels_agree_with_the_operators(make_events):

@@ -114,6 +114,11 @@ def test_sql_functions_agree_with_columns(spark):
     sql.register(spark)
     rows = spark.createDataFrame([(v,) for v in MASKS if v], "v string")
     assert rows.where(~(F.expr("mask_email(v)") == sf.mask_email(F.col("v")))).count() == 0
+    odd = ["cafe\u0301 x", "a\u203fb", "\u00a0who@x.y\t", "\t", "", "é/ü:1", "__a__", "x" * 90, None]
+    texts = spark.createDataFrame([(v,) for v in odd], "v string")
+    for name, rule in (("mask_email", sf.mask_email), ("sanitize_label", sf.sanitize_label)):
+        assert texts.where(~F.expr(f"{name}(v)").eqNullSafe(rule(F.col("v")))).count() == 0
+    assert spark.sql("""SELECT event_component('x', '{"button":"\\t","tab":"t1"}')""").first()[0] == "tab:t1"
     assert spark.sql("SELECT pct(1, 16), pct(1, 0)").first() == (6.2, 0.0)
     assert spark.sql("SELECT session_key('', '', '9'), session_key(NULL, 'a', '9')").first() == ("evt:9", "anon:a")
 
