@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import math
 import os
@@ -69,6 +70,19 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def passing_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one that is deleted when the driver's Python ends."""
+    path = run_dir(spark, name)
+    atexit.register(_discard, spark, path)
+    return path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext._jsc
+    if context is not None and not context.sc().isStopped():
+        remove(spark, path)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(location).isDirectory()
