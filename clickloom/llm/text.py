@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +50,7 @@ def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, deleted when the driver's Python ends."""
-    path = runtime.run_dir(spark, name)
-    atexit.register(_discard, spark, path)
-    return path
-
-
-def _discard(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    runtime.remove(spark, path)
+    return runtime.passing_dir(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
