@@ -118,10 +118,6 @@ def form_email(props: Column, user_id: Column) -> Column:
     )
 
 
-def cta_label(event_name: Column, props: Column) -> Column:
-    return F.concat_ws(" · ", event_name, first_prop(props, tx.CTA_KEYS))
-
-
 def short_event_name(c: Column) -> Column:
     return F.regexp_replace(strip(c), "^(" + "|".join(tx.SHORT_NAME_PREFIXES) + ")", "")
 

@@ -66,16 +66,6 @@ RAW_MESSAGE = T.StructType(
 #: Date partition added to the table so that time filters prune directories.
 PARTITION_COLUMN = "ingest_date"
 
-CONTEXT = T.StructType(
-    [
-        T.StructField("browser", T.StringType()),
-        T.StructField("locale", T.StringType()),
-        T.StructField("referrer", T.StringType()),
-        T.StructField("pathname", T.StringType()),
-        T.StructField("utm", T.MapType(T.StringType(), T.StringType())),
-    ]
-)
-
 #: Total order of events: arrival time first, then log position, then id.
 ORDER_COLUMNS = ("received_at", "kafka_partition", "kafka_offset", "event_id")
 

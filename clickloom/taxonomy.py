@@ -82,7 +82,6 @@ WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 # Latency bucket bounds in seconds.
 PUBLISH_LATENCY_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 45.0)
-REQUEST_LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 
 # Catalog rules, the first lowercase substring found in a name wins.
 CATEGORY_RULES = (
