@@ -9,18 +9,20 @@ per user is bounded by the time range, not by the number of events.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from clickloom.runtime import checkpointed
+from clickloom import runtime
 
 MODES = ("gap", "fixed")
 TIMEOUT = 1800
-GAP_SLICE = 3600
-#: Longest stretch of activity (events) walked in one task; longer ones are doubled.
-FOLD_LIMIT = 1_000_000
+#: Seconds of one user's events that meet in a task when gaps are looked for.
+GAP_SLICE = 60
+#: Parts of a fixed-age timeout; one user's distinct times of a part meet in a task.
+AGE_PARTS = 64
 
 
 def sessionize(
@@ -40,12 +42,15 @@ def sessionize(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    rows = events.withColumn("_us", F.unix_micros(F.col(time_col)))
+    rows = events.where(F.col(key).isNotNull()).withColumn("_us", F.unix_micros(F.col(time_col)))
     build = _by_gap if mode == "gap" else _by_age
     numbered = build(rows, key, timeout_seconds * 1_000_000, **options)
-    return numbered.withColumn("session_started_at", F.timestamp_micros("_start")).drop(
-        "_us", "_slice", "_start"
+    sessions = numbered.withColumn("session_started_at", F.timestamp_micros("_start")).drop("_us", "_slice", "_start")
+    # events without a key share no window, however many they are
+    lonely = events.where(F.col(key).isNull()).withColumns(
+        {"session_no": F.lit(None).cast("long"), "session_started_at": F.lit(None).cast("timestamp")}
     )
+    return sessions.unionByName(lonely)
 
 
 def session_spans(sessionized: DataFrame, key: str = "actor_key", time_col: str = "received_at") -> DataFrame:
@@ -77,7 +82,7 @@ def _by_gap(rows: DataFrame, key: str, timeout: int, slice_seconds: int = GAP_SL
     marked = sliced.withColumn("_break", F.when(breaks, F.col("_us")))
 
     # same grouping as the window above, so no further shuffle
-    slices = marked.where(F.col(key).isNotNull()).groupBy(key, "_slice").agg(
+    slices = marked.groupBy(key, "_slice").agg(
         F.min("_us").alias("_first"),
         F.max("_us").alias("_last"),
         F.max("_break").alias("_last_break"),
@@ -101,13 +106,13 @@ def _by_gap(rows: DataFrame, key: str, timeout: int, slice_seconds: int = GAP_SL
         marked.withColumn("_seen", F.last("_break", ignorenulls=True).over(here))
         .withColumn("_count", F.count("_break").over(here))
         .join(carried, [key, "_slice"], "left")
-        .withColumn("_start", F.when(F.col(key).isNotNull(), F.coalesce("_seen", "_entering")))
+        .withColumn("_start", F.coalesce("_seen", "_entering"))
         .withColumn("session_no", F.col("_base") + F.col("_count"))
         .drop("_break", "_seen", "_count", "_entering", "_base")
     )
 
 
-def _by_age(rows: DataFrame, key: str, timeout: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def _by_age(rows: DataFrame, key: str, timeout: int, parts: int = AGE_PARTS) -> DataFrame:
     """Slices as long as the timeout: each holds at most one session start.
 
     A start at s closes at s + timeout, which is never before the end of its slice.
@@ -115,20 +120,15 @@ def _by_age(rows: DataFrame, key: str, timeout: int, fold_limit: int = FOLD_LIMI
     """
     sliced = rows.withColumn("_slice", _slice_of("_us", timeout))
     # written once: the summaries are read by every step below
-    slices = checkpointed(_islands(sliced, key, timeout))
-    starts = slices.where("NOT _long AND _slice = _island_slice").select(key, F.col("_island").alias("_at"))
-
-    foldable = F.col("_size") <= fold_limit
-    folds, widest = (
-        slices.where("_long").agg(F.count_if(foldable), F.max(F.when(~foldable, F.col("_slices")))).first()
-    )
-    if folds or widest:
-        summary = slices.where("_long").select(key, "_slice", "_island", "_size", "_next_first")
-        long_rows = sliced.select(key, "_slice", "_us").join(summary, [key, "_slice"])
-    if folds:
-        starts = starts.unionByName(_folded(long_rows.where(foldable), key, timeout))
+    slices, _ = _written(_islands(sliced, key, timeout))
+    starts = slices.where("_slice = _island_slice").select(key, F.col("_island").alias("_at"))
+    widest = slices.agg(F.max(F.when(F.col("_long"), F.col("_slices")))).first()[0]
+    # a stretch that reaches the timeout lies in two slices at least
     if widest:
-        starts = starts.unionByName(_doubled(long_rows.where(~foldable), key, timeout, widest))
+        stretches = slices.where("_long").select(key, "_slice", "_island")
+        times = sliced.select(key, "_slice", "_us").join(stretches, [key, "_slice"])
+        pointers = _next_starts(times.select(key, "_island", "_us").distinct(), key, timeout, parts)
+        starts = _reached(starts, pointers, key, math.ceil(math.log2(widest)))
 
     along = W.Window.partitionBy(key).orderBy("_slice")
     carried = (
@@ -146,6 +146,13 @@ def _by_age(rows: DataFrame, key: str, timeout: int, fold_limit: int = FOLD_LIMI
     )
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a table in the shared folder, and its path."""
+    path = runtime.passing_dir(df.sparkSession, "sessionize")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def _islands(sliced: DataFrame, key: str, timeout: int) -> DataFrame:
     """Slices grouped into stretches without a pause of the timeout.
 
@@ -153,92 +160,67 @@ def _islands(sliced: DataFrame, key: str, timeout: int) -> DataFrame:
     independent. One shorter than the timeout is a single session.
     """
     along = W.Window.partitionBy(key).orderBy("_slice")
-    slices = sliced.where(F.col(key).isNotNull()).groupBy(key, "_slice").agg(
-        F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("_n")
-    )
+    slices = sliced.groupBy(key, "_slice").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
     pause = F.col("_first") - F.lag("_last").over(along) >= timeout
-    opens = F.coalesce(pause, F.lit(True))
     island = W.Window.partitionBy(key, "_island")
-    # first event after the slice that follows this one, within the stretch
-    place = F.struct("_first", "_island")
-    adjacent = F.lead("_slice").over(along) == F.col("_slice") + 1
-    later = F.when(adjacent, F.lead(place, 2).over(along)).otherwise(F.lead(place).over(along))
-    same_stretch = later["_island"] == F.col("_island")
     return (
-        slices.withColumn("_open_at", F.when(opens, F.col("_first")))
+        slices.withColumn("_open_at", F.when(F.coalesce(pause, F.lit(True)), F.col("_first")))
         .withColumn("_island", F.last("_open_at", ignorenulls=True).over(_up_to_here(along)))
-        .withColumn("_next_first", F.when(same_stretch, later["_first"]))
         .withColumn("_long", F.max("_last").over(island) - F.col("_island") >= timeout)
-        .withColumn("_size", F.sum("_n").over(island))
         .withColumn("_slices", F.count("*").over(island))
         .withColumn("_island_slice", _slice_of("_island", timeout))
+        .drop("_open_at", "_first", "_last")
     )
 
 
-def _folded(rows: DataFrame, key: str, timeout: int) -> DataFrame:
-    """Session starts of stretches small enough for one task.
+def _next_starts(times: DataFrame, key: str, timeout: int, parts: int) -> DataFrame:
+    """Per (key, time): ``_next``, the first time of the stretch a timeout later or more.
 
-    Stretches stream through sorted Arrow batches; a task holds one batch and the
-    start of the open session.
-    """
-    key_type = rows.schema[key].dataType.simpleString()
-
-    def chain(batches):
-        import pyarrow as pa
-
-        stretch = start = None
-        for batch in batches:
-            keys, times = [], []
-            for row in zip(*[column.to_pylist() for column in batch.columns]):
-                if row[:2] != stretch or row[2] - start >= timeout:
-                    stretch, start = row[:2], row[2]
-                    keys.append(row[0])
-                    times.append(start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.field(0).type), pa.array(times, pa.int64())], names=[key, "_at"]
-            )
-
-    placed = rows.select(key, "_island", "_us").repartition(key, "_island")
-    ordered = placed.sortWithinPartitions(key, "_island", "_us")
-    return ordered.mapInArrow(chain, f"{key} {key_type}, _at long")
-
-
-def _doubled(rows: DataFrame, key: str, timeout: int, widest: int) -> DataFrame:
-    """Session starts of any stretch by pointer doubling over (key, time).
-
-    Every event points at the event that would start the next session after it. Each
-    round doubles the length of the pointers, so a stretch over n slices takes about
-    log2(n) joins, all on evenly spread keys.
+    Times and wanted times meet in parts of a slice. A wanted time with nothing after
+    it in its part takes the first time of the next part that has one.
     """
-    times = rows.select(key, "_island", "_slice", "_us", "_next_first").distinct()
-    events = times.select(key, F.col("_slice").alias("_in"), F.col("_us").alias("_t"), F.lit(0).alias("_kind"))
-    wanted = times.select(
-        key, (F.col("_slice") + 1).alias("_in"), (F.col("_us") + timeout).alias("_t"), F.lit(1).alias("_kind")
-    )
-    backwards = W.Window.partitionBy(key, "_in").orderBy(F.desc("_t"), "_kind")
+    length = max(1, timeout // parts)
+    events = times.withColumnsRenamed({"_us": "_t"}).withColumn("_kind", F.lit(0))
+    wanted = times.select(key, "_island", (F.col("_us") + timeout).alias("_t"), F.lit(1).alias("_kind"))
+    points = events.unionByName(wanted).withColumn("_part", _slice_of("_t", length))
     event_time = F.when(F.col("_kind") == 0, F.col("_t"))
-    found = (
-        events.unionByName(wanted)
-        .withColumn("_found", F.last(event_time, ignorenulls=True).over(_up_to_here(backwards)))
-        .where("_kind = 1")
-        .select(key, (F.col("_t") - timeout).alias("_us"), "_found")
+    place = [key, "_island", "_part"]
+    here = W.Window.partitionBy(*place).orderBy(F.desc("_t"), "_kind")
+    backwards = W.Window.partitionBy(key, "_island").orderBy(F.desc("_part"))
+    later = points.groupBy(*place).agg(F.min(event_time).alias("_first")).select(
+        *place, F.last("_first", ignorenulls=True).over(_earlier(backwards)).alias("_later")
     )
-    island = times.select(key, "_us", "_island", "_next_first")
-    step = F.coalesce("_found", "_next_first")
-    pointers = (
-        island.join(found, [key, "_us"])
-        .withColumn("_next", step)
+    return (
+        points.withColumn("_found", F.last(event_time, ignorenulls=True).over(_up_to_here(here)))
+        .where("_kind = 1")
+        .join(later, place)
+        .select(key, (F.col("_t") - timeout).alias("_us"), F.coalesce("_found", "_later").alias("_next"))
         .where("_next IS NOT NULL")
-        .select(key, "_us", "_next")
     )
-    reached = times.select(key, F.col("_island").alias("_at")).distinct()
-    pointers = checkpointed(pointers)
-    for round_ in range(max(1, math.ceil(math.log2(widest + 1)))):
-        hop = pointers.withColumnRenamed("_us", "_at")
-        ahead = reached.join(hop, [key, "_at"]).select(key, F.col("_next").alias("_at"))
-        reached = checkpointed(reached.unionByName(ahead).distinct())
-        further = pointers.select(key, F.col("_us").alias("_next"), F.col("_next").alias("_beyond"))
-        pointers = checkpointed(
-            pointers.join(further, [key, "_next"]).select(key, "_us", F.col("_beyond").alias("_next"))
-        )
-    return reached
+
+
+def _reached(starts: DataFrame, pointers: DataFrame, key: str, rounds: int) -> DataFrame:
+    """All starts that pointers lead to, by pointer doubling.
+
+    Each round doubles the length of the pointers, so a stretch over n slices takes
+    log2(n) rounds of joins on (key, time), which are spread evenly. A round reaches
+    starts no round before has reached, so nothing repeats, and its tables replace those
+    of the round before.
+    """
+    spark = starts.sparkSession
+
+    def with_next(reached: DataFrame, pointers: DataFrame) -> DataFrame:
+        ahead = reached.join(pointers.withColumnRenamed("_us", "_at"), [key, "_at"])
+        return reached.unionByName(ahead.select(key, F.col("_next").alias("_at")))
+
+    (pointers, old), reached, done = _written(pointers), starts, None
+    with ThreadPoolExecutor(2) as pool:
+        for _ in range(rounds - 1):
+            further = pointers.select(key, F.col("_us").alias("_next"), F.col("_next").alias("_beyond"))
+            longer = pointers.join(further, [key, "_next"]).select(key, "_us", F.col("_beyond").alias("_next"))
+            # starts and pointers of a round are independent jobs
+            (reached, now), (pointers, new) = pool.map(_written, (with_next(reached, pointers), longer))
+            for path in filter(None, (old, done)):
+                runtime.remove(spark, path)
+            old, done = new, now
+    return with_next(reached, pointers)

@@ -94,11 +94,3 @@ def remove(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is not below the shared folder")
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
-
-
-def checkpointed(df):
-    """Cut the lineage of an iterative frame with a reliable checkpoint."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()

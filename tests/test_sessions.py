@@ -42,7 +42,7 @@ def test_idle_and_age_differ(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize("mode,options", [
-    ("gap", {}), ("gap", {"slice_seconds": 7}), ("fixed", {}), ("fixed", {"fold_limit": 0}), ("fixed", {"fold_limit": 12}),
+    ("gap", {}), ("gap", {"slice_seconds": 7}), ("fixed", {}), ("fixed", {"parts": 1}), ("fixed", {"parts": 7}),
 ])
 def test_against_a_plain_loop(spark, seed, mode, options):
     dice = random.Random(seed)
@@ -55,9 +55,17 @@ def test_against_a_plain_loop(spark, seed, mode, options):
     assert spans(user_events(spark, rows), timeout_seconds=10, mode=mode, **options) == by_hand(rows, 10, mode)
 
 
+def test_a_key_with_a_third_of_the_rows_in_one_slice(spark):
+    dice = random.Random(5)
+    rows = [("hot", round(dice.uniform(100, 109), 3)) for _ in range(600)] + [("hot", 95.0), ("hot", 119.5)]
+    rows += [(f"u{i % 40}", float(dice.randrange(300))) for i in range(1200)]
+    for mode in ("gap", "fixed"):
+        assert spans(user_events(spark, rows), timeout_seconds=10, mode=mode) == by_hand(rows, 10, mode)
+
+
 def test_times_before_1970(spark):
     rows = [("u", float(t)) for t in range(-95, 60, 6)]
-    for mode, options in (("gap", {"slice_seconds": 7}), ("fixed", {}), ("fixed", {"fold_limit": 0})):
+    for mode, options in (("gap", {"slice_seconds": 7}), ("fixed", {}), ("fixed", {"parts": 3})):
         assert spans(user_events(spark, rows), timeout_seconds=10, mode=mode, **options) == by_hand(rows, 10, mode)
 
 
