@@ -622,7 +622,20 @@ def sql() -> dict[str, str]:
           WHEN 2 THEN received_at WHEN 4 THEN NULL ELSE date_trunc('second', received_at) END AS parsed_at FROM ev"""),
         "context_fields": f"""SELECT page_id, 'test' AS browser, 'en' AS locale, url AS referrer,
           regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS pathname, {utm_sql('source')} AS utm_source FROM pages""",
+        "parse_envelope_strict": with_(PARSED, """SELECT event_id, project_id, event_name, properties_json, event_timestamp, source, user_id,
+          anonymous_id, session_id, page_path, kafka_partition, kafka_offset, kafka_timestamp, raw_payload FROM parsed WHERE NOT is_bad"""),
+        "load_live": with_(PARSED, f"SELECT {KEPT} FROM firsts WHERE received_at >= {WHOLE_FROM}"),
+        "sql_functions_on_text": f"""WITH d AS (SELECT *, chr(9) || chr(160) || text || chr(8195) || chr(10) AS wide FROM documents)
+          SELECT doc_id, {sanitize('wide')} AS label, {mask('wide')} AS masked,
+            coalesce(nullif(lang, ''), 'anon:' || nullif(source, ''), 'evt:' || CAST(doc_id AS VARCHAR)) AS key,
+            {pct('n_chars', '1000')} AS share FROM d""",
+        "report_halves": "WITH " + comparison_sql(f"""{EV}, p AS (SELECT *, CASE WHEN received_at >= {MIDDLE} THEN 'current' ELSE 'previous' END
+          AS period FROM ev WHERE received_at >= {WHOLE_FROM}), {kpi_sql('p', 'period, ')}"""),
+        "report_hourly": trends("%Y-%m-%d %H:00").replace(WHOLE_FROM, "TIMESTAMP '2024-01-30 04:00:00'"),
         "stream_windows": with_(EV, rate_sql("ev", 60, 15)),
+        "stream_snapshot": with_(EV, f"""SELECT event_id, event_name, 'stopped' AS status, (SELECT count(*) FROM ev) AS total_received,
+          (SELECT least(200, count(*)) FROM ev) AS buffer_used, (SELECT least(200, count(*)) FROM ev) AS total_matched
+          FROM ev ORDER BY {RECENT_ORDER} LIMIT 20"""),
         "stream_latest_n": with_(EV, f"""SELECT event_id, event_name, received_at, (SELECT count(*) FROM ev) AS total_received
           FROM ev ORDER BY {RECENT_ORDER} LIMIT 200"""),
         "stream_dedupe": with_(PARSED, """SELECT DISTINCT event_id, CASE WHEN event_id IS NULL THEN kafka_partition END AS kafka_partition,
@@ -633,5 +646,12 @@ def sql() -> dict[str, str]:
     }
     out["stream_ingest"] = out["dedupe_events"]
     out["stream_counters"] = out["event_counters"]
+    out["stream_client_clock"] = out["stream_windows"]
+    out["event_component_column"] = out["event_component"]
+    for panel, same in (
+        ("report_heatmap", "activity_heatmap"), ("report_treemap", "blueprint_treemap"),
+        ("report_converters", "recent_converters"), ("report_sessions", "session_rows"),
+    ):
+        out[panel] = out[same]
     out["stream_sessions_fixed"] = out["stream_sessions_state"] = AGE_SQL
     return out

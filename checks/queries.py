@@ -93,6 +93,14 @@ def parse_envelope_lenient(spark, sf_dir):
     return rows.drop("kafka_timestamp")
 
 
+@query
+def parse_envelope_strict(spark, sf_dir):
+    """Messages that pass the rules do not stop a strict parse."""
+    checked = envelope.validate_envelope(sample.messages(spark, sf_dir))
+    sound = checked.where(~F.array_contains("failed_rules", "not_an_object")).drop("failed_rules")
+    return envelope.parse_envelope_strict(sound, F.col("event_timestamp")).drop("ingested_at")
+
+
 @query
 def quarantined_messages(spark, sf_dir):
     return envelope.quarantined(parsed(spark, sf_dir, "quarantine"))[1].drop("ingested_at")
@@ -312,22 +320,56 @@ def insights_report(spark, sf_dir):
     return report.flat_report(report.build(events(spark, sf_dir), AS_OF, DAYS))
 
 
+def panel(spark, sf_dir, name, seconds=WHOLE, comparison="prior"):
+    return report.build(events(spark, sf_dir), AS_OF, window_seconds=seconds, comparison=comparison)[name]
+
+
+@query
+def report_heatmap(spark, sf_dir):
+    return panel(spark, sf_dir, "activity_heatmap")
+
+
+@query
+def report_treemap(spark, sf_dir):
+    return panel(spark, sf_dir, "blueprint_treemap")
+
+
+@query
+def report_converters(spark, sf_dir):
+    return panel(spark, sf_dir, "recent_converters").withColumn("pages", F.array_join("pages", " | "))
+
+
+@query
+def report_sessions(spark, sf_dir):
+    return panel(spark, sf_dir, "all_sessions").withColumn("pages", F.array_join("pages", " | "))
+
+
+@query
+def report_halves(spark, sf_dir):
+    """The second half of the window against its first half."""
+    return panel(spark, sf_dir, "kpi_comparison", comparison="half")
+
+
+@query
+def report_hourly(spark, sf_dir):
+    """Trends of a window of less than a day, by the hour."""
+    return panel(spark, sf_dir, "activity_trends", 20 * 3600)
+
+
 @query
 def sessionize_gap(spark, sf_dir):
-    rows = sessionize.sessionize(_by_user(spark, sf_dir), "user_id", GAP_TIMEOUT, "gap")
+    rows = sessionize.sessionize(by_user(sample.read_events(spark, sf_dir)), "user_id", GAP_TIMEOUT, "gap")
     return sessionize.session_spans(rows, "user_id")
 
 
 @query
 def sessionize_fixed(spark, sf_dir):
-    rows = sessionize.sessionize(_by_user(spark, sf_dir), "user_id", AGE_TIMEOUT, "fixed")
+    rows = sessionize.sessionize(by_user(sample.read_events(spark, sf_dir)), "user_id", AGE_TIMEOUT, "fixed")
     return sessionize.session_spans(rows, "user_id")
 
 
-def _by_user(spark, sf_dir):
-    return sample.read_events(spark, sf_dir).select(
-        F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("received_at")
-    )
+def by_user(rows):
+    return rows.select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("received_at"))
 
 
 # Live
@@ -575,6 +617,15 @@ def load_history(spark, sf_dir):
     return rows.select("event_id", "event_name", "kafka_partition", "kafka_offset", "received_at", "session_key")
 
 
+@query
+def load_live(spark, sf_dir):
+    """A live snapshot with its replays, deduplicated on reading."""
+    path = runtime.passing_dir(spark, "live")
+    envelope.to_canonical(parsed(spark, sf_dir)).write.parquet(path)
+    rows = table_io.load_events(spark, f"live:{path}", as_of=AS_OF, seconds=WHOLE)
+    return rows.select("event_id", "event_name", "kafka_partition", "kafka_offset", "received_at", "session_key")
+
+
 @query
 def verify_table(spark, sf_dir):
     rows = ingest_checks.verify_table(events(spark, sf_dir), 10)
@@ -627,6 +678,24 @@ def event_component(spark, sf_dir):
     return rows.select("event_id", F.expr("event_component(event_name, properties_json)").alias("component"))
 
 
+@query
+def event_component_column(spark, sf_dir):
+    """The same rule as a column."""
+    return envelope.with_component(events(spark, sf_dir)).select("event_id", "component")
+
+
+@query
+def sql_functions_on_text(spark, sf_dir):
+    """The SQL functions on texts of any script, with white space of several kinds around them."""
+    sql_functions.register(spark)
+    rows = table(spark, sf_dir, "documents").withColumn("wide", F.concat(F.lit("\t\u00a0"), "text", F.lit("\u2003\n")))
+    return rows.select(
+        "doc_id", F.expr("sanitize_label(wide)").alias("label"), F.expr("mask_email(wide)").alias("masked"),
+        F.expr("session_key(lang, source, cast(doc_id as string))").alias("key"),
+        F.expr("pct(cast(n_chars as double), 1000D)").alias("share"),
+    )
+
+
 @query
 def sanitize_label(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
@@ -684,9 +753,33 @@ def event_stream(spark, sf_dir, **options):
     return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+#: Files of a part of the sample, and where its parts end.
+PART_FILES = 4
+PART_ENDS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00", None)
+FLUSH = "2034-01-01 00:00:00"
+
+
+def parts_stream(spark, sf_dir):
+    """The events in parts of rising time, one per micro-batch, and a row that moves the
+    watermark past all of them."""
+    rows, folder = spark.read.parquet(f"{sf_dir}/events.parquet"), runtime.passing_dir(spark, "parts")
+    begin, kind = F.lit(None).cast("timestamp"), rows.schema["ts"].dataType
+    for end in PART_ENDS:
+        at, stop = F.col("ts").cast("timestamp"), F.lit(end).cast("timestamp")
+        inside = F.coalesce(at >= begin, F.lit(True)) & F.coalesce(at < stop, F.lit(True))
+        rows.where(inside).repartition(PART_FILES).write.mode("append").parquet(folder)
+        begin = stop
+    flush = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema} | {"ts": F.lit(FLUSH).cast("timestamp").cast(kind)}
+    spark.range(1).select(*[c.alias(n) for n, c in flush.items()]).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", PART_FILES).parquet(folder)
+
+
+def canonical(stream):
+    return envelope.to_canonical(sample.clickstream_rows(stream).drop("event_type", "value", "k"))
+
+
 def canonical_stream(spark, sf_dir):
-    rows = sample.clickstream_rows(event_stream(spark, sf_dir)).drop("event_type", "value", "k")
-    return envelope.to_canonical(rows)
+    return canonical(event_stream(spark, sf_dir))
 
 
 def drained(spark, stream, mode):
@@ -723,8 +816,29 @@ def stream_counters(spark, sf_dir):
 
 @query
 def stream_windows(spark, sf_dir):
-    stream = canonical_stream(spark, sf_dir).withWatermark("received_at", "1 minute")
-    return jobs.last_batch(spark, drained(spark, live.window_rates(stream, "1 hour", "15 minutes"), "complete"))
+    """Windows leave the state, and are written, when the watermark has passed them."""
+    stream = canonical(parts_stream(spark, sf_dir)).withWatermark("received_at", "1 minute")
+    return spark.read.parquet(drained(spark, live.window_rates(stream, "1 hour", "15 minutes"), "append"))
+
+
+@query
+def stream_client_clock(spark, sf_dir):
+    stream = canonical(parts_stream(spark, sf_dir)).withColumn("event_time", F.col("received_at"))
+    return spark.read.parquet(drained(spark, jobs.client_clock_rates(stream, "1 hour", "15 minutes"), "append"))
+
+
+@query
+def stream_snapshot(spark, sf_dir):
+    """The newest page of the live buffer with the status of the stream that filled it."""
+    folder = runtime.run_dir(spark, "snapshot")
+    finished = jobs.run_available(canonical_stream(spark, sf_dir), jobs.keep_latest(folder), f"{folder}/checkpoint")
+    buffer = jobs.live_buffer(spark, folder)
+    status = jobs.pipeline_status(spark, finished, buffer)
+    shot = live.live_snapshot(buffer.drop("total_received"), AS_OF, limit=20, seconds=WHOLE, status=status)
+    return shot["events"].select(
+        "event_id", "event_name", *[shot["status"].select(c).scalar().alias(c) for c in ("status", "total_received", "buffer_used")],
+        shot["meta"].select("total_matched").scalar().alias("total_matched"),
+    )
 
 
 @query
@@ -737,34 +851,27 @@ def stream_latest_n(spark, sf_dir):
 
 @query
 def stream_sessions_gap(spark, sf_dir):
-    stream = _user_stream(spark, sf_dir)
-    rows = jobs.stream_sessions_gap(stream, f"{GAP_TIMEOUT} seconds", key="user_id")
-    return jobs.last_batch(spark, drained(spark, rows, "complete"))
+    rows = jobs.stream_sessions_gap(by_user(parts_stream(spark, sf_dir)), f"{GAP_TIMEOUT} seconds", key="user_id")
+    return spark.read.parquet(drained(spark, rows, "append"))
 
 
 @query
 def stream_sessions_fixed(spark, sf_dir):
-    """Drained in one batch of any size."""
+    """Drained in batches of any size."""
     folder = runtime.run_dir(spark, "sessions")
     writer = jobs.keep_sessions(folder, AGE_TIMEOUT, "user_id")
-    jobs.run_available(_user_stream(spark, sf_dir), writer, f"{folder}/checkpoint")
+    jobs.run_available(by_user(parts_stream(spark, sf_dir)), writer, f"{folder}/checkpoint")
     return jobs.kept_sessions(spark, folder, "user_id")
 
 
 @query
 def stream_sessions_state(spark, sf_dir):
     """The stateful operator, whose batches are bounded by the source."""
-    rows = jobs.stream_sessions_fixed(_user_stream(spark, sf_dir, maxFilesPerTrigger=64), AGE_TIMEOUT, key="user_id")
+    rows = jobs.stream_sessions_fixed(by_user(parts_stream(spark, sf_dir)), AGE_TIMEOUT, key="user_id")
     updates = spark.read.parquet(drained(spark, rows, "update"))
     return jobs.latest_sessions(updates, "user_id")
 
 
-def _user_stream(spark, sf_dir, **options):
-    return event_stream(spark, sf_dir, **options).select(
-        F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("received_at")
-    )
-
-
 @query
 def pipeline_status(spark, sf_dir):
     folder = runtime.run_dir(spark, "status")

@@ -109,16 +109,17 @@ def new_since(page: DataFrame, last_seen: Column, known: DataFrame) -> DataFrame
 
 def live_snapshot(
     events: DataFrame, as_of, name: str | None = None, user_id: str | None = None,
-    limit: int = 50, offset: int = 0, seconds: int = WINDOW_SECONDS,
+    limit: int = 50, offset: int = 0, seconds: int = WINDOW_SECONDS, status: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Page, page numbers and window statistics together."""
+    """Page, page numbers, window statistics and, where given, the status of the stream."""
     matched = filter_events(events, name, user_id)
     page = page_events(matched, limit, offset)
-    return {
+    shot = {
         "events": live_projection(page),
         "meta": page_meta(matched, page, limit, offset),
         "stats": live_stats(events, seconds, as_of),
     }
+    return shot if status is None else shot | {"status": status}
 
 
 def window_rates(events: DataFrame, window: str, slide: str | None = None, *by: str, ts: str = "received_at") -> DataFrame:

@@ -88,9 +88,20 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(location).isDirectory()
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, none if it is not there."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(location)] if system.exists(location) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made with ``run_dir``, on whatever file system it is."""
     if not path.startswith(shared_dir(spark)):
         raise ValueError(f"{path} is not below the shared folder")
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+    delete(spark, path)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from clickloom import schema
+from clickloom import runtime, schema
 from clickloom.functions import scalars as sf
 from clickloom.operators import live, sessionize
 from clickloom.sources import events as table_io
@@ -64,15 +65,39 @@ def run_stream(df: DataFrame, writer, checkpoint: str, interval: str = INGEST_IN
     )
 
 
-def run_available(df: DataFrame, writer, checkpoint: str, timeout: float | None = None) -> StreamingQuery:
-    """Ingest what is there and stop. Batch size is the source's ``max...PerTrigger``."""
+class _Enough(Exception):
+    """Raised before the batch after the last one wanted; that batch is not committed."""
+
+
+def run_available(
+    df: DataFrame, writer, checkpoint: str, timeout: float | None = None, max_batches: int | None = None
+) -> StreamingQuery:
+    """Ingest what is there and stop. Batch size is the source's ``max...PerTrigger``.
+
+    With ``max_batches`` the run ends after that many; the next run goes on from there.
+    """
+    if max_batches is not None and max_batches < 1:
+        raise ValueError("max_batches is at least 1")
+    written = 0
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        nonlocal written
+        if written == max_batches:
+            raise _Enough(f"{max_batches} batches are written")
+        writer(batch, batch_id)
+        written += 1
+
     query = (
-        df.writeStream.foreachBatch(writer)
+        df.writeStream.foreachBatch(counted)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    _finish(query, timeout)
+    try:
+        _finish(query, timeout)
+    except StreamingQueryException as error:
+        if written != max_batches or _Enough.__name__ not in str(error):
+            raise
     return query
 
 
@@ -146,108 +171,128 @@ def stream_sessions_gap(
 
 
 def stream_sessions_fixed(
-    events: DataFrame, timeout_seconds: int = 1800, key: str = "actor_key", ts: str = "received_at"
+    events: DataFrame, timeout_seconds: int = 1800, key: str = "actor_key", ts: str = "received_at", delay: str = "10 minutes"
 ) -> DataFrame:
     """Sessions by fixed age, as updates: the current numbers of each session.
 
-    For steady streams. State per key is the open session only. One key's times of one
-    micro-batch (eight bytes each) meet in a task, so set the source's
-    ``max...PerTrigger``; for a backlog in one batch use ``keep_sessions``. An arrival
-    time before the open session joins that session.
+    For steady streams. State per key is the open session, which goes when the watermark
+    (``delay`` behind the newest event) passes its end; events behind the watermark are
+    late and are dropped. An arrival time before the open session joins that session.
+    Events without a key have no session. One key's times of one micro-batch (eight bytes
+    each) meet in a task, so set the source's ``max...PerTrigger``; for a backlog in one
+    batch use ``keep_sessions``.
     """
     timeout = timeout_seconds * 1_000_000
-    out = f"{key} string, session_no long, started_us long, ended_us long, events long"
-    state_schema = "session_no long, started_us long, ended_us long, events long"
+    columns = [key, "started_us", "ended_us", "events"]
 
     def advance(keys, batches, state):
         import numpy as np
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = np.sort(np.concatenate([b["us"].to_numpy() for b in batches]))
-        number, start, end, n = state.get if state.exists else (0, None, None, 0)
+        start, end, n = state.get if state.exists else (int(times[0]), int(times[0]), 0)
         rows, at = [], 0
-        if start is None:
-            number, start, end = 1, int(times[0]), int(times[0])
         while True:
             stop = int(np.searchsorted(times, start + timeout, side="left"))
             if stop > at:
                 end, n = max(end, int(times[stop - 1])), n + stop - at
-            rows.append((keys[0], number, start, end, n))
+            rows.append((keys[0], start, end, n))
             at = max(at, stop)
             if at >= len(times):
                 break
-            number, start, end, n = number + 1, int(times[at]), int(times[at]), 0
-        state.update((number, start, end, n))
-        yield pd.DataFrame(rows, columns=[key, "session_no", "started_us", "ended_us", "events"])
-
-    timed = events.select(key, F.unix_micros(ts).alias("us"))
-    return timed.groupBy(key).applyInPandasWithState(advance, out, state_schema, "update", "NoTimeout")
+            start, end, n = int(times[at]), int(times[at]), 0
+        state.update((start, end, n))
+        # a row may be older than the watermark that its own batch has moved
+        state.setTimeoutTimestamp(max((start + timeout) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(rows, columns=columns)
+
+    timed = events.where(F.col(key).isNotNull()).withWatermark(ts, delay).select(key, ts, F.unix_micros(ts).alias("us"))
+    state_schema = "started_us long, ended_us long, events long"
+    return timed.groupBy(key).applyInPandasWithState(
+        advance, f"{key} string, {state_schema}", state_schema, "update", "EventTimeTimeout"
+    )
 
 
 def keep_sessions(
-    path: str, timeout_seconds: int = 1800, key: str = "actor_key", ts: str = "received_at"
+    path: str, timeout_seconds: int = 1800, key: str = "actor_key", ts: str = "received_at", delay_seconds: int = 600
 ):
     """A ``foreachBatch`` writer for sessions by fixed age, for batches of any size.
 
-    The open session of every key is a table, one version per batch. A batch puts the
-    start of a key's open session before the key's events and runs the batch operator,
-    which spreads a busy key over tasks. Updates go to ``sessions``, the open sessions
-    to ``open``; a repeated batch writes the same files.
+    The open session of every key is a table, one version per batch; the last two stay.
+    A batch puts the start of a key's open session before the key's events and runs the
+    batch operator, which spreads a busy key over tasks. Updates go to ``sessions``, the
+    open sessions to ``open``; a repeated batch writes the same files. A session whose
+    end lies ``delay_seconds`` behind the newest event is open no longer; a later arrival
+    from before then starts a session of its own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = batch.select(key, F.col(ts).alias("at")).where(F.col(key).isNotNull())
+        taken = f"{path}/input/batch_id={batch_id}"
+        # the batch is read once, what follows reads this copy
+        batch.where(F.col(key).isNotNull()).select(key, F.col(ts).alias("at")).write.mode("overwrite").parquet(taken)
+        known = spark.read.parquet(taken)
         earlier = _batch_before(spark, f"{path}/open", batch_id)
-        blank = {"ended_at": "timestamp", "events": "long", "base": "long"}
         if earlier is None:
-            rows = known.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()})
+            rows = known.withColumns({"ended_at": F.lit(None).cast("timestamp"), "events": F.lit(None).cast("long")})
         else:
             before = spark.read.parquet(f"{path}/open/batch_id={earlier}")
             # a time before the open session counts as its start
             joined = known.join(before.select(key, "started_at"), key, "left")
             clamped = joined.select(key, F.greatest("at", "started_at").alias("at"))
             touched = before.join(known.select(key).distinct(), key, "left_semi")
-            seeds = touched.select(
-                key, F.col("started_at").alias("at"), "ended_at", "events", F.col("session_no").alias("base")
-            )
+            seeds = touched.select(key, F.col("started_at").alias("at"), "ended_at", "events")
             rows = clamped.unionByName(seeds, allowMissingColumns=True)
         numbered = sessionize.sessionize(rows, key, timeout_seconds, "fixed", "at")
         spans = numbered.groupBy(key, "session_no").agg(
             F.min("at").alias("started_at"),
             F.max(F.coalesce("ended_at", "at")).alias("ended_at"),
             F.sum(F.coalesce("events", F.lit(1))).alias("events"),
-            F.max("base").alias("base"),
         )
-        # the sessions of one key in one batch: bounded by its time range
-        base = F.coalesce(F.max("base").over(W.Window.partitionBy(key)), F.lit(1))
-        shifted = spans.withColumn("session_no", F.col("session_no") + base - 1).drop("base")
-        shifted.write.mode("overwrite").parquet(f"{path}/sessions/batch_id={batch_id}")
+        spans.drop("session_no").write.mode("overwrite").parquet(f"{path}/sessions/batch_id={batch_id}")
 
-        updates = spark.read.parquet(f"{path}/sessions/batch_id={batch_id}")
-        last = F.max(F.struct("session_no", "started_at", "ended_at", "events")).alias("s")
+        updates = spark.read.parquet(f"{path}/sessions/batch_id={batch_id}").drop("batch_id")
+        last = F.max(F.struct("started_at", "ended_at", "events")).alias("s")
         still_open = updates.groupBy(key).agg(last).select(key, "s.*")
         if earlier is not None:
             still_open = still_open.unionByName(before.join(updates.select(key).distinct(), key, "left_anti"))
-        still_open.write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+        newest = still_open.agg(F.max(F.unix_micros("ended_at"))).scalar()
+        closes = F.unix_micros("started_at") + (timeout_seconds + delay_seconds) * 1_000_000
+        still_open.where(closes > newest).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+        runtime.delete(spark, taken)
+        _drop_before(spark, f"{path}/open", batch_id if earlier is None else earlier)
 
     return write
 
 
 def kept_sessions(spark: SparkSession, path: str, key: str = "actor_key") -> DataFrame:
     """Final numbers of each session that ``keep_sessions`` wrote."""
-    return spark.read.parquet(f"{path}/sessions").groupBy(key, "session_no").agg(
-        F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.max("events").alias("events")
-    )
+    return _numbered(spark.read.parquet(f"{path}/sessions"), key)
 
 
 def latest_sessions(updates: DataFrame, key: str = "actor_key") -> DataFrame:
     """Final numbers of each session from its updates: they only grow."""
-    return updates.groupBy(key, "session_no").agg(
-        F.timestamp_micros(F.min("started_us")).alias("started_at"),
-        F.timestamp_micros(F.max("ended_us")).alias("ended_at"),
-        F.max("events").alias("events"),
-    )
+    times = {name: F.timestamp_micros(micros) for name, micros in (("started_at", "started_us"), ("ended_at", "ended_us"))}
+    return _numbered(updates.withColumns(times), key)
+
+
+def _numbered(updates: DataFrame, key: str) -> DataFrame:
+    """One row per session, numbered by start. The sessions of a key are bounded by its
+    time range."""
+    sessions = updates.groupBy(key, "started_at").agg(F.max("ended_at").alias("ended_at"), F.max("events").alias("events"))
+    number = F.row_number().over(W.Window.partitionBy(key).orderBy("started_at")).cast("long")
+    return sessions.select(key, number.alias("session_no"), "started_at", "ended_at", "events")
+
+
+def client_clock_rates(
+    events: DataFrame, window: str, slide: str | None = None, *by: str, event_time: str = "event_time", delay: str = "10 minutes"
+) -> DataFrame:
+    """Window rates by the client clock. Events more than ``delay`` behind the newest of
+    the batches before are late and do not count; ``count_late`` marks them."""
+    return live.window_rates(events.withWatermark(event_time, delay), window, slide, *by, ts=event_time)
 
 
 def count_late(events: DataFrame, delay: str, event_time: str, ts: str = "received_at") -> DataFrame:
@@ -262,8 +307,8 @@ def keep_latest(path: str, n: int = live.BUFFER_SIZE):
     """A ``foreachBatch`` writer that keeps the newest ``n`` events and a running total.
 
     Batch ``b`` reads what the newest batch before it left and writes its own folders,
-    so a repeated batch gives the same files. The rows are counted while they are
-    ranked, without a second pass.
+    so a repeated batch gives the same files; the last two versions stay. The rows are
+    counted while they are ranked, without a second pass.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -278,19 +323,28 @@ def keep_latest(path: str, n: int = live.BUFFER_SIZE):
         live.latest_n(newest, n).write.mode("overwrite").parquet(f"{path}/buffer/batch_id={batch_id}")
         total = spark.range(1).select(F.lit(received + counted.get["n"]).cast("long").alias("total_received"))
         total.write.mode("overwrite").parquet(f"{path}/total/batch_id={batch_id}")
+        for folder in (f"{path}/buffer", f"{path}/total"):
+            _drop_before(spark, folder, batch_id if earlier is None else earlier)
 
     return write
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Batch numbers that have a folder."""
+    names = runtime.children(spark, path)
+    return [int(name.partition("=")[2]) for name in names if name.startswith("batch_id=")]
+
+
 def _batch_before(spark: SparkSession, path: str, batch_id: float = math.inf) -> int | None:
     """Highest batch number below ``batch_id`` that has a folder."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    done = [int(name.partition("=")[2]) for name in names if name.startswith("batch_id=")]
-    return max((b for b in done if b < batch_id), default=None)
+    return max((b for b in _batches(spark, path) if b < batch_id), default=None)
+
+
+def _drop_before(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Delete the versions no later batch and no repeat of the last one reads."""
+    for b in _batches(spark, path):
+        if b < batch_id:
+            runtime.delete(spark, f"{path}/batch_id={b}")
 
 
 def live_buffer(spark: SparkSession, path: str) -> DataFrame:

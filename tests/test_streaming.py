@@ -80,7 +80,8 @@ SPAN = ("user_id", "session_no", "started_at", "ended_at", "events")
 
 
 def fixed_by_state(spark, source):
-    updates = spark.read.parquet(drain(spark, jobs.stream_sessions_fixed(source.stream(), key="user_id"), "update"))
+    sessions = jobs.stream_sessions_fixed(source.stream(), key="user_id", delay="2 hours")
+    updates = spark.read.parquet(drain(spark, sessions, "update"))
     return jobs.latest_sessions(updates, "user_id")
 
 
@@ -112,6 +113,65 @@ def test_a_time_before_the_open_session_joins_it(spark, source, run):
     assert [tuple(r) for r in got.collect()] == [(1, 5000, 5200, 4)]
 
 
+def test_rows_just_behind_the_watermark_do_not_stop_the_stream(spark, source):
+    source.add(("1", "u", 0), ("2", "v", 5000))
+    source.add(("3", "u", 1900), ("4", "w", 100))
+    source.add(("5", "u", 5000))
+    updates = spark.read.parquet(drain(spark, jobs.stream_sessions_fixed(source.stream(), key="user_id"), "update"))
+    got = jobs.latest_sessions(updates, "user_id").select("user_id", F.unix_seconds("started_at") - T0, "events")
+    assert sorted(map(tuple, got.collect())) == [("u", 0, 1), ("u", 1900, 1), ("u", 5000, 1), ("v", 5000, 1), ("w", 100, 1)]
+
+
+def test_state_of_fixed_sessions_goes_with_the_watermark(spark, source):
+    source.add(*[(str(i), f"u{i}", i) for i in range(5)])
+    source.add(("x", "v", 5000))
+    source.add(("flush", "w", 90000))
+    folder = runtime.run_dir(spark, "test")
+    query = jobs.drain_to_files(
+        jobs.stream_sessions_fixed(source.stream(), key="user_id"), f"{folder}/out", f"{folder}/checkpoint", "update", timeout=120
+    )
+    left = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress]
+    assert left[0] == 5 and left[-1] == 1, left  # the flush alone
+
+
+def test_kept_sessions_keep_two_versions_and_close(spark, source):
+    for t in (0, 100, 5000, 9000):
+        source.add((str(t), f"u{t}", t))
+    folder = runtime.run_dir(spark, "kept")
+    jobs.run_available(source.stream(), jobs.keep_sessions(folder, key="user_id"), f"{folder}/checkpoint", timeout=120)
+    assert sorted(runtime.children(spark, f"{folder}/open")) == ["batch_id=2", "batch_id=3"]
+    assert runtime.children(spark, f"{folder}/input") == []
+    assert rows(jobs.last_batch(spark, f"{folder}/open"), "user_id") == [("u9000",)]
+    assert jobs.kept_sessions(spark, folder, "user_id").count() == 4
+
+
+def test_a_run_of_some_batches_goes_on_later(spark, source, tmp_path):
+    for t in range(5):
+        source.add((str(t), "u", t))
+
+    def run(n):
+        stamped = source.stream().withColumn("ingested_at", F.col("received_at"))
+        writer = jobs.append_batch(str(tmp_path / "out"))
+        jobs.run_available(stamped, writer, str(tmp_path / "check"), 120, max_batches=n)
+        return rows(spark.read.parquet(str(tmp_path / "out")), "event_id")
+
+    assert run(2) == [("0",), ("1",)]
+    assert run(2) == [("0",), ("1",), ("2",), ("3",)]
+    assert run(None) == [(str(t),) for t in range(5)]
+    with pytest.raises(ValueError):
+        run(0)
+
+
+def test_late_by_the_client_clock(spark, source):
+    source.add(("1", "u", 0), ("2", "u", 30), ("3", "u", 1000))
+    source.add(("4", "u", 1010))
+    source.add(("late", "u", 40))
+    source.add(("flush", "u", 90000))
+    rates = jobs.client_clock_rates(source.stream(), "1 minute", event_time="received_at", delay="5 minutes")
+    got = spark.read.parquet(drain(spark, rates)).select(F.unix_seconds("window_start") - T0, "events")
+    assert sorted(map(tuple, got.collect())) == [(0, 2), (960, 2)]
+
+
 def test_running_counters(spark, source):
     source.add(("1", "u", 0), ("2", "u", 1))
     source.add(("3", "v", 2))
