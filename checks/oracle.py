@@ -521,7 +521,7 @@ def sql() -> dict[str, str]:
         "new_visitors": with_(f"{COMPARED}, {VISITORS}", "SELECT anonymous_id FROM cur EXCEPT SELECT anonymous_id FROM prev"),
         "session_rows": with_(ROWS_OUT, "SELECT * FROM r"),
         "session_pages": with_(SESSIONS, "SELECT session_key, page_path, first_seen_at FROM page_first"),
-        "newest_sessions": with_(ROWS_OUT, "SELECT * EXCLUDE (pages) FROM r ORDER BY last_activity_at DESC, session_id LIMIT 50"),
+        "newest_sessions": with_(ROWS_OUT, "SELECT * FROM r ORDER BY last_activity_at DESC, session_id LIMIT 50"),
         "session_filter_modes": with_(ROWS_OUT, " UNION ALL ".join(
             f"SELECT '{m}' AS mode, count(*) AS sessions, CAST(sum(event_count) AS BIGINT) AS events FROM r WHERE {c}" for m, c in (
                 ("all", "true"), ("converted", "converted"), ("not_converted", "NOT converted"),

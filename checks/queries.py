@@ -289,24 +289,23 @@ def session_pages(spark, sf_dir):
 
 @query
 def newest_sessions(spark, sf_dir):
-    rows = sessions.newest_sessions(sessions.session_rows(windowed(spark, sf_dir)), 50)
-    return rows.drop("pages")
+    return sessions.newest_session_rows(windowed(spark, sf_dir), 50).withColumn("pages", F.array_join("pages", " | "))
 
 
 @query
 def session_filter_modes(spark, sf_dir):
-    return sessions.filter_mode_counts(sessions.session_rows(windowed(spark, sf_dir)))
+    return sessions.filter_mode_counts(sessions.session_rows(windowed(spark, sf_dir), pages=False))
 
 
 @query
 def session_status(spark, sf_dir):
-    rows = sessions.session_status(sessions.session_rows(windowed(spark, sf_dir)))
+    rows = sessions.session_status(sessions.session_rows(windowed(spark, sf_dir), pages=False))
     return rows.select("session_id", "status")
 
 
 @query
 def session_summary(spark, sf_dir):
-    return sessions.session_summary(sessions.session_frame(windowed(spark, sf_dir)))
+    return sessions.count_sessions(windowed(spark, sf_dir))
 
 
 @query

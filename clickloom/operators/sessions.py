@@ -163,6 +163,14 @@ def newest_sessions(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.desc("last_activity_at"), "session_id").limit(n)
 
 
+def newest_session_rows(events: DataFrame, n: int, frame: DataFrame | None = None) -> DataFrame:
+    """The ``n`` newest session rows; pages are gathered for these sessions only."""
+    frame = session_frame(events) if frame is None else frame
+    newest = frame.orderBy(F.desc("last_activity_at"), "session_key").limit(n)
+    theirs = events.join(newest.select("session_key"), "session_key", "left_semi")
+    return newest_sessions(session_rows(theirs, newest), n)
+
+
 def filter_sessions(rows: DataFrame, mode: str = "all") -> DataFrame:
     """Session rows of one filter mode."""
     if mode not in FILTER_MODES:
@@ -199,7 +207,7 @@ def session_status(rows: DataFrame) -> DataFrame:
 
 
 def session_summary(frame: DataFrame) -> DataFrame:
-    """Totals over the session frame."""
+    """Totals over the session frame, of which only two columns matter."""
     anonymous = F.count_if(F.col("user_display").isNull())
     return frame.agg(
         F.count("*").alias("total"),
@@ -210,6 +218,16 @@ def session_summary(frame: DataFrame) -> DataFrame:
     )
 
 
+def count_sessions(events: DataFrame, taxonomy: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+    """The totals of ``session_summary`` from the events, by two flags per session."""
+    parsed = events.withColumn("_p", sf.property_struct(F.col("properties_json"), tx.EMAIL_KEYS))
+    named = F.coalesce(sf.present(F.col("user_id")), sf.form_email(F.col("_p"), F.col("user_id"))).isNotNull()
+    flags = parsed.groupBy("session_key").agg(
+        _seen(is_in(taxonomy.form_submit)).alias("has_form_submit"), _seen(named).alias("_named")
+    )
+    return session_summary(flags.withColumn("user_display", F.when(F.col("_named") == 1, F.col("session_key"))))
+
+
 def recent_converters(events: DataFrame, n: int = 20, frame: DataFrame | None = None) -> DataFrame:
     """The ``n`` newest converted sessions, newest first.
 

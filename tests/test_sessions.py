@@ -155,6 +155,9 @@ def test_filters_and_status(make_events):
     assert counts == {m: len(keep(m)) for m in sessions.FILTER_MODES}
     summary = sessions.session_summary(sessions.session_frame(events)).first()
     assert tuple(summary) == (3, 1, 2, 2, 1)
+    assert sessions.count_sessions(events).first() == summary
+    newest = sessions.newest_session_rows(events, 2)
+    assert newest.collect() == sessions.newest_sessions(rows, 2).collect()
     with pytest.raises(ValueError):
         sessions.filter_sessions(rows, "none")
 
