@@ -10,7 +10,7 @@ from clickloom.sources import sample
 
 SF = "/root/testdata/sf0.001"
 # these run a job while they are defined, or are covered by their batch twin
-EAGER = ("stream", "pipeline", "load_history", "event_table", "insights_report", "sessionize_fixed", "recent_converters")
+EAGER = ("stream", "pipeline", "load_history", "load_live", "event_table", "insights_report", "report_", "sessionize_fixed")
 
 
 def plan(df):
@@ -35,7 +35,7 @@ def test_one_scan(spark, name):
     assert plan(QUERIES[name](spark, SF)).count("FileScan") == 1
 
 
-@pytest.mark.parametrize("name", ["kpis", "funnel", "activity_trends_daily", "top_events", "visitor_mix", "rates", "event_counters"])
+@pytest.mark.parametrize("name", ["kpis", "funnel", "activity_trends_daily", "top_events", "visitor_mix", "rates", "event_counters", "session_summary"])
 def test_counts_aggregate_by_hash(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "SortAggregate" not in text and "partial_" in text
