@@ -1,10 +1,10 @@
 """Exact order statistics without gathering the values.
 
 ``percentile`` keeps a map of all distinct values in one task. Here the value range
-is narrowed instead: one histogram over whole units finds the unit holding the
-wanted rank, a second one over the remainder finds the value. Each is an ordinary
-partial aggregation, and the groups per histogram are bounded by the value range,
-not by the number of rows.
+is narrowed instead: a histogram over whole units, added up into steps, finds the step
+and then the unit holding the wanted rank, and one over the remainder finds the value.
+Each is an ordinary partial aggregation. What is ranked in one task is the steps, the
+units of one step and the values of one unit: none of them grows with the rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 MICROS = 1_000_000
+#: Units in a step: an hour of seconds.
+STEP = 3600
 
 
 def _pick(hist: DataFrame, value: str) -> DataFrame:
@@ -35,18 +37,20 @@ def exact_median(values: DataFrame, column: str, unit: int = MICROS) -> DataFram
     """
     v = values.select(F.col(column).alias("v")).where("v IS NOT NULL")
     coarse = v.groupBy(F.expr(f"v div {unit}").alias("hi")).agg(F.count("*").alias("n"))
+    steps = coarse.groupBy(F.expr(f"hi div {STEP}").alias("top")).agg(F.sum("n").alias("n"))
     size = F.col("size")
     # two targets: the lower and the upper middle rank
-    total = coarse.agg(F.sum("n").alias("size"))
     targets = F.array(
         F.struct(F.lit(0).alias("target"), F.floor((size - 1) / 2).cast("long").alias("rank")),
         F.struct(F.lit(1).alias("target"), F.floor(size / 2).cast("long").alias("rank")),
     )
-    by_unit = (
-        coarse.withColumn("size", total.scalar())
-        .select("hi", "n", F.explode(targets).alias("t"))
-        .select("hi", "n", "t.target", "t.rank")
+    by_step = (
+        steps.withColumn("size", F.sum("n").over(W.Window.partitionBy(F.lit(0))))
+        .select("top", "n", F.explode(targets).alias("t"))
+        .select("top", "n", "t.target", "t.rank")
     )
+    # two rows at most, so the broadcast is bounded
+    by_unit = coarse.withColumn("top", F.expr(f"hi div {STEP}")).join(F.broadcast(_pick(by_step, "top")), "top")
     units = _pick(by_unit, "hi")
     # two rows at most, so the broadcast is bounded
     inside = v.withColumn("hi", F.expr(f"v div {unit}")).join(F.broadcast(units), "hi")
