@@ -1,20 +1,32 @@
 """Quality rules: fixed text rules, and a hashed n-gram likelihood ratio of two corpora.
 
 The ratio compares two multinomials over hashed unigrams and bigrams: one of trusted
-target documents, one of the raw corpus. A document's verdict is its mean log ratio per
-n-gram against a fixed threshold. Everything is a DataFrame expression. Corpus counts
-need one pass with a partial aggregate of at most ``BUCKETS`` rows per task; scoring is a
-projection without any shuffle, as the ``BUCKETS`` weights are part of the expression.
+target documents, one of the raw corpus. A document must reach one threshold with its mean
+log ratio per n-gram, and another with the mean log ratio of its ``WORST`` worst words, as
+a few toxic words do not move the mean of a long text. Words alone have weights of their
+own, in which no pairs share the buckets.
+
+Both thresholds come from labelled documents of one fold: the first is the one that gives
+most right verdicts on trusted documents and those of low quality, the second on trusted
+and toxic ones of good quality. These documents are judged by weights without the trusted documents of
+their fold; the weights used for the corpus hold all trusted documents.
+
+Everything is a DataFrame expression. Corpus counts need one pass with a partial aggregate
+of at most ``BUCKETS`` rows per task; scoring is a projection without any shuffle, as
+the weights are part of the expression.
 
 Defined cases: a null text has no words; a text without words has ratio 0; equal rows
 give equal results, one per input row; with no trusted document or no rows at all every
-weight is 0, so only the fixed rules decide; other columns are ignored.
+weight is 0, so only the fixed rules decide; without labelled documents of both kinds in
+the fold the mean has the threshold ``THRESHOLD`` and the worst words have none; a text of
+fewer than ``WORST`` words is judged by all its words; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +40,13 @@ SCALE = 1_000_000
 #: Added to the target count of a bucket and to the count expected from the raw corpus,
 #: which draws the ratio of rarely seen buckets to 1.
 PSEUDO_COUNT = 10
-#: Least mean log ratio (nats per n-gram) of a document that is kept.
+#: Least mean log ratio (nats per n-gram) of a document that is kept, where labels give none.
 THRESHOLD = -0.1
+#: A text is also judged by so many of its words, those of the lowest ratios.
+WORST = 5
+#: Trusted and untrusted documents of this fold of ``FOLDS`` give the thresholds, in steps
+#: of 1 / ``STEPS`` nat.
+FOLDS, THRESHOLD_FOLD, STEPS = 5, 1, 1000
 #: Trusted ids up to this number are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -97,46 +114,144 @@ def features(words: str, buckets: int = BUCKETS) -> Column:
     return F.concat(one, two)
 
 
+class Rules(NamedTuple):
+    """Scaled weights of all n-grams and of words alone, and their thresholds in nats."""
+
+    weights: list[int]
+    word_weights: list[int]
+    threshold: float = THRESHOLD
+    word_threshold: float | None = None
+
+
+def judged_ids(labels: DataFrame) -> DataFrame:
+    """``doc_id``, least ``quality`` and greatest ``toxic`` of all its labels; null ids do not count."""
+    rows = T.pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").filter("doc_id is not null")
+    return rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids all of whose labels say good quality and not toxic; null ids and labels do not count."""
-    rows = T.pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").filter("doc_id is not null")
-    return rows.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("doc_id")
+    return judged_ids(labels).filter("quality = 1 and toxic = 0").select("doc_id")
 
 
-def fit_weights(documents: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                buckets: int = BUCKETS) -> list[int]:
-    """Scaled log ratio of trusted-target to raw-corpus probability for every bucket.
+def count_grams(documents: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                buckets: int = BUCKETS) -> dict[str, np.ndarray]:
+    """How often n-grams fall in each bucket: in all documents (``raw``), in trusted ones
+    (``target``) and in trusted ones outside ``THRESHOLD_FOLD`` (``unseen``); words alone
+    under the same names with ``word_``.
 
-    Both multinomials are smoothed at the size of the target, so their totals cancel. Counts cover every n-gram of every document. At most ``buckets`` rows reach the driver.
+    Counts cover every n-gram of every document. At most ``buckets`` rows reach the driver.
     """
     docs = T.pick(documents, doc_id=doc_id, text=text)
     docs = docs.select("doc_id", T.words(F.col("text")).alias("words"))
     ids = T.broadcast_within(trusted.select(F.col("doc_id").alias("trusted_id")), BROADCAST_IDS)
     docs = docs.join(ids, docs["doc_id"] == ids["trusted_id"], "left")
-    grams = docs.select(F.col("trusted_id").isNotNull().cast("long").alias("hit"), F.explode(features("words", buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target")).collect()
-    raw_all, target_all = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
-    weights = [0] * buckets
-    if not target_all:
-        return weights
-    for r in counts:
-        expected = r["raw"] * target_all / raw_all
-        weights[r["bucket"]] = round(SCALE * math.log((r["target"] + PSEUDO_COUNT) / (expected + PSEUDO_COUNT)))
-    return weights
+    hit = F.col("trusted_id").isNotNull()
+    unseen = hit & (T.fold(F.col("doc_id"), FOLDS) != THRESHOLD_FOLD)
+    grams = docs.select(
+        F.lit(1).cast("long").alias("raw"), hit.cast("long").alias("target"), F.coalesce(unseen, F.lit(False)).cast("long").alias("unseen"),
+        F.size("words").alias("n"), F.posexplode(features("words", buckets)).alias("place", "bucket"))
+    names = ("raw", "target", "unseen")
+    sums = [F.sum(c).alias(c) for c in names] + [F.sum(F.when(F.col("place") < F.col("n"), F.col(c)).otherwise(F.lit(0).cast("long"))).alias(f"word_{c}") for c in names]
+    rows = grams.groupBy("bucket").agg(*sums).toArrow()
+    out = {}
+    for c in rows.column_names[1:]:
+        out[c] = np.zeros(buckets, dtype=np.int64)
+        out[c][rows.column("bucket").to_numpy()] = rows.column(c).to_numpy()
+    return out
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray) -> list[int]:
+    """Scaled log ratio of trusted-target to raw-corpus probability for every bucket.
+
+    Both multinomials are smoothed at the size of the target, so their totals cancel.
+    """
+    if not target.sum():
+        return [0] * len(target)
+    expected = raw * int(target.sum()) / int(raw.sum())
+    return np.rint(SCALE * np.log((target + PSEUDO_COUNT) / (expected + PSEUDO_COUNT))).astype(np.int64).tolist()
+
+
+def fit_weights(documents: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                buckets: int = BUCKETS) -> list[int]:
+    """Scaled log ratios of the buckets of all n-grams."""
+    counts = count_grams(documents, trusted, doc_id, text, buckets)
+    return log_ratios(counts["target"], counts["raw"])
+
+
+def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> Rules:
+    """Weights from all trusted documents, and thresholds from the labelled ones of ``THRESHOLD_FOLD``."""
+    counts = count_grams(documents, trusted_ids(labels), doc_id, text, buckets)
+    unseen = Rules(log_ratios(counts["unseen"], counts["raw"]), log_ratios(counts["word_unseen"], counts["word_raw"]))
+    threshold, word_threshold = thresholds(documents, labels, unseen, doc_id, text)
+    return Rules(
+        log_ratios(counts["target"], counts["raw"]), log_ratios(counts["word_target"], counts["word_raw"]),
+        THRESHOLD if threshold is None else threshold, word_threshold)
+
+
+def thresholds(documents: DataFrame, labels: DataFrame, unseen: Rules, doc_id: str = "doc_id", text: str = "text") -> tuple[float | None, float | None]:
+    """Thresholds of the mean and of the worst words, by weights that have not seen the fold.
+
+    Only counts of documents by steps of the ratios reach the driver.
+    """
+    judged = judged_ids(labels).filter(T.fold(F.col("doc_id"), FOLDS) == THRESHOLD_FOLD).withColumnRenamed("doc_id", "judged_id")
+    judged = T.broadcast_within(judged, BROADCAST_IDS)
+    docs = T.pick(documents, doc_id=doc_id, text=text)
+    docs = docs.join(judged.select("judged_id"), F.col("doc_id") == F.col("judged_id"), "left_semi")
+    scores = apply_rules(docs, unseen.weights, word_weights=unseen.word_weights)
+    scores = scores.join(judged, F.col("doc_id") == F.col("judged_id"))
+    kinds = [("mean", "log_ratio", F.col("quality") == 0), ("worst", "worst_ratio", (F.col("quality") == 1) & (F.col("toxic") == 1))]
+    # counted under a condition: a filter would move below the words and extract them again in every lambda
+    scores = scores.select(
+        "base_failed", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("trusted"),
+        F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.floor(F.col(c) * STEPS).alias("step"), bad.alias("bad")) for k, c, bad in kinds])).alias("s"))
+    rows = scores.groupBy("s.kind", "s.step").agg(
+        F.count_if(F.col("trusted") & ~F.col("base_failed")).alias("trusted"), F.count_if(F.col("s.bad") & ~F.col("base_failed")).alias("bad")).collect()
+    found = [best_step([(r["step"], r["trusted"], r["bad"]) for r in rows if r["kind"] == k]) for k, _, _ in kinds]
+    mean, worst = [None if step is None else step / STEPS for step in found]
+    return mean, worst
+
+
+def best_step(counts: list[tuple[int, int, int]]) -> int | None:
+    """The step below which bad documents outnumber trusted ones the most; the lowest of equals."""
+    if not any(t for _, t, _ in counts):
+        return None
+    best, most, gain = None, 0, 0
+    for step, trusted, bad in sorted(counts):
+        gain += bad - trusted
+        if gain > most:
+            best, most = step + 1, gain
+    return best
 
 
 def apply_rules(documents: DataFrame, weights: list[int], threshold: float = THRESHOLD, doc_id: str = "doc_id",
-                text: str = "text") -> DataFrame:
-    """Base statistics, ``log_ratio`` (nats per n-gram), ``base_failed`` and ``kept`` per document."""
-    # the text of the weights is folded into one array literal when the plan is optimised
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
+                text: str = "text", word_weights: list[int] | None = None, word_threshold: float | None = None) -> DataFrame:
+    """Base statistics, ``log_ratio`` (nats per n-gram), ``worst_ratio`` (nats per word), ``base_failed`` and ``kept`` per document.
+
+    Without ``word_weights`` the worst words are not judged, and ``worst_ratio`` is 0.
+    """
     docs = base_statistics(documents, doc_id, text).withColumn("features", features("words", len(weights)))
+    table = lookup(weights)
     docs = docs.withColumn("total", F.aggregate("features", F.lit(0).cast("bigint"), lambda s, b: s + F.get(table, b)))
-    n = F.size("features")
+    low = F.lit(0).cast("bigint")
+    if word_weights is not None:
+        word_table = lookup(word_weights)
+        ratios = F.transform(F.slice("features", F.lit(1), F.size("words")), lambda b: F.get(word_table, b))
+        low = F.aggregate(F.slice(F.sort_array(ratios), 1, WORST), low, lambda s, w: s + w)
+    docs = docs.withColumn("low", low)
+    n, n_low = F.size("features"), F.least(F.size("words"), F.lit(WORST))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    kept = ~failed & (F.col("total") >= n * F.lit(round(threshold * SCALE)).cast("bigint"))
+    if word_threshold is not None:
+        kept = kept & (F.col("low") >= n_low * F.lit(round(word_threshold * SCALE)).cast("bigint"))
     return docs.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & (F.col("total") >= n * F.lit(round(threshold * SCALE)).cast("bigint"))).alias("kept"),
+        failed.alias("base_failed"), kept.alias("kept"),
         F.when(n > 0, F.col("total") / n / SCALE).otherwise(F.lit(0.0)).alias("log_ratio"),
+        F.when(n > 0, F.col("low") / n_low / SCALE).otherwise(F.lit(0.0)).alias("worst_ratio"),
     )
+
+
+def lookup(weights: list[int]) -> Column:
+    """The weights as an array; their text is folded into one literal when the plan is optimised."""
+    return F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")

@@ -71,8 +71,9 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    weights = domain_rules.fit_weights(documents, domain_rules.trusted_ids(table(spark, sf_dir, "labels")))
-    return domain_rules.apply_rules(documents, weights)
+    rules = domain_rules.fit(documents, table(spark, sf_dir, "labels"))
+    return domain_rules.apply_rules(
+        documents, rules.weights, rules.threshold, word_weights=rules.word_weights, word_threshold=rules.word_threshold)
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -398,6 +398,30 @@ def test_ratio_against_brute_force(spark):
     assert math.isclose(got[1], want, abs_tol=1e-5) and got[4] == 0
 
 
+def test_toxic_words_in_good_text_are_rejected(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    good, junk, toxic = [f"w{i}" for i in range(400)], [f"j{i}" for i in range(400)], ["idiot", "moron", "scum"]
+    docs, labels = [], []
+    for i in range(900):
+        kind = ("clean", "clean", "clean", "toxic", "junk")[int(rng.integers(5))]
+        w = list(rng.choice(junk if kind == "junk" else good, 120))
+        if kind == "toxic":
+            w[40:100:15] = list(rng.choice(toxic, 4))
+        docs.append((i, " ".join(w), kind))
+        if zlib.crc32(str(i).encode()) % 5:  # the fold 0 has no labels
+            labels.append((i, int(kind != "junk"), int(kind == "toxic")))
+    spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r["doc_id"]: r["kept"] for r in queries.op9_quality_rules(spark, str(tmp_path)).collect()}
+    held = {k: [kept[i] for i, _, kind in docs if kind == k and zlib.crc32(str(i).encode()) % 5 == 0] for k in ("clean", "toxic", "junk")}
+    assert np.mean(held["clean"]) >= 0.95 and np.mean(held["toxic"]) <= 0.05 and np.mean(held["junk"]) <= 0.05
+
+
+def test_best_step():
+    assert domain_rules.best_step([(3, 5, 0), (1, 0, 4), (2, 1, 1)]) == 2
+    assert domain_rules.best_step([(1, 0, 4)]) is None and domain_rules.best_step([]) is None
+
+
 # 10 sharding
 
 
