@@ -96,4 +96,57 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES = {"op6_chat_format": OP6, "op7_warc": OP7, "op2_mix_sources": OP2, "op3_decontaminate": OP3}
+OP12 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+    WHERE len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.93
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""
+
+
+def _kmeans(clusters: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment (a) and centroids (c) as one table expression after another."""
+    steps = [f"""v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, e FROM v ORDER BY sha256('2:' || vec_id) LIMIT {clusters}
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT vec_id, any_value(v.e) AS e, min({{'d': d, 'c': c}}) AS best FROM (
+        SELECT vec_id, v.e, c, list_sum(list_transform(list_zip(v.e, c{i}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}
+    ) v GROUP BY vec_id
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+    SELECT c, list(floor(s / n)::BIGINT ORDER BY p) AS e
+    FROM (SELECT best.c AS c, p, sum(x) AS s, count(*) AS n FROM (SELECT best, unnest(e) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY 1, 2) GROUP BY c
+), c{i + 1} AS MATERIALIZED (
+    SELECT c, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} USING (c)
+)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.c = c{rounds}.c
+"""
+
+
+OP13 = _kmeans()
+
+ORACLES = {
+    "op6_chat_format": OP6, "op7_warc": OP7, "op2_mix_sources": OP2, "op3_decontaminate": OP3, "op12_metric_join": OP12, "op13_heap_kmeans": OP13,
+}

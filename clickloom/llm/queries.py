@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import chat_format, ctw, decontaminate, domain_rules, feistel, mil_quality, paragraph_dedup, simhash, source_mix, warc
+from clickloom.llm import chat_format, ctw, decontaminate, domain_rules, feistel, heap_kmeans, metric_join, mil_quality, paragraph_dedup, simhash, source_mix, token_align, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,18 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.score(table(spark, sf_dir, "documents"))
+
+
+def op12_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mix_sources": op2_mix_sources,
@@ -96,4 +108,7 @@ QUERIES = {
     "op8_context_tree": op8_context_tree,
     "op9_quality_rules": op9_quality_rules,
     "op10_shard": op10_shard,
+    "op11_token_align": op11_token_align,
+    "op12_metric_join": op12_metric_join,
+    "op13_heap_kmeans": op13_heap_kmeans,
 }
