@@ -31,7 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom import runtime
@@ -93,18 +93,18 @@ def assign(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.n
     return cluster, gap
 
 
-class Run(NamedTuple):
-    """A sorted run of the heaps: its files, and for each cluster the key below which all are popped."""
+class Heaps(NamedTuple):
+    """Sorted runs in files. Of all but the newest, keys below ``low`` of their cluster are popped."""
 
-    path: str
+    paths: list[str]
     low: np.ndarray
 
 
-RUN = "vec_id long, v array<int>, cluster int, was int, key double"
+RUN = "vec_id long, v array<int>, cluster int, was int, key double, run int"
 
 
-def write_run(rows: DataFrame, centroids: np.ndarray, offsets: np.ndarray, name: str) -> Run:
-    """Assign all rows exactly and write them as a run; ``was`` is the cluster they leave, -1 for none."""
+def push(heaps: Heaps, rows: DataFrame, centroids: np.ndarray, offsets: np.ndarray) -> Heaps:
+    """Assign all rows exactly and write them as the newest run; ``was`` is the cluster they leave, -1 for none."""
     spark = rows.sparkSession
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,41 +118,52 @@ def write_run(rows: DataFrame, centroids: np.ndarray, offsets: np.ndarray, name:
                 [batch.column(0), lists, pa.array(cluster.astype(np.int32)), batch.column(2), pa.array(gap + offsets[cluster])],
                 ["vec_id", "v", "cluster", "was", "key"])
 
-    path = T.scratch(spark, name)
-    scanned = rows.select("vec_id", "v", "was").mapInArrow(scan, RUN)
+    run = len(heaps.paths)
+    path = T.scratch(spark, f"heap-{run}")
+    scanned = rows.select("vec_id", "v", "was").mapInArrow(scan, RUN.removesuffix(", run int")).withColumn("run", F.lit(run))
     scanned.sortWithinPartitions("cluster", "key").write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return Run(path, np.full(len(centroids), -np.inf))
+    return Heaps([*heaps.paths, path], heaps.low)
 
 
-def read_run(spark, run: Run) -> DataFrame:
-    return spark.read.schema(RUN).parquet(run.path)
+def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.schema(RUN).parquet(*paths)
 
 
-def between(low: np.ndarray, high: np.ndarray) -> Column:
-    """Keys from ``low`` to below ``high`` of their cluster, as ranges that the files can skip by."""
-    found = F.lit(False)
-    for c in np.flatnonzero(high > low):
-        own = F.col("cluster") == F.lit(int(c))
-        if np.isfinite(low[c]):
-            own = own & (F.col("key") >= F.lit(float(low[c])))
-        if np.isfinite(high[c]):
-            own = own & (F.col("key") < F.lit(float(high[c])))
-        found = found | own
-    return found
+def held(heaps: Heaps, high: np.ndarray) -> Column:
+    """Rows of the heaps with keys below ``high`` of their cluster, as ranges that the files can skip by."""
+    newest, terms = len(heaps.paths) - 1, []
+    for c, (low, top) in enumerate(zip(heaps.low, high)):
+        term = f"cluster = {c}"
+        if np.isfinite(top):
+            term += f" AND key < double('{float(top)!r}')"
+        if np.isfinite(low):
+            term += f" AND (run = {newest} OR key >= double('{float(low)!r}'))"
+        if top > -np.inf:
+            terms.append(f"({term})")
+    return F.expr(" OR ".join(terms) or "false")
 
 
 def changes(moved: DataFrame, clusters: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """By how much the sums and counts of the clusters change."""
-    sides = F.array(F.struct(F.col("cluster").alias("c"), F.lit(1).alias("sign")), F.struct(F.col("was").alias("c"), F.lit(-1).alias("sign")))
-    rows = moved.filter("cluster <> was").select("v", F.explode(sides).alias("s")).filter("s.c >= 0")
-    totals = rows.groupBy("s.c").agg(
-        F.sum(F.col("s.sign").cast("long")).alias("n"),
-        *[F.sum(F.get("v", F.lit(i)).cast("long") * F.col("s.sign")).alias(f"v{i}") for i in range(dimensions)]).collect()
-    sums, counts = np.zeros((clusters, dimensions), dtype=np.int64), np.zeros(clusters, dtype=np.int64)
-    for r in totals:
-        counts[r["c"]] = r["n"]
-        sums[r["c"]] = [r[f"v{i}"] for i in range(dimensions)]
-    return sums, counts
+    """By how much the sums and counts of the clusters change: summed in each task, then over tasks."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((clusters, dimensions + 1), dtype=np.int64)
+        for batch in batches:
+            lists, to, was = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            vectors = np.ones((len(lists), dimensions + 1), dtype=np.int64)
+            vectors[:, :-1] = lists.flatten().to_numpy().reshape(len(lists), -1)
+            np.add.at(total, to, vectors)
+            np.subtract.at(total, was[was >= 0], vectors[was >= 0])
+        held = np.flatnonzero(total.any(axis=1))
+        places = np.arange(dimensions + 1, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(held, dimensions + 1).astype(np.int32)), pa.array(np.tile(places, len(held))), pa.array(total[held].ravel())], ["c", "place", "x"])
+
+    rows = moved.filter("cluster <> was").select("v", "cluster", "was").mapInArrow(partial, "c int, place int, x long")
+    totals = np.zeros((clusters, dimensions + 1), dtype=np.int64)
+    for r in rows.groupBy("c", "place").agg(F.sum("x").alias("x")).collect():
+        totals[r["c"], r["place"]] = r["x"]
+    return totals[:, :-1], totals[:, -1]
 
 
 def drifts(old: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -165,9 +176,9 @@ def drifts(old: np.ndarray, new: np.ndarray) -> np.ndarray:
 
 
 class Clustering(NamedTuple):
-    """The heaps after the last round, the final centroids and the share of vectors that each round scanned."""
+    """The heaps after the last round, the final centroids and the number of vectors that each round scanned."""
 
-    runs: list[Run]
+    heaps: Heaps
     centroids: np.ndarray
     scanned: list[int]
 
@@ -180,43 +191,35 @@ def fit(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, seed
     spark = vectors.sparkSession
     centroids = first_centroids(vectors, clusters, seed)
     if not len(centroids):
-        return Clustering([], centroids, [])
+        return Clustering(Heaps([], np.zeros(0)), centroids, [])
     k, dimensions = centroids.shape
     offsets = np.zeros(k)
-    runs = [write_run(vectors.withColumn("was", F.lit(-1)), centroids, offsets, "heap-0")]
-    sums, counts = changes(read_run(spark, runs[0]), k, dimensions)
+    heaps = push(Heaps([], np.full(k, -np.inf)), vectors.withColumn("was", F.lit(-1)), centroids, offsets)
+    sums, counts = changes(read_runs(spark, heaps.paths), k, dimensions)
     scanned = [int(counts.sum())]
-    for turn in range(1, rounds + 1):
+    for _ in range(rounds):
         moved = centroids.copy()
-        held = counts > 0
-        moved[held] = np.floor_divide(sums[held], counts[held][:, None])
+        filled = counts > 0
+        moved[filled] = np.floor_divide(sums[filled], counts[filled][:, None])
         shrink = drifts(centroids, moved)
         centroids, offsets = moved, offsets + shrink * (1 + SLACK)
-        # where nothing moved, equal distances stay as they were decided
-        until = np.where(shrink > 0, offsets + SLACK * (1 + offsets), -np.inf)
-        expired = [read_run(spark, r).filter(between(r.low, until)) for r in runs if (until > r.low).any()]
-        if not expired:
+        if not shrink.any():
+            # nothing moved, so equal distances stay as they were decided
             scanned.append(0)
             continue
-        popped = expired[0]
-        for more in expired[1:]:
-            popped = popped.unionByName(more)
-        fresh = write_run(popped.select("vec_id", "v", F.col("cluster").alias("was")), centroids, offsets, f"heap-{turn}")
-        runs = [Run(r.path, np.maximum(r.low, until)) for r in runs] + [fresh]
-        rows = read_run(spark, fresh)
-        more_sums, more_counts = changes(rows, k, dimensions)
+        until = offsets + SLACK * (1 + offsets)
+        popped = read_runs(spark, heaps.paths).filter(held(heaps, until))
+        heaps = push(heaps, popped.select("vec_id", "v", F.col("cluster").alias("was")), centroids, offsets)._replace(low=until)
+        fresh = read_runs(spark, heaps.paths[-1:])
+        more_sums, more_counts = changes(fresh, k, dimensions)
         sums, counts = sums + more_sums, counts + more_counts
-        scanned.append(rows.count())
-    return Clustering(runs, centroids, scanned)
+        scanned.append(fresh.count())
+    return Clustering(heaps, centroids, scanned)
 
 
-def members(spark, found: Clustering) -> DataFrame:
+def members(spark: SparkSession, found: Clustering) -> DataFrame:
     """All vectors with their ``cluster`` and exact squared ``distance`` to its centroid."""
-    top = np.full(len(found.centroids), np.inf)
-    live = [read_run(spark, r).filter(between(r.low, top)) for r in found.runs]
-    rows = live[0]
-    for more in live[1:]:
-        rows = rows.unionByName(more)
+    rows = read_runs(spark, found.heaps.paths).filter(held(found.heaps, np.full(len(found.centroids), np.inf)))
     centroids = found.centroids
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +241,11 @@ def cluster(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     spark = table.sparkSession
     found = fit(T.stored(integers(table, vec_id, embedding, dimensions), "integers"), clusters, rounds, seed)
     schema = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
-    if not found.runs:
+    if not found.heaps.paths:
         return spark.createDataFrame([], schema)
     measured = T.stored(members(spark, found), "members")
-    for run in found.runs:
-        runtime.remove(spark, run.path)
+    for path in found.heaps.paths:
+        runtime.remove(spark, path)
     sums = {r["cluster"]: r["s"] for r in measured.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
     shown = [(c, sums.get(c), sum(sums.values()), ",".join(map(str, row.tolist()))) for c, row in enumerate(found.centroids)]
     of_cluster = spark.createDataFrame(shown, "c int, cluster_inertia long, inertia long, centroid string")
