@@ -108,7 +108,7 @@ def shingles(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     lengths = np.diff(np.append(starts, n))
     left = np.repeat(starts + lengths, lengths) - np.arange(n)
     out = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
+    for k in range(min(SHINGLE, n)):
         out[:n - k] += words[k:] * PLACE_HASH[k]
     out = np.minimum(_mix(out), LAST - np.uint64(1))
     out[left < SHINGLE] = LAST

@@ -50,7 +50,7 @@ def test_against_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
@@ -483,3 +483,19 @@ def test_pipeline_against_brute_force(spark, docs):
     assert all(abs(taken[s] - goal) <= longest for s, goal in source_mix.targets(dict(sums)).items())
     final = stages["sharding"](spark, mixed, SF)
     assert final.count() == mixed.count() and corpus_pipeline.run(spark, SF).count() == mixed.count()
+
+
+@pytest.mark.parametrize("texts", [["a b"], ["a b c"], ["a", None, "b"], ["a"], ["a b c d"], [""], [None]])
+def test_paragraphs_of_batches_with_few_words(texts):
+    words, owner = paragraph_dedup.word_hashes([(t or "").encode() for t in texts])
+    starts = paragraph_dedup.paragraphs(words, owner) if len(words) else np.zeros(0, dtype=np.int64)
+    if len(words):
+        with np.errstate(over="ignore"):
+            grams = paragraph_dedup.shingles(words, starts)
+        assert (grams[starts] != paragraph_dedup.LAST).all()
+
+
+def test_repeats_where_every_partition_has_one_tiny_text(spark):
+    texts = ["a b", "a b c", "a", None, "", "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert paragraph_dedup.find_repeats(df).count() == 0
