@@ -645,6 +645,31 @@ def sql() -> dict[str, str]:
           CAST(200 AS INTEGER) AS buffer_size, least(200, count(*)) AS buffer_used FROM events""",
     }
     out["stream_ingest"] = out["dedupe_events"]
+    deep = f"""SELECT event_id, event_name, received_at FROM ev ORDER BY {RECENT_ORDER} LIMIT 40 OFFSET (SELECT count(*) * 9 // 10 FROM ev)"""
+    out["event_page_deep"] = out["event_page_after"] = with_(EV, deep)
+    out["latency_sketch"] = with_(ATTEMPTS, """SELECT status, CAST(0.95 AS DOUBLE) AS q, count(*) AS n, count(*) AS sketched, true AS within
+      FROM att GROUP BY status""")
+    out["footer_stats"] = """SELECT count(*) AS row_count, min(event_id) AS min_event_id, max(event_id) AS max_event_id,
+      min(user_id) AS min_user_id, max(user_id) AS max_user_id FROM events"""
+    out["stream_lag"] = """SELECT CAST(0 AS INTEGER) AS kafka_partition, count(*) AS end_offset, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-21') AS next_offset,
+      count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-21') AS lag FROM events"""
+    out["stream_lag_by_partition"] = out["ingest_lag"].replace("SELECT kafka_partition, end_offset", "SELECT 'clicks' AS topic, kafka_partition, end_offset")
+    out["stream_late_rows"] = """WITH b AS (
+      SELECT epoch_us(ts) AS us, CASE WHEN ts >= TIMESTAMP '2024-01-21' OR ts < TIMESTAMP '2024-01-11' THEN 2 WHEN ts >= TIMESTAMP '2024-01-18' THEN 1 ELSE 0 END AS batch
+      FROM events), w AS (
+      SELECT b.*, (SELECT max(us) FROM b o WHERE o.batch < b.batch) // 1000 * 1000 - 172800000000 AS mark FROM b), l AS (
+      SELECT batch, coalesce(us <= mark, false) AS late FROM w)
+      SELECT CAST(batch AS BIGINT) AS batch_id, count(*) FILTER (WHERE NOT late) AS kept, count(*) FILTER (WHERE late) AS late,
+        (SELECT count(*) FROM l WHERE NOT late) AS operator_kept, (SELECT count(*) FROM l WHERE late) AS operator_late FROM l GROUP BY batch"""
+    out["stream_status_totals"] = """SELECT CAST(2 AS BIGINT) AS runs, CAST(3 AS BIGINT) AS batches, count(*) AS total_received,
+      CAST(0 AS BIGINT) AS late_rows, 'stopped' AS status FROM events"""
+    rows = with_(EV, "SELECT event_id, event_name, kafka_partition, kafka_offset, received_at FROM ev")
+    out["stream_compacted"] = out["stream_continuous"] = out["stream_to_table"] = rows
+    out["stream_replayed_table"] = out["event_table_scan"]
+    out["catalog_document"] = """SELECT kind, id, name, (SELECT count(*) FROM part)::INTEGER AS engine_count, (SELECT count(*) FROM supplier)::INTEGER AS blueprint_count,
+      CAST(0 AS INTEGER) AS experience_count FROM (
+      SELECT 'engine' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part
+      UNION ALL SELECT 'blueprint', CAST(s_suppkey AS VARCHAR), s_name FROM supplier)"""
     out["stream_counters"] = out["event_counters"]
     out["stream_client_clock"] = out["stream_windows"]
     out["event_component_column"] = out["event_component"]
@@ -653,5 +678,5 @@ def sql() -> dict[str, str]:
         ("report_converters", "recent_converters"), ("report_sessions", "session_rows"),
     ):
         out[panel] = out[same]
-    out["stream_sessions_fixed"] = out["stream_sessions_state"] = AGE_SQL
+    out["stream_sessions_fixed"] = out["stream_sessions_state"] = out["stream_sessions_timed"] = AGE_SQL
     return out

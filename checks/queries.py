@@ -22,7 +22,7 @@ from clickloom.operators import (
 from clickloom.plans import report
 from clickloom.sources import documents, kafka, sample
 from clickloom.sources import events as table_io
-from clickloom.streaming import jobs
+from clickloom.streaming import compaction, jobs, progress, state
 
 AS_OF = sample.AS_OF
 DAYS = 15
@@ -390,6 +390,26 @@ def event_page_wide(spark, sf_dir):
     return live.page_events(events(spark, sf_dir), limit=450).select("event_id", "event_name")
 
 
+def deep_offset(rows):
+    """Nine tenths of all rows."""
+    return rows.count() * 9 // 10
+
+
+@query
+def event_page_deep(spark, sf_dir):
+    """A page far from the top: only its range of arrival times is sorted."""
+    rows = events(spark, sf_dir)
+    return live.page_events(rows, limit=40, offset=deep_offset(rows)).select("event_id", "event_name", "received_at")
+
+
+@query
+def event_page_after(spark, sf_dir):
+    """The same page from the row before it."""
+    rows = events(spark, sf_dir)
+    last = live.page_events(rows, limit=1, offset=deep_offset(rows) - 1).first()
+    return live.page_after(rows, last, limit=40).select("event_id", "event_name", "received_at")
+
+
 @query
 def distinct_names(spark, sf_dir):
     return live.distinct_names(events(spark, sf_dir))
@@ -491,6 +511,15 @@ def histogram_quantile_by_status(spark, sf_dir):
     return metrics.histogram_quantile(histogram, 0.5, "status").withColumn("value", F.round("value", 5))
 
 
+@query
+def latency_sketch(spark, sf_dir):
+    """The 95th percentile from sketches per day, merged per status, inside its error bound."""
+    attempts = sample.publish_attempts(spark, sf_dir).withColumn("day", F.to_date("received_at"))
+    merged = metrics.sketch_quantile(metrics.value_sketches(attempts, "duration_s", "day", "status"), 0.95, "status")
+    checked = metrics.quantile_check(attempts, "duration_s", merged, "status")
+    return checked.join(merged.select("status", F.col("n").alias("sketched")), "status").select("status", "q", "n", "sketched", "within")
+
+
 @query
 def events_by_type(spark, sf_dir):
     return metrics.events_by_type(events(spark, sf_dir), HALF, AS_OF).withColumn("per_second", F.round("per_second", 8))
@@ -649,6 +678,12 @@ def ingest_lag(spark, sf_dir):
     return ingest_checks.ingest_lag(ends, ingest_checks.next_offsets(events(spark, sf_dir)))
 
 
+@query
+def footer_stats(spark, sf_dir):
+    """Rows and ends of the ids from the file footers."""
+    return ingest_checks.footer_stats(spark, f"{sf_dir}/events.parquet", ["event_id", "user_id"])
+
+
 @query
 def reconcile_ingest(spark, sf_dir):
     return ingest_checks.reconcile_ingest(events(spark, sf_dir), "2024-01-24 00:00:00")
@@ -877,3 +912,194 @@ def pipeline_status(spark, sf_dir):
     finished = jobs.run_available(canonical_stream(spark, sf_dir), jobs.keep_latest(folder), f"{folder}/checkpoint")
     status = jobs.pipeline_status(spark, finished, jobs.live_buffer(spark, folder))
     return status.select("stream_active", "status", "last_error", "total_received", "buffer_size", "buffer_used")
+
+
+# Recorded progress, late rows, compaction
+
+
+def ranges_stream(spark, sf_dir, *ranges):
+    """The events as one micro-batch for each list of ranges of their time."""
+    rows, folder = spark.read.parquet(f"{sf_dir}/events.parquet"), runtime.passing_dir(spark, "ranges")
+    for spans in ranges:
+        inside = F.lit(False)
+        for begin, end in spans:
+            inside = inside | ((F.col("ts") >= F.lit(begin).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+        rows.where(inside).repartition(PART_FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", PART_FILES).parquet(folder)
+
+
+#: Three batches in the order of time, and three whose last brings the oldest events.
+ORDERED = ([("2000-01-01", "2024-01-11")], [("2024-01-11", "2024-01-21")], [("2024-01-21", "2030-01-01")])
+MIXED = ([("2024-01-11", "2024-01-18")], [("2024-01-18", "2024-01-21")], [("2000-01-01", "2024-01-11"), ("2024-01-21", "2030-01-01")])
+LATE_DELAY = 2 * periods.DAY
+
+
+@query
+def stream_lag(spark, sf_dir):
+    """Rows left after two of three batches, from the recorded progress of a stream of files."""
+    folder = runtime.run_dir(spark, "lag")
+    rows = canonical(ranges_stream(spark, sf_dir, *ORDERED))
+    with progress.recording(spark, f"{folder}/progress"):
+        jobs.run_available(rows, jobs.append_batch(f"{folder}/table"), f"{folder}/checkpoint", max_batches=2)
+    ends = events(spark, sf_dir).agg(F.lit(0).alias("kafka_partition"), F.count("*").alias("end_offset"))
+    lag = progress.stream_lag(progress.recorded(spark, f"{folder}/progress"), ends)
+    return lag.select("kafka_partition", "end_offset", "next_offset", "lag")
+
+
+def log_report(positions, topic, batch):
+    """Positions per partition as a progress report of a log source has them."""
+    offsets = [
+        F.map_from_entries(F.collect_list(F.struct(F.col("kafka_partition").cast("string"), F.col(c)))).alias(c)
+        for c in ("next_offset", "end_offset")
+    ]
+    source = F.struct(
+        F.lit("log").alias("description"), F.create_map(F.lit(topic), F.col("next_offset")).alias("endOffset"),
+        F.create_map(F.lit(topic), F.col("end_offset")).alias("latestOffset"), F.lit(1).alias("numInputRows"),
+    )
+    report = F.struct(F.lit("q").alias("id"), F.lit(batch).alias("batchId"), F.array(source).alias("sources"))
+    return positions.agg(*offsets).select(F.to_json(report).alias("json"))
+
+
+@query
+def stream_lag_by_partition(spark, sf_dir):
+    """Lag of a log by partition, parsed from reports of two batches."""
+    rows = events(spark, sf_dir)
+    ends = sample.messages(spark, sf_dir).groupBy(F.col("partition").alias("kafka_partition")).agg((F.max("offset") + 1).alias("end_offset"))
+    halves = [log_report(ends.join(ingest_checks.next_offsets(part), "kafka_partition"), "clicks", batch)
+              for batch, part in enumerate([rows.where("kafka_offset < 100"), rows])]
+    reports = halves[0].unionByName(halves[1]).select(F.from_json("json", progress.REPORT).alias("r")).select("r.*")
+    return progress.stream_lag(reports).select("topic", "kafka_partition", "end_offset", "next_offset", "lag")
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Every event is kept or counted as late: by the writer that keeps late ones apart, and by a stateful operator."""
+    folder = runtime.run_dir(spark, "late")
+    stream = canonical(ranges_stream(spark, sf_dir, *MIXED)).select("event_id", "received_at")
+    writer = jobs.split_late(folder, LATE_DELAY, "received_at")
+    jobs.run_available(stream, writer, f"{folder}/checkpoint")
+    split = jobs.split_rows(spark, folder)
+    deduped = stream.withWatermark("received_at", f"{LATE_DELAY} seconds").dropDuplicatesWithinWatermark(["event_id"])
+    with progress.recording(spark, f"{folder}/progress"):
+        out = spark.read.parquet(drained(spark, deduped, "append"))
+    dropped = progress.late_rows(progress.recorded(spark, f"{folder}/progress")).where("name LIKE 'dedupe%'")
+    counts = split.groupBy("batch_id").agg(F.count_if(~F.col("is_late")).alias("kept"), F.count_if("is_late").alias("late"))
+    totals = [d.scalar() for d in (out.agg(F.count("*")), dropped.agg(F.sum("late_rows")))]
+    return counts.select(F.col("batch_id").cast("long").alias("batch_id"), "kept", "late", *[c.alias(n) for n, c in zip(("operator_kept", "operator_late"), totals)])
+
+
+@query
+def stream_status_totals(spark, sf_dir):
+    """Totals of one query over a stop and a restart."""
+    folder = runtime.run_dir(spark, "totals")
+    with progress.recording(spark, f"{folder}/progress"):
+        for batches in (2, None):
+            # the second run goes on from the checkpoint of the first
+            rows = canonical(spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("maxFilesPerTrigger", PART_FILES).parquet(
+                status_files(spark, sf_dir, folder)))
+            jobs.run_available(rows, jobs.append_batch(f"{folder}/table"), f"{folder}/checkpoint", max_batches=batches)
+    at = f"{folder}/progress"
+    totals = progress.status_totals(progress.recorded(spark, at), progress.recorded_events(spark, at))
+    return totals.select("runs", "batches", "total_received", "late_rows", "status")
+
+
+def status_files(spark, sf_dir, folder):
+    """The events in parts, written when first asked for."""
+    path = f"{folder}/in"
+    if not runtime.children(spark, path):
+        rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+        for spans in ORDERED:
+            begin, end = (F.lit(t).cast("timestamp_ntz") for t in spans[0])
+            rows.where((F.col("ts") >= begin) & (F.col("ts") < end)).repartition(PART_FILES).write.mode("append").parquet(path)
+    return path
+
+
+@query
+def stream_sessions_timed(spark, sf_dir):
+    """By the state processor with timers, fed by packed slices."""
+    before = spark.conf.get(state.PROVIDER)
+    state.use_rocksdb(spark)
+    try:
+        rows = state.stream_sessions_timed(by_user(parts_stream(spark, sf_dir)), AGE_TIMEOUT, key="user_id")
+        updates = spark.read.parquet(drained(spark, rows, "update"))
+    finally:
+        spark.conf.set(state.PROVIDER, before)
+    return jobs.latest_sessions(updates, "user_id")
+
+
+KEPT_COLUMNS = ("event_id", "event_name", "kafka_partition", "kafka_offset", "received_at")
+
+
+@query
+def stream_compacted(spark, sf_dir):
+    """Days compacted between two batches, and one batch run again afterwards."""
+    folder = runtime.run_dir(spark, "compact")
+    rows = canonical(ranges_stream(spark, sf_dir, *MIXED))
+    writer, last = jobs.append_batch(f"{folder}/table"), []
+
+    def twice(batch, batch_id):
+        writer(batch, batch_id)
+        compaction.compact_days(spark, f"{folder}/table", "2030-01-01", batch_id, least=1)
+        writer(batch, batch_id)
+        last.append(batch_id)
+
+    jobs.run_available(rows, twice, f"{folder}/checkpoint")
+    return compaction.read_batches(spark, f"{folder}/table").select(*KEPT_COLUMNS)
+
+
+@query
+def stream_replayed_table(spark, sf_dir):
+    """Every batch is written twice to a table that is partitioned by batch, and read without removing repeats."""
+    name, folder = f"events_{uuid.uuid4().hex[:12]}", runtime.run_dir(spark, "replayed")
+    table_io.create_event_table(spark, name, location=f"{folder}/table", batches=True)
+    writer = jobs.append_table(name)
+
+    def twice(batch, batch_id):
+        writer(batch, batch_id)
+        writer(batch, batch_id)
+
+    rows = sample.clickstream_rows(ranges_stream(spark, sf_dir, *ORDERED)).drop("event_type", "value", "k")
+    jobs.run_available(rows, twice, f"{folder}/checkpoint")
+    return table_io.scan_events(spark, name, 2 * DAYS, AS_OF)
+
+
+def until_read(query):
+    """Wait until a continuous query has taken all that is there, and stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+@query
+def stream_continuous(spark, sf_dir):
+    """The continuous job, stopped when it has read all files."""
+    folder = runtime.run_dir(spark, "continuous")
+    rows = canonical(ranges_stream(spark, sf_dir, *ORDERED))
+    until_read(jobs.run_stream(rows, jobs.append_batch(f"{folder}/table"), f"{folder}/checkpoint", "0 seconds"))
+    return spark.read.parquet(f"{folder}/table").select(*KEPT_COLUMNS)
+
+
+@query
+def stream_to_table(spark, sf_dir):
+    """The exactly-once table sink, stopped when it has read all files."""
+    name, folder = f"events_{uuid.uuid4().hex[:12]}", runtime.run_dir(spark, "sink")
+    rows = canonical(ranges_stream(spark, sf_dir, *ORDERED))
+    until_read(jobs.stream_to_table(rows, name, f"{folder}/checkpoint", "0 seconds"))
+    return spark.table(name).select(*KEPT_COLUMNS)
+
+
+@query
+def catalog_document(spark, sf_dir):
+    """A catalog document written from the parts, read back entry by entry with its counts."""
+    path = runtime.passing_dir(spark, "catalog")
+    engines = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("engineId"), F.col("p_name").alias("name"), F.col("p_brand").alias("displayName"))
+    blueprints = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("blueprintId"), F.col("s_name").alias("name"))
+    entries = [rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns)))).scalar().alias(n) for n, rows in (("engines", engines), ("blueprints", blueprints))]
+    spark.range(1).select(F.lit("2024-01-31T00:00:00Z").alias("synced_at"), *entries).coalesce(1).write.json(path)
+    loaded = documents.load_catalog(spark, path)
+    counts = documents.catalog_meta(loaded)
+    found = documents.catalog_items(loaded, "engines").select(F.lit("engine").alias("kind"), F.col("engineId").alias("id"), "name").unionByName(
+        documents.catalog_items(loaded, "blueprints").select(F.lit("blueprint").alias("kind"), F.col("blueprintId").alias("id"), "name"))
+    return found.select("*", *[counts.select(c).scalar().alias(c) for c in ("engine_count", "blueprint_count", "experience_count")])

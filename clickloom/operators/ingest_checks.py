@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators import periods
@@ -68,3 +70,19 @@ def offset_gaps(events: DataFrame) -> DataFrame:
         (F.sum("n") - F.count("*")).alias("repeated"),
     )
     return spans.withColumn("missing", F.col("last_offset") - F.col("first_offset") + 1 - F.col("offsets"))
+
+
+def footer_stats(spark: SparkSession, path: str, columns: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Rows of Parquet files, and least and greatest value of ``columns``, from the file footers alone.
+
+    ``by`` are partition columns. Footers answer for whole numbers, dates and booleans; Spark
+    reads the column of any other type. The reader has a session of its own, in which
+    the aggregates are pushed to the files.
+    """
+    own = spark.newSession()
+    v1 = [f for f in own.conf.get("spark.sql.sources.useV1SourceList").split(",") if f != "parquet"]
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(v1))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    ends = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))]
+    return own.read.parquet(path).groupBy(*by).agg(F.count("*").alias("row_count"), *ends)

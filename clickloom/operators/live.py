@@ -37,12 +37,90 @@ def latest_n(events: DataFrame, n: int = BUFFER_SIZE) -> DataFrame:
 
 
 def page_events(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page, newest first. Ends in a top-k of ``offset + limit`` rows."""
+    """One page, newest first.
+
+    A page near the top ends in a top-k of ``offset + limit`` rows. For a deeper one the
+    rows are first counted by ranges of their arrival time, and only the ranges that
+    hold the page are sorted; this reads one column a few times while the page is defined.
+    """
     if limit < 1 or offset < 0:
         raise ValueError("a page has a limit of at least 1 and an offset of at least 0")
+    if offset + limit > SHALLOW:
+        events, offset = narrow_to(events, limit, offset)
     return events.orderBy(*newest_first()).offset(offset).limit(limit)
 
 
+#: Pages that end within so many rows are found by a top-k of all rows.
+SHALLOW = 1000
+#: Ranges counted at a time, and rows that are sorted without a further cut.
+RANGES, SORTED_ROWS = 1024, 10_000
+#: Numbers that order events, first to last; a missing one comes last.
+ORDER_KEYS = ("unix_micros(received_at)", "CAST(kafka_partition AS bigint)", "kafka_offset")
+MISSING = -(1 << 62)
+
+
+def narrow_to(events: DataFrame, limit: int, offset: int) -> tuple[DataFrame, int]:
+    """The rows of the narrowest ranges that hold a page, and the page's offset among them.
+
+    The ranges of the first key are cut until they hold few rows. Rows that share one
+    value of a key are cut by the next key. At most ``RANGES`` counts reach the driver.
+    """
+    for key in ORDER_KEYS:
+        value = F.coalesce(F.expr(key), F.lit(MISSING))
+        bounds = events.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+        low, high = bounds["low"], bounds["high"]
+        while low is not None and low < high:
+            width = -(-(high - low + 1) // RANGES)
+            inside = events.where((value >= low) & (value <= high))
+            place = F.expr(f"div({high} - coalesce({key}, {MISSING}), {width})")
+            counts = sorted((r["place"], r["n"]) for r in inside.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect())
+            first = last = None
+            passed = rows = 0
+            for number, n in counts:
+                if first is None and passed + n <= offset:
+                    passed += n
+                    continue
+                first = number if first is None else first
+                last, rows = number, rows + n
+                if passed + rows >= offset + limit:
+                    break
+            if first is None:
+                # the page is past the end
+                return events.where(F.lit(False)), 0
+            offset -= passed
+            span = high - low
+            low, high = max(low, high - (last + 1) * width + 1), high - first * width
+            # a page that spans most of its range is not narrowed further
+            if rows - limit <= SORTED_ROWS or width == 1 or high - low > span * 9 // 10:
+                break
+        if low is None:
+            return events, offset
+        events = events.where((value >= low) & (value <= high))
+        if low < high or rows_within(events, SORTED_ROWS):
+            break
+    return events, offset
+
+
+def rows_within(events: DataFrame, n: int) -> bool:
+    return events.limit(n + 1).count() <= n
+
+
+def page_after(events: DataFrame, last, limit: int = 50) -> DataFrame:
+    """The page that follows a row in the newest-first order, at the same cost at any depth.
+
+    ``last`` has the order columns of the last row seen, as a row or a mapping.
+    """
+    if limit < 1:
+        raise ValueError("a page has a limit of at least 1")
+    behind, equal = F.lit(False), F.lit(True)
+    for c in schema.ORDER_COLUMNS:
+        seen = F.lit(last[c]).cast(events.schema[c].dataType)
+        after = F.coalesce(F.col(c) < seen, seen.isNotNull() & F.col(c).isNull())
+        behind = behind | (equal & after)
+        equal = equal & F.col(c).eqNullSafe(seen)
+    return events.where(behind).orderBy(*newest_first()).limit(limit)
+
+
 def page_meta(events: DataFrame, page: DataFrame, limit: int, offset: int) -> DataFrame:
     return events.agg(F.count("*").alias("total_matched")).select(
         F.lit(limit).alias("limit"),
@@ -126,15 +204,19 @@ def window_rates(events: DataFrame, window: str, slide: str | None = None, *by:
     """Events and rates per sliding window.
 
     Events are first counted per slide, so the windows multiply counts and not events.
-    Works on streams as well, where Spark allows one window per aggregation; there the
-    events go into their windows directly.
+    On a stream these are two stateful operators, the second on the time of the first's
+    windows; the stream needs a watermark and gives a window once it is closed.
     """
-    if events.isStreaming or slide is None:
-        counts = events.groupBy(F.window(ts, window, slide), *by).agg(F.count("*").alias("events"))
+    if slide is None:
+        counts = events.groupBy(F.window(ts, window), *by).agg(F.count("*").alias("events"))
     else:
         per_slide = events.groupBy(F.window(ts, slide).alias("_s"), *by).agg(F.count("*").alias("n"))
-        stamped = per_slide.withColumn("_t", F.col("_s.start"))
-        counts = stamped.groupBy(F.window("_t", window, slide), *by).agg(F.sum("n").alias("events"))
+        if events.isStreaming:
+            at = F.window_time("_s").alias("_t")
+            counts = per_slide.select(at, *by, "n").groupBy(F.window("_t", window, slide), *by).agg(F.sum("n").alias("events"))
+        else:
+            stamped = per_slide.withColumn("_t", F.col("_s.start"))
+            counts = stamped.groupBy(F.window("_t", window, slide), *by).agg(F.sum("n").alias("events"))
     length = F.unix_seconds("window.end") - F.unix_seconds("window.start")
     return counts.select(
         F.col("window.start").alias("window_start"),

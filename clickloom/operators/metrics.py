@@ -138,3 +138,32 @@ def latest_samples(samples: DataFrame) -> DataFrame:
         F.col("s.value").alias("value"),
         F.col("s.source_rank").alias("source_rank"),
     )
+
+
+#: Size of the sketches, and twice the rank error that they keep with 99 % probability.
+SKETCH_K, SKETCH_ERROR = 400, 0.017
+
+
+def value_sketches(rows: DataFrame, value: str, *by: str, k: int = SKETCH_K) -> DataFrame:
+    """A quantile sketch of ``value`` per group, of bounded size; those of finer groups merge to coarser ones."""
+    return rows.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value), F.lit(k)).alias("sketch"))
+
+
+def sketch_quantile(sketches: DataFrame, q: float, *by: str) -> DataFrame:
+    """The ``q`` quantile of each group from the merged sketches of its parts, with the values ``n`` behind it."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(
+        *by, F.lit(q).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("value"),
+        F.kll_sketch_get_n_double("sketch").alias("n"))
+
+
+def quantile_check(rows: DataFrame, value: str, quantiles: DataFrame, *by: str, error: float = SKETCH_ERROR) -> DataFrame:
+    """Cross-check of quantiles with the rows: ``within`` when the rank of each value is at most ``error`` away.
+
+    Quantiles are one row per group, and there is one column to group by at least.
+    """
+    joined = rows.join(quantiles.select(*by, "q", F.col("value").alias("_at")), list(by))
+    ranks = joined.groupBy(*by, "q", F.col("_at").alias("value")).agg(
+        F.count(value).alias("n"), (F.count_if(F.col(value) < F.col("_at")) / F.count(value)).alias("_below"),
+        (F.count_if(F.col(value) <= F.col("_at")) / F.count(value)).alias("_upto"))
+    return ranks.select(*by, "q", "value", "n", ((F.col("_below") <= F.col("q") + error) & (F.col("_upto") >= F.col("q") - error)).alias("within"))

@@ -105,3 +105,29 @@ def remove(spark: SparkSession, path: str) -> None:
     if not path.startswith(shared_dir(spark)):
         raise ValueError(f"{path} is not below the shared folder")
     delete(spark, path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file and put it in place by a rename, over one that is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    passing = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{uuid.uuid4().hex}")
+    out = system.create(passing, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not system.rename(passing, target):
+        system.delete(target, False)
+        if not system.rename(passing, target):
+            raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

@@ -65,6 +65,8 @@ RAW_MESSAGE = T.StructType(
 
 #: Date partition added to the table so that time filters prune directories.
 PARTITION_COLUMN = "ingest_date"
+#: Micro-batch of a row, in tables that streams write.
+BATCH_COLUMN = "batch_id"
 
 #: Total order of events: arrival time first, then log position, then id.
 ORDER_COLUMNS = ("received_at", "kafka_partition", "kafka_offset", "event_id")
@@ -75,18 +77,21 @@ def event_order() -> Column:
     return F.struct(*[F.col(c) for c in ORDER_COLUMNS])
 
 
-def table_ddl(table: str, fmt: str = "parquet", location: str | None = None) -> list[str]:
+def table_ddl(table: str, fmt: str = "parquet", location: str | None = None, batches: bool = False) -> list[str]:
     """Statements that create the database and the event table when absent.
 
     The table is partitioned by ingest date: every report filters on arrival time,
-    so a seven-day report over years of history lists seven directories.
+    so a seven-day report over years of history lists seven directories. With
+    ``batches`` each micro-batch has a partition of its own below the day.
     """
     database = table.rpartition(".")[0]
     columns = ",\n  ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_TABLE)
     if fmt == "iceberg":
-        layout = f"{columns}\n) USING iceberg PARTITIONED BY (days(ingested_at))"
+        batch, parts = (f",\n  {BATCH_COLUMN} bigint", f", {BATCH_COLUMN}") if batches else ("", "")
+        layout = f"{columns}{batch}\n) USING iceberg PARTITIONED BY (days(ingested_at){parts})"
     else:
-        layout = f"{columns},\n  {PARTITION_COLUMN} date\n) USING {fmt} PARTITIONED BY ({PARTITION_COLUMN})"
+        batch, parts = (f",\n  {BATCH_COLUMN} bigint", f", {BATCH_COLUMN}") if batches else ("", "")
+        layout = f"{columns},\n  {PARTITION_COLUMN} date{batch}\n) USING {fmt} PARTITIONED BY ({PARTITION_COLUMN}{parts})"
     if location:
         layout += f" LOCATION '{location}'"
     statements = [f"CREATE DATABASE IF NOT EXISTS {database}"] if database else []

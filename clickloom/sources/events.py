@@ -15,12 +15,16 @@ DDL_ATTEMPTS = 3
 
 
 def create_event_table(
-    spark: SparkSession, table: str, fmt: str = "parquet", location: str | None = None, wait_seconds: float = 5
+    spark: SparkSession, table: str, fmt: str = "parquet", location: str | None = None, wait_seconds: float = 5, batches: bool = False
 ) -> None:
-    """Create database and table when absent; the metastore gets three attempts."""
+    """Create database and table when absent; the metastore gets three attempts.
+
+    With ``batches`` the table is partitioned by micro-batch below the day, so that a
+    stream can repeat a batch without repeating its rows.
+    """
     for attempt in range(1, DDL_ATTEMPTS + 1):
         try:
-            for statement in schema.table_ddl(table, fmt, location):
+            for statement in schema.table_ddl(table, fmt, location, batches):
                 spark.sql(statement)
             return
         except Exception:
@@ -42,12 +46,19 @@ def gathered_by_day(events: DataFrame) -> DataFrame:
     return events.hint("rebalance", schema.PARTITION_COLUMN)
 
 
-def append_rows(events: DataFrame, table: str) -> None:
-    """Append by column name, not by position."""
+def append_rows(events: DataFrame, table: str, batch_id: int | None = None) -> None:
+    """Append by column name, not by position.
+
+    With a ``batch_id``, and in a table partitioned by it, the batch replaces its own partitions.
+    """
     names = events.sparkSession.table(table).columns
     if schema.PARTITION_COLUMN in names:
         events = gathered_by_day(with_partition(events))
-    events.select(*names).write.insertInto(table)
+    if batch_id is None or schema.BATCH_COLUMN not in names:
+        events.withColumn(schema.BATCH_COLUMN, F.lit(batch_id).cast("long")).select(*names).write.insertInto(table)
+        return
+    rows = events.withColumn(schema.BATCH_COLUMN, F.lit(batch_id).cast("long")).select(*names)
+    rows.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
 
 
 def append_v2(events: DataFrame, table: str) -> None:

@@ -46,11 +46,15 @@ def append_batch(path: str, fmt: str = "parquet"):
 
 
 def append_table(table: str):
-    """A ``foreachBatch`` writer for a catalog table; repeats are removed at read time
-    by ``dedupe_events``, since a plain append may run twice after a failure."""
+    """A ``foreachBatch`` writer for a catalog table that is safe to repeat.
+
+    A table made with ``batches`` is partitioned by batch as well, and a repeated batch
+    replaces its own partitions. A table without that column is appended to, which
+    may run twice after a failure; ``dedupe_events`` removes the repeats on reading.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table_io.append_rows(batch, table)
+        table_io.append_rows(batch, table, batch_id)
 
     return write
 
@@ -300,6 +304,39 @@ def count_late(events: DataFrame, delay: str, event_time: str, ts: str = "receiv
     return events.withColumn("is_late", F.col(event_time) < F.col(ts) - F.expr(f"INTERVAL {delay}"))
 
 
+def split_late(path: str, delay_seconds: int, event_time: str = "event_time"):
+    """A ``foreachBatch`` writer that keeps late events apart instead of losing them.
+
+    The watermark of a batch is ``delay_seconds`` behind the newest event of the batches before,
+    in whole milliseconds, and an event at or before it is late. Spark's stateful operators
+    drop by the same rule, but one batch later. Events without a time are not late. Every batch writes its own
+    folders, so a repeated batch gives the same files.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = _batch_before(spark, f"{path}/newest", batch_id)
+        newest = spark.read.parquet(f"{path}/newest/batch_id={earlier}").first()["us"] if earlier is not None else None
+        us = F.unix_micros(F.col(event_time).cast("timestamp"))
+        late = F.lit(False)
+        if newest is not None:
+            late = F.coalesce(us <= newest // 1000 * 1000 - delay_seconds * 1_000_000, F.lit(False))
+        seen = Observation()
+        rows = batch.observe(seen, F.max(us).alias("us")).withColumn("is_late", late)
+        rows.write.mode("overwrite").partitionBy("is_late").parquet(f"{path}/rows/batch_id={batch_id}")
+        times = [t for t in (newest, seen.get["us"]) if t is not None]
+        now = F.lit(max(times) if times else None).cast("long")
+        spark.range(1).select(now.alias("us")).write.mode("overwrite").parquet(f"{path}/newest/batch_id={batch_id}")
+        _drop_before(spark, f"{path}/newest", batch_id if earlier is None else earlier)
+
+    return write
+
+
+def split_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What ``split_late`` wrote, with ``batch_id`` and ``is_late``."""
+    return spark.read.parquet(f"{path}/rows").withColumn("is_late", F.col("is_late").cast("boolean"))
+
+
 # Live buffer
 
 

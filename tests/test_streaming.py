@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clickloom import runtime
 from clickloom.operators import envelope, live, metrics, sessionize
-from clickloom.streaming import jobs
+from clickloom.streaming import compaction, jobs, progress, state
 
 T0 = 1704067200
 
@@ -290,3 +290,169 @@ def test_parse_stamps_one_clock_per_batch(spark, tmp_path):
     good, bad = envelope.quarantined(spark.read.parquet(str(tmp_path / "out")))
     assert (good.count(), bad.count()) == (1, 1)
     assert good.select("ingested_at").union(bad.select("ingested_at")).distinct().count() == 1
+
+
+# Recorded progress, late rows, state, compaction
+
+
+LOG_REPORTS = [
+    '{"id":"q","runId":"r1","batchId":0,"timestamp":"2024-01-01T00:00:00.000Z","numInputRows":5,"durationMs":{"addBatch":10,"triggerExecution":20},'
+    '"stateOperators":[],"sources":[{"description":"KafkaV2[Subscribe[a]]","startOffset":null,"endOffset":{"a":{"0":3,"1":2}},"latestOffset":{"a":{"0":9,"1":2}},"numInputRows":5}]}',
+    '{"id":"q","runId":"r1","batchId":1,"timestamp":"2024-01-01T00:00:05.000Z","numInputRows":4,"durationMs":{"addBatch":10,"triggerExecution":2000},'
+    '"stateOperators":[{"operatorName":"stateStoreSave","numRowsTotal":7,"numRowsDroppedByWatermark":2,"numRowsRemoved":1}],'
+    '"sources":[{"description":"KafkaV2[Subscribe[a]]","startOffset":{"a":{"0":3,"1":2}},"endOffset":{"a":{"0":7,"1":2}},"latestOffset":{"a":{"0":9,"1":4}},"numInputRows":4}]}',
+    '{"id":"rate","runId":"r2","batchId":3,"timestamp":"2024-01-01T00:00:05.000Z","numInputRows":1,"durationMs":{},"stateOperators":[],'
+    '"sources":[{"description":"RateStreamV2","startOffset":4,"endOffset":6,"latestOffset":10,"numInputRows":1}]}',
+    '{"id":"files","runId":"r3","batchId":0,"timestamp":"2024-01-01T00:00:05.000Z","numInputRows":8,"durationMs":{},"stateOperators":[],'
+    '"sources":[{"description":"FileStreamSource[x]","startOffset":null,"endOffset":{"logOffset":0},"latestOffset":null,"numInputRows":8}]}',
+]
+
+
+@pytest.fixture
+def reports(spark):
+    lines = spark.createDataFrame([(r,) for r in LOG_REPORTS], "j string")
+    return lines.select(F.from_json("j", progress.REPORT).alias("r")).select("r.*")
+
+
+def test_lag_from_reports_of_all_kinds_of_sources(spark, reports):
+    got = rows(progress.stream_lag(reports), "query_id", "kafka_partition", "next_offset", "end_offset", "lag")
+    assert got[0][:4] == ("files", 0, 8, None) and got[1:] == [("q", 0, 7, 9, 2), ("q", 1, 2, 4, 2), ("rate", 0, 6, 10, 4)]
+    ends = spark.createDataFrame([(0, 20), (1, 4), (2, 5)], "kafka_partition int, end_offset long")
+    lag = progress.stream_lag(reports.where("id = 'q'"), ends)
+    assert rows(lag, "kafka_partition", "next_offset", "lag") == [(0, 7, 13), (1, 2, 2), (2, 0, 5)]
+    assert progress.stream_lag(reports.where("false")).count() == 0
+
+
+def test_status_and_rates_from_reports(spark, reports):
+    late = progress.late_rows(reports)
+    assert rows(late, "query_id", "name", "late_rows", "removed", "state_rows") == [("q", "stateStoreSave", 2, 1, 7)]
+    begun = [("q", "r0", "2024-01-01T00:00:00Z", "started", None), ("q", "r0", None, "terminated", "broken"), ("q", "r1", "2024-01-02T00:00:00Z", "started", None)]
+    status = progress.status_totals(reports, spark.createDataFrame(begun, progress.EVENT))
+    assert rows(status, "query_id", "runs", "batches", "total_received", "late_rows", "state_rows", "status") == [("q", 2, 2, 9, 2, 7, "running")]
+    failed = progress.status_totals(reports, spark.createDataFrame(begun[:2], progress.EVENT)).first()
+    assert (failed["status"], failed["last_error"]) == ("error", "broken")
+    rates = progress.batch_rates(reports).where("query_id = 'q'").orderBy("batch_id").collect()
+    assert [r["per_second"] for r in rates] == [250.0, 2.0] and rates[1]["smoothed_per_second"] == pytest.approx(9 / 2.02)
+
+
+def test_recorder_keeps_reports_over_a_restart(spark, source, tmp_path):
+    for i in range(3):
+        source.add((f"e{i}", "u", i), (f"f{i}", "u", i))
+    at = runtime.run_dir(spark, "progress")
+    assert progress.recorded(spark, at).count() == 0 and progress.recorded_events(spark, at).count() == 0
+    with progress.recording(spark, at):
+        for most in (1, None):
+            jobs.run_available(source.stream(), lambda batch, _: batch.count(), str(tmp_path / "check"), max_batches=most)
+    total = progress.status_totals(progress.recorded(spark, at), progress.recorded_events(spark, at)).first()
+    assert (total["runs"], total["batches"], total["total_received"], total["status"]) == (2, 3, 6, "stopped")
+    jobs.run_available(source.stream(), lambda batch, _: None, str(tmp_path / "other"))
+    assert progress.recorded(spark, at).count() == 3
+
+
+def test_late_events_are_kept_apart(spark, source, tmp_path):
+    source.add(("a", "u", 0), ("b", "u", 1000))
+    source.add(("c", "u", 900), ("d", "u", 400), ("e", "u", 700))
+    source.add(("f", "u", 699.9999), ("g", "u", 2000))
+    writer = jobs.split_late(str(tmp_path / "out"), 300, "received_at")
+
+    def twice(batch, batch_id):
+        writer(batch, batch_id)
+        writer(batch, batch_id)
+
+    jobs.run_available(source.stream(), twice, str(tmp_path / "check"))
+    got = jobs.split_rows(spark, str(tmp_path / "out"))
+    assert rows(got.where("is_late"), "event_id", "batch_id") == [("d", 1), ("e", 1), ("f", 2)]
+    assert got.count() == 7
+
+
+def test_timed_sessions_equal_the_batch_and_leave_the_state(spark, source):
+    draw = random.Random(5)
+    for part in range(3):
+        at = [part * 4000 + draw.randrange(4000) + draw.random() for _ in range(150)]
+        source.add(*[(f"{part}-{i}", draw.choice(["hot", "hot", "u1", "u2", None]), t) for i, t in enumerate(at)])
+    source.add(("end", None, 10**6))
+    source.add(("end2", None, 10**6 + 1))
+    before = spark.conf.get(state.PROVIDER)
+    state.use_rocksdb(spark)
+    try:
+        folder = runtime.run_dir(spark, "timed")
+        out = state.stream_sessions_timed(source.stream(), 600, "user_id", delay="2 hours", slice_seconds=30)
+        with progress.recording(spark, f"{folder}/progress"):
+            jobs.drain_to_files(out, f"{folder}/out", f"{folder}/check", "update", timeout=240)
+    finally:
+        spark.conf.set(state.PROVIDER, before)
+    got = jobs.latest_sessions(spark.read.parquet(f"{folder}/out"), "user_id")
+    spans = sessionize.session_spans(sessionize.sessionize(source.batch().where("user_id IS NOT NULL"), "user_id", 600, "fixed"), "user_id")
+    columns = ("user_id", "session_no", "started_at", "ended_at", "events")
+    assert rows(got, *columns) == rows(spans, *columns)
+    held = progress.batch_status(progress.recorded(spark, f"{folder}/progress")).orderBy("batch_id").collect()
+    assert max(r["state_rows"] for r in held) > 0 and held[-1]["state_rows"] == 0
+
+
+def test_packed_slices_hold_every_time(spark, source):
+    source.add(*[(f"e{i}", "hot" if i % 3 else None, i * 0.37) for i in range(500)])
+    packed = state.pack_slices(source.batch(), "user_id", "received_at", 60).collect()
+    assert len(packed) <= 2 * 4 * 8
+    assert sum(len(r["packed"]) // 8 for r in packed) == 500
+
+
+def test_stream_windows_are_two_operators_without_expanding_events(spark, source):
+    source.add(("a", "u", 0), ("b", "u", 100), ("c", "u", 1000))
+    source.add(("z", "u", 10**6))
+    source.add(("z2", "u", 2 * 10**6))
+    made = live.window_rates(source.stream().withWatermark("received_at", "1 minute"), "1 hour", "15 minutes")
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Aggregate [") == 2
+    # the copies for overlapping windows are made above the first aggregate, from its counts
+    assert plan.count("Expand [") == 1 and plan.index("Expand [") < plan.rindex("Aggregate [")
+    got = spark.read.parquet(drain(spark, made)).where("events < 3 OR events = 3").where(F.col("window_start") < F.lit("2024-01-02").cast("timestamp"))
+    want = live.window_rates(source.batch(), "1 hour", "15 minutes").where(F.col("window_start") < F.lit("2024-01-02").cast("timestamp"))
+    assert rows(got, "window_start", "events") == rows(want, "window_start", "events")
+
+
+def test_compaction_swaps_days_and_survives_replay(spark, source, tmp_path):
+    for part in range(4):
+        source.add(*[(f"{part}-{i}", "u", part * 30 + i * 40_000) for i in range(6)])
+    path, check = str(tmp_path / "out"), str(tmp_path / "check")
+    writer, batches = jobs.append_batch(path), {}
+
+    def keep(batch, batch_id):
+        batches[batch_id] = batch.sparkSession.createDataFrame(batch.collect(), batch.schema)
+        writer(batch, batch_id)
+
+    stamped = source.stream().withColumn("ingested_at", F.col("received_at"))
+    jobs.run_available(stamped, keep, check, max_batches=3)
+    assert compaction.committed_batch(spark, check) == 2
+    want = rows(source.batch().where("kafka_partition < 3"), "event_id")
+    files = {r["ingest_date"]: r["files"] for r in compaction.count_files(spark, path).collect()}
+    assert compaction.compact_days(spark, path, "2024-01-03", 2) == ["2024-01-01", "2024-01-02"]
+    after = {r["ingest_date"]: r["files"] for r in compaction.count_files(spark, path).collect()}
+    assert sorted(f"{d}" for d in files if after[d] < files[d]) == ["2024-01-01", "2024-01-02"]
+    assert rows(compaction.read_batches(spark, path), "event_id") == want
+    # a batch that comes back is not read twice, and one that is late joins the next generation
+    writer(batches[1], 1)
+    assert rows(compaction.read_batches(spark, path), "event_id") == want
+    jobs.run_available(stamped, keep, check)
+    everything = rows(source.batch(), "event_id")
+    assert rows(compaction.read_batches(spark, path), "event_id") == everything
+    assert compaction.compact_days(spark, path, "2024-01-03", 3, least=1) == ["2024-01-01", "2024-01-02"]
+    assert compaction.compact_days(spark, path, "2024-01-03", 3, least=1) == []
+    assert rows(compaction.read_batches(spark, path), "event_id") == everything
+    assert {str(r[0]) for r in compaction.read_batches(spark, path, "2024-01-02").select("ingest_date").distinct().collect()} == {"2024-01-02", "2024-01-03"}
+    with pytest.raises(FileNotFoundError):
+        compaction.read_batches(spark, str(tmp_path / "none"))
+
+
+def test_repeated_batches_of_a_table(spark, make_events):
+    from clickloom.sources import events as table_io
+
+    for batches, want in ((True, 4), (False, 8)):
+        name = f"repeated_{batches}".lower()
+        table_io.create_event_table(spark, name, batches=batches)
+        for number in (0, 1):
+            batch = make_events({"id": f"a{number}"}, {"id": f"b{number}", "t": 90_000})
+            writer = jobs.append_table(name)
+            writer(batch, number)
+            writer(batch, number)
+        assert spark.table(name).count() == want
+        spark.sql(f"DROP TABLE {name}")
