@@ -51,42 +51,73 @@ FOLDS, THRESHOLD_FOLD, STEPS = 5, 1, 1000
 BROADCAST_IDS = 4_000_000
 
 SYMBOLS = "#*$%&|<>"
+#: The white space between words.
+SPACES = " \t\n\v\f\r"
 WINDOW = 5
 
 
 def base_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with word, symbol, line and repetition counts and ``words``.
+    """One row per document with word, symbol, line and repetition counts and ``hashes`` of its words.
 
     A word counts as repeated if it lies in a window of five words that occurs at least
     twice in the text. Windows are compared by their 64-bit hash inside one text.
     """
     docs = T.pick(documents, doc_id=doc_id, text=text)
     has_word = T.WORD.removesuffix("+")
+    docs = docs.select("doc_id", "text", pieces(F.col("text")).alias("pieces"))
     docs = docs.select(
         "doc_id",
-        T.words(F.col("text")).alias("words"),
-        F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("long").alias("word_chars"),
-        F.coalesce(F.length("text") - F.length(F.translate("text", SYMBOLS, "")), F.lit(0)).cast("long").alias("n_symbols"),
+        hashed("pieces").alias("hashes"),
+        # between two pieces is one character
+        F.coalesce(F.length("text") - F.size("pieces") + 1, F.lit(0)).cast("long").alias("word_chars"),
+        F.coalesce(F.length("text") - F.length(F.regexp_replace("text", f"[{SYMBOLS}]+", "")), F.lit(0)).cast("long").alias("n_symbols"),
         F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: line.rlike(has_word)).alias("lines"),
     )
     docs = docs.select(
-        "doc_id", "words", "word_chars", "n_symbols",
-        F.size("words").cast("long").alias("n_words"),
+        "doc_id", "hashes", "word_chars", "n_symbols",
+        F.size("hashes").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        ngrams("words", WINDOW).alias("windows"),
+        pair_hashes("hashes").alias("pairs"),
     )
+    docs = docs.withColumn("windows", window_hashes("hashes", "pairs"))
     return docs.select(
-        "doc_id", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "hashes", "pairs", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), repeated_words("windows")).otherwise(F.lit(0))
         .cast("long").alias("n_repeat_words"),
     )
 
 
-def ngrams(words: str, n: int) -> Column:
-    """64-bit hashes of all runs of ``n`` words, in order."""
-    starts = F.sequence(F.lit(0), F.size(words) - n)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(n)]))
-    return F.when(F.size(words) >= n, hashes).otherwise(F.array().cast("array<bigint>"))
+def pieces(text: Column) -> Column:
+    """What lies between single white space characters, empty pieces included.
+
+    All white space becomes one kind, by which a text is cut without a regular expression.
+    """
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(F.coalesce(text, F.lit("")), " ", -1)
+
+
+def hashed(column: str) -> Column:
+    """64-bit hashes of all words among the pieces, in order."""
+    return F.transform(F.array_remove(F.col(column), ""), lambda w: F.xxhash64(w))
+
+
+def shifted(column: str, by: int, lost: int) -> Column:
+    """The elements from place ``by`` on; ``lost`` fewer in all than the array has."""
+    return F.slice(F.col(column), F.lit(by + 1), F.greatest(F.size(column) - lost, F.lit(0)))
+
+
+def pair_hashes(hashes: str) -> Column:
+    """Hashes of all runs of two words."""
+    return F.zip_with(shifted(hashes, 0, 1), shifted(hashes, 1, 1), lambda a, b: F.xxhash64(a, b))
+
+
+def window_hashes(hashes: str, pairs: str) -> Column:
+    """Hashes of all runs of ``WINDOW`` = 5 words: of two pairs and a word."""
+    fours = F.zip_with(shifted(pairs, 0, 2), shifted(pairs, 2, 2), lambda a, b: F.xxhash64(a, b))
+    # one four fewer: the last has no word after it
+    return F.transform(F.array(fours), lambda four: F.zip_with(
+        F.slice(four, F.lit(1), F.greatest(F.size(four) - 1, F.lit(0))), shifted(hashes, WINDOW - 1, WINDOW - 1), lambda a, b: F.xxhash64(a, b)))[0]
 
 
 def repeated_words(windows: str) -> Column:
@@ -107,10 +138,10 @@ def repeated_words(windows: str) -> Column:
     return F.get(covered, F.lit(0))
 
 
-def features(words: str, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of all unigrams and bigrams of a document."""
-    one = F.transform(F.col(words), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(ngrams(words, 2), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+def features(hashes: str, pairs: str, buckets: int = BUCKETS) -> Column:
+    """Hash buckets of all words; those of pairs come after them, ``buckets`` higher."""
+    one = F.transform(F.col(hashes), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    two = F.transform(F.col(pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int") + F.lit(buckets))
     return F.concat(one, two)
 
 
@@ -140,24 +171,25 @@ def count_grams(documents: DataFrame, trusted: DataFrame, doc_id: str = "doc_id"
     (``target``) and in trusted ones outside ``THRESHOLD_FOLD`` (``unseen``); words alone
     under the same names with ``word_``.
 
-    Counts cover every n-gram of every document. At most ``buckets`` rows reach the driver.
+    Counts cover every n-gram of every document. At most six times ``buckets`` rows reach the driver.
     """
     docs = T.pick(documents, doc_id=doc_id, text=text)
-    docs = docs.select("doc_id", T.words(F.col("text")).alias("words"))
     ids = T.broadcast_within(trusted.select(F.col("doc_id").alias("trusted_id")), BROADCAST_IDS)
     docs = docs.join(ids, docs["doc_id"] == ids["trusted_id"], "left")
-    hit = F.col("trusted_id").isNotNull()
-    unseen = hit & (T.fold(F.col("doc_id"), FOLDS) != THRESHOLD_FOLD)
-    grams = docs.select(
-        F.lit(1).cast("long").alias("raw"), hit.cast("long").alias("target"), F.coalesce(unseen, F.lit(False)).cast("long").alias("unseen"),
-        F.size("words").alias("n"), F.posexplode(features("words", buckets)).alias("place", "bucket"))
-    names = ("raw", "target", "unseen")
-    sums = [F.sum(c).alias(c) for c in names] + [F.sum(F.when(F.col("place") < F.col("n"), F.col(c)).otherwise(F.lit(0).cast("long"))).alias(f"word_{c}") for c in names]
-    rows = grams.groupBy("bucket").agg(*sums).toArrow()
+    # 0 for all others, 1 for trusted documents of the fold, 2 for other trusted ones
+    kind = F.when(F.col("trusted_id").isNull(), 0).when(T.fold(F.col("doc_id"), FOLDS) == THRESHOLD_FOLD, 1).otherwise(2)
+    docs = docs.select(kind.alias("kind"), pieces(F.col("text")).alias("pieces")).select("kind", hashed("pieces").alias("hashes"))
+    docs = docs.select("kind", "hashes", pair_hashes("hashes").alias("pairs"))
+    grams = docs.select("kind", F.explode(features("hashes", "pairs", buckets)).alias("bucket"))
+    # one plain count for each kind and bucket
+    coded = grams.select((F.col("kind") * (2 * buckets) + F.col("bucket")).alias("code"))
+    rows = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    found = np.zeros(6 * buckets, dtype=np.int64)
+    found[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
+    words, pairs = np.moveaxis(found.reshape(3, 2, buckets), 1, 0)
     out = {}
-    for c in rows.column_names[1:]:
-        out[c] = np.zeros(buckets, dtype=np.int64)
-        out[c][rows.column("bucket").to_numpy()] = rows.column(c).to_numpy()
+    for name, counted in (("", words + pairs), ("word_", words)):
+        out |= {f"{name}raw": counted.sum(axis=0), f"{name}target": counted[1:].sum(axis=0), f"{name}unseen": counted[2]}
     return out
 
 
@@ -230,16 +262,22 @@ def apply_rules(documents: DataFrame, weights: list[int], threshold: float = THR
 
     Without ``word_weights`` the worst words are not judged, and ``worst_ratio`` is 0.
     """
-    docs = base_statistics(documents, doc_id, text).withColumn("features", features("words", len(weights)))
+    docs = base_statistics(documents, doc_id, text)
+    buckets = len(weights)
     table = lookup(weights)
-    docs = docs.withColumn("total", F.aggregate("features", F.lit(0).cast("bigint"), lambda s, b: s + F.get(table, b)))
-    low = F.lit(0).cast("bigint")
+
+    def weight(h: Column) -> Column:
+        return F.get(table, F.pmod(h, F.lit(buckets)).cast("int"))
+
+    zero = F.lit(0).cast("bigint")
+    docs = docs.withColumn("total", F.aggregate("hashes", zero, lambda s, h: s + weight(h)) + F.aggregate("pairs", zero, lambda s, h: s + weight(h)))
+    low = zero
     if word_weights is not None:
         word_table = lookup(word_weights)
-        ratios = F.transform(F.slice("features", F.lit(1), F.size("words")), lambda b: F.get(word_table, b))
+        ratios = F.transform("hashes", lambda h: F.get(word_table, F.pmod(h, F.lit(buckets)).cast("int")))
         low = F.aggregate(F.slice(F.sort_array(ratios), 1, WORST), low, lambda s, w: s + w)
     docs = docs.withColumn("low", low)
-    n, n_low = F.size("features"), F.least(F.size("words"), F.lit(WORST))
+    n, n_low = F.size("hashes") + F.size("pairs"), F.least(F.size("hashes"), F.lit(WORST))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     kept = ~failed & (F.col("total") >= n * F.lit(round(threshold * SCALE)).cast("bigint"))
     if word_threshold is not None:
