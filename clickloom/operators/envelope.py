@@ -21,8 +21,9 @@ def _is_object(c: Column) -> Column:
     return F.startswith(F.ltrim(c), F.lit("{"))
 
 
-def _envelope(message: Column) -> Column:
-    """Envelope fields as text; NULL when the message is not one JSON object and nothing else.
+def _envelopes(message: Column) -> Column:
+    """The message's envelope fields as the one element of an array; NULL when the message is not
+    one JSON object and nothing else.
 
     The parser ignores what follows a complete value, so the message is read inside an
     array, where it must be the only element, and inside an object: what could end the
@@ -31,7 +32,12 @@ def _envelope(message: Column) -> Column:
     inside = F.from_json(F.concat(F.lit("["), message, F.lit("]")), T.ArrayType(schema.ENVELOPE_TEXT), {"allowSingleQuotes": "false"})
     alone = F.filter(F.array(inside), lambda found: F.size(found) == 1)
     closed = F.json_object_keys(F.concat(F.lit('{"m":'), message, F.lit("}"))).isNotNull()
-    return F.when(_is_object(message) & closed, F.get(F.get(alone, F.lit(0)), F.lit(0)))
+    return F.when(_is_object(message) & closed, F.get(alone, F.lit(0)))
+
+
+def _envelope(message: Column) -> Column:
+    """Envelope fields as text, or NULL."""
+    return F.get(_envelopes(message), F.lit(0))
 
 
 def _log_columns() -> list[Column]:
@@ -60,12 +66,12 @@ def parse_envelope(
         raise ValueError(f"bad_records must be one of {BAD_RECORDS}")
     stamped = F.current_timestamp() if ingested_at is None else ingested_at
     message = F.col("message")
+    # as the output of a generator a good message is parsed once, no later filter parses it again
+    envelope = F.explode(_envelopes(message)) if bad_records == "drop" else _envelope(message)
     rows = messages.select(
-        _envelope(message).alias("e"), message.alias("raw_payload"), *_log_columns(), stamped.alias("ingested_at")
+        envelope.alias("e"), message.alias("raw_payload"), *_log_columns(), stamped.alias("ingested_at")
     )
     e = F.col("e")
-    if bad_records == "drop":
-        rows = rows.where(e.isNotNull())
     rows = rows.select("*", e.isNull().alias("is_bad"))
     bad = F.col("is_bad")
     name = F.coalesce(sf.present(e["name"]), sf.present(e["event_name"]), F.lit(tx.UNKNOWN))

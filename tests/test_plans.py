@@ -57,3 +57,8 @@ def test_pages_are_read_once(spark):
 def test_lists_end_in_a_top_k(spark):
     for name in ("top_pages", "top_events", "event_page", "verify_table", "preferred_topk", "top_components"):
         assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["dedupe_events", "offset_gaps"])
+def test_messages_are_parsed_once(spark, name):
+    assert plan(QUERIES[name](spark, SF)).count("from_json") == 1
