@@ -852,13 +852,13 @@ def stream_counters(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     """Windows leave the state, and are written, when the watermark has passed them."""
     stream = canonical(parts_stream(spark, sf_dir)).withWatermark("received_at", "1 minute")
-    return spark.read.parquet(drained(spark, live.window_rates(stream, "1 hour", "15 minutes"), "append"))
+    return spark.read.parquet(drained(spark, live.window_rates(stream, "1 hour", "15 minutes", closed=True), "append"))
 
 
 @query
 def stream_client_clock(spark, sf_dir):
     stream = canonical(parts_stream(spark, sf_dir)).withColumn("event_time", F.col("received_at"))
-    return spark.read.parquet(drained(spark, jobs.client_clock_rates(stream, "1 hour", "15 minutes"), "append"))
+    return spark.read.parquet(drained(spark, jobs.client_clock_rates(stream, "1 hour", "15 minutes", closed=True), "append"))
 
 
 @query

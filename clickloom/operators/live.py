@@ -200,15 +200,17 @@ def live_snapshot(
     return shot if status is None else shot | {"status": status}
 
 
-def window_rates(events: DataFrame, window: str, slide: str | None = None, *by: str, ts: str = "received_at") -> DataFrame:
+def window_rates(events: DataFrame, window: str, slide: str | None = None, *by: str, ts: str = "received_at", closed: bool = False) -> DataFrame:
     """Events and rates per sliding window.
 
     Events are first counted per slide, so the windows multiply counts and not events.
-    On a stream these are two stateful operators, the second on the time of the first's
-    windows; the stream needs a watermark and gives a window once it is closed.
+    On a stream that takes ``closed`` these are two stateful operators, the second on the
+    time of the first's windows; such a stream needs a watermark and output mode ``append``,
+    and gives a window once it is closed. For other output modes Spark allows one
+    stateful operator, and events go into their windows directly.
     """
-    if slide is None:
-        counts = events.groupBy(F.window(ts, window), *by).agg(F.count("*").alias("events"))
+    if slide is None or (events.isStreaming and not closed):
+        counts = events.groupBy(F.window(ts, window, slide), *by).agg(F.count("*").alias("events"))
     else:
         per_slide = events.groupBy(F.window(ts, slide).alias("_s"), *by).agg(F.count("*").alias("n"))
         if events.isStreaming:

@@ -292,11 +292,12 @@ def _numbered(updates: DataFrame, key: str) -> DataFrame:
 
 
 def client_clock_rates(
-    events: DataFrame, window: str, slide: str | None = None, *by: str, event_time: str = "event_time", delay: str = "10 minutes"
+    events: DataFrame, window: str, slide: str | None = None, *by: str, event_time: str = "event_time", delay: str = "10 minutes",
+    closed: bool = False,
 ) -> DataFrame:
     """Window rates by the client clock. Events more than ``delay`` behind the newest of
     the batches before are late and do not count; ``count_late`` marks them."""
-    return live.window_rates(events.withWatermark(event_time, delay), window, slide, *by, ts=event_time)
+    return live.window_rates(events.withWatermark(event_time, delay), window, slide, *by, ts=event_time, closed=closed)
 
 
 def count_late(events: DataFrame, delay: str, event_time: str, ts: str = "received_at") -> DataFrame:

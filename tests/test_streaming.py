@@ -400,7 +400,7 @@ def test_stream_windows_are_two_operators_without_expanding_events(spark, source
     source.add(("a", "u", 0), ("b", "u", 100), ("c", "u", 1000))
     source.add(("z", "u", 10**6))
     source.add(("z2", "u", 2 * 10**6))
-    made = live.window_rates(source.stream().withWatermark("received_at", "1 minute"), "1 hour", "15 minutes")
+    made = live.window_rates(source.stream().withWatermark("received_at", "1 minute"), "1 hour", "15 minutes", closed=True)
     plan = made._jdf.queryExecution().analyzed().toString()
     assert plan.count("Aggregate [") == 2
     # the copies for overlapping windows are made above the first aggregate, from its counts
