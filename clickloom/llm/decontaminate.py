@@ -142,10 +142,14 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     A text with hits becomes its remaining words, joined by single spaces.
     """
     hits = find_hits(documents, benchmark, window, doc_id, text).filter("n_hit > 0")
-    hits = hits.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("spans").alias("_hit_spans"))
-    ours = documents[doc_id].eqNullSafe(hits["_hit_id"]) & (F.xxhash64(documents[text]) == hits["_hit_hash"])
+    names = {"id": "_hit_id", "hash": "_hit_hash", "spans": "_hit_spans"}
+    while set(names.values()) & set(documents.columns):
+        names = {k: f"_{v}" for k, v in names.items()}
+    spans = names["spans"]
+    hits = hits.select(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"]), F.col("spans").alias(spans))
+    ours = documents[doc_id].eqNullSafe(hits[names["id"]]) & (F.xxhash64(documents[text]) == hits[names["hash"]])
     joined = documents.join(hits, ours, "left")
     words = T.words(F.col(f"`{text}`"), T.ALNUM_WORD)
-    left = F.filter(words, lambda w, i: ~F.exists("_hit_spans", lambda s: (i >= s["start"]) & (i < s["end"])))
-    cut = F.when(F.col("_hit_spans").isNotNull(), F.concat_ws(" ", left)).otherwise(F.col(f"`{text}`"))
+    left = F.filter(words, lambda w, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"])))
+    cut = F.when(F.col(spans).isNotNull(), F.concat_ws(" ", left)).otherwise(F.col(f"`{text}`"))
     return joined.withColumn(text, cut).select(*[f"`{c}`" for c in documents.columns])

@@ -499,3 +499,10 @@ def test_repeats_where_every_partition_has_one_tiny_text(spark):
     texts = ["a b", "a b c", "a", None, "", "a b c d e"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     assert paragraph_dedup.find_repeats(df).count() == 0
+
+
+def test_remove_spans_beside_columns_of_its_own_names(spark):
+    passage = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"before {passage} after", 5, "x"), (2, "clean text", 6, "y")], "doc_id long, text string, _hit_spans int, _hit_id string")
+    out = decontaminate.remove_spans(docs, spark.createDataFrame([("i", passage)], "item_id string, text string"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "before after", 5, "x"), (2, "clean text", 6, "y")]
