@@ -25,7 +25,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source", size.alias("size"), source_mix.order_key(F.col("doc_id"), F.col("text")).alias("key"),
     )
     placed = source_mix.place(rows)
-    return placed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"))
+    taken = (F.col("size") * F.size("placements")).alias("taken")
+    shards = F.concat_ws(",", F.transform("placements", lambda take: take["shard"].cast("string"))).alias("mix_shards")
+    return placed.select("row.doc_id", "size", "source_size", "target", taken, shards)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,10 @@ shard. A large source is spread over ``BUCKETS`` order buckets, and rows that ar
 in every column are counted before the shuffle.
 
 Defined cases: a null text has 0 words; a null source is a source, the last; a source
-without words has target 0 and its rows are not taken; an empty table gives no rows;
-equal rows are separate documents; rows of equal id and text are ordered by their other
-columns.
+without words has target 0 and its rows are not taken; a text without words is taken as
+often as the whole passes over its source, and once more only inside a partial pass; an
+empty table gives no rows; equal rows are separate documents; rows of equal id and text are
+ordered by their other columns, of which maps count by their sorted entries.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def place(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGH
     one = one.join(plan_rows, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
     at = F.col("first") + F.col("before") + F.col("n") * F.col("size")
     one = one.withColumn("at", at)
-    takes = F.col("passes") + F.when((F.col("source_size") > 0) & (F.col("at") + F.col("size") / 2 <= F.col("rest")), 1).otherwise(0)
+    takes = F.col("passes") + F.when((F.col("rest") > 0) & (F.col("at") + F.col("size") / 2 <= F.col("rest")), 1).otherwise(0)
 
     @F.pandas_udf("int")
     def shard_of(source: pd.Series, block: pd.Series) -> pd.Series:
@@ -155,15 +156,16 @@ def mix(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id: st
     ``mix_order`` is the random place inside the shard. Columns of these names are replaced.
     """
     kept = [c for c in documents.columns if c not in ("mix_pass", "mix_shard", "mix_order")]
-    rows = documents.select(
+    maps = [c for c in T.map_columns(documents) if c in kept]
+    rows = T.without_maps(documents).select(
         F.struct(*[f"`{c}`" for c in kept]).alias("row"), F.col(f"`{source}`").alias("source"),
         word_count(F.col(f"`{text}`")).alias("size"), order_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), seed).alias("key"),
     )
     taken = place(rows, shards, seed, weights, most, block_words).select("row", F.explode("placements").alias("take"))
-    return taken.select(
+    return T.with_maps(taken.select(
         "row.*", F.col("take.pass").alias("mix_pass"), F.col("take.shard").alias("mix_shard"),
         F.xxhash64(F.lit(seed), "take", "row").alias("mix_order"),
-    )
+    ), maps)
 
 
 def write_mix(mixed: DataFrame, path: str) -> None:

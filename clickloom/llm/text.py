@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom import runtime
 
@@ -43,6 +44,24 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def map_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.MapType)]
+
+
+def entries(name: str) -> Column:
+    """A map column as its sorted entries, which unlike a map can be hashed, grouped and ordered."""
+    return F.sort_array(F.map_entries(F.col(f"`{name}`")))
+
+
+def without_maps(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: entries(name) for name in map_columns(df)})
+
+
+def with_maps(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of these names as maps again."""
+    return df.withColumns({name: F.map_from_entries(F.col(f"`{name}`")) for name in names})
+
+
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     """Mark for broadcast if it has at most ``rows`` rows; otherwise leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
