@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.llm import text as T
+
 BUCKETS = 4096
 SHARDS = 24
 SEED = 20240229
@@ -71,7 +73,8 @@ def permute(numbers, n: int, seed: int = SEED, back: bool = False) -> np.ndarray
 def shard_rows(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """All columns of ``rows`` with ``shard`` and ``slot``; columns of these names are replaced."""
     kept = [f"`{c}`" for c in rows.columns if c not in ("shard", "slot")]
-    whole = rows.select(F.struct(*kept).alias("row"))
+    maps = [c for c in T.map_columns(rows) if f"`{c}`" in kept]
+    whole = T.without_maps(rows).select(F.struct(*kept).alias("row"))
     whole = whole.withColumn("hash", F.xxhash64(F.lit(seed), "row"))
     whole = whole.withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
     counts = np.zeros(buckets, dtype=np.int64)
@@ -90,7 +93,7 @@ def shard_rows(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets:
     numbered = copies.withColumn("before", F.coalesce(F.sum("copies").over(before), F.lit(0)))
     numbered = numbered.select("row", "bucket", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("copies") - 1)).alias("within"))
     placed = numbered.select("row", place("bucket", "within").alias("at"))
-    return placed.select("row.*", (F.col("at") % shards).cast("int").alias("shard"), F.expr(f"at div {shards}").alias("slot"))
+    return T.with_maps(placed.select("row.*", (F.col("at") % shards).cast("int").alias("shard"), F.expr(f"at div {shards}").alias("slot")), maps)
 
 
 def locate(number: int, total: int, shards: int = SHARDS, seed: int = SEED) -> tuple[int, int]:

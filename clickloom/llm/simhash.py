@@ -80,7 +80,9 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def row_hash(documents: DataFrame) -> Column:
-    return F.xxhash64(*[f"`{c}`" for c in documents.columns])
+    """Hash over all columns; a map counts by its sorted entries."""
+    maps = T.map_columns(documents)
+    return F.xxhash64(*[T.entries(c) if c in maps else F.col(f"`{c}`") for c in documents.columns])
 
 
 def _masks() -> list[int]:
@@ -245,7 +247,8 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     grouped = groups(documents, doc_id, text)
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_hash")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_k_id"), F.col("first.row_hash").alias("_k_hash"))
-    rows = documents.withColumn("_row_hash", row_hash(documents))
-    kept = rows.join(first, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_k_id")) & (F.col("_row_hash") == F.col("_k_hash")), "left_semi")
-    return kept.dropDuplicates(["_row_hash"]).drop("_row_hash")
+    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"))
+    # the row is one column, so that no name of a user's column can clash
+    rows = documents.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), row_hash(documents).alias("hash"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left_semi")
+    return kept.dropDuplicates(["hash"]).select("row.*")
