@@ -140,7 +140,10 @@ def _joined(fields: tuple[str, ...]) -> Column:
 def json_to_turns(records: DataFrame, column: str = "record") -> DataFrame:
     """Canonical turns, with ``layout``, of JSON records of mixed layouts, each chosen by its fingerprint.
 
-    A record that is no object or has no mapping gives one row with a null ``layout``.
+    A record that is no object, has no mapping or lists turns that are no objects gives one
+    row with a null ``layout``, and its id where it has one. Ids are integers, bare or as
+    text; any other is null. Texts and roles that are no strings are their JSON text, half
+    surrogate pairs become U+FFFD.
     """
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,20 +157,45 @@ def json_to_turns(records: DataFrame, column: str = "record") -> DataFrame:
 def _record_turns(record: str | None) -> list[tuple]:
     try:
         value = json.loads(record)
-    except (TypeError, ValueError):
-        value = None
-    layout = find_layout(record_paths(value)) if isinstance(value, dict) else None
-    if layout is None:
+        layout = find_layout(record_paths(value)) if isinstance(value, dict) else None
+    except (TypeError, ValueError, RecursionError):
+        return [(None, None, "", "", None)]
+    if not isinstance(value, dict):
         return [(None, None, "", "", None)]
-    conv = value.get(layout.conv_id)
+    if layout is None:
+        return [(_integer(value.get("id", value.get("conv_id"))), None, "", "", None)]
+    conv = _integer(value.get(layout.conv_id))
     if layout.row:
         turn, role, text = layout.row
-        turns = [(value[turn], value[role], value[text])]
+        turns = [(_integer(value.get(turn)), value.get(role), value.get(text))]
     elif layout.each:
-        turns = [(i, one.get(layout.role), one.get(layout.text)) for i, one in enumerate(value[layout.each])]
+        listed = value.get(layout.each)
+        if not isinstance(listed, list) or not all(isinstance(one, dict) for one in listed):
+            return [(conv, None, "", "", None)]
+        turns = [(i, one.get(layout.role), one.get(layout.text)) for i, one in enumerate(listed)]
     else:
-        turns = [(i, role, "\n\n".join(value[f] for f in fields if value[f])) for i, (role, fields) in enumerate(layout.steps)]
-    return [(conv, i, ROLES.get(role, role or ""), text or "", layout.name) for i, role, text in turns]
+        turns = [(i, role, "\n\n".join(filter(None, (_string(value.get(f)) for f in fields)))) for i, (role, fields) in enumerate(layout.steps)]
+    out = []
+    for i, role, text in turns:
+        role = _string(role)
+        out.append((conv, i, ROLES.get(role, role), _string(text), layout.name))
+    return out
+
+
+def _integer(value) -> int | None:
+    if isinstance(value, str) and re.fullmatch(r"[+-]?[0-9]{1,19}", value):
+        value = int(value)
+    fits = isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63
+    return value if fits else None
+
+
+def _string(value) -> str:
+    """A JSON value as text: null is empty, all but strings their JSON."""
+    if value is None:
+        return ""
+    if not isinstance(value, str):
+        value = json.dumps(value, ensure_ascii=False)
+    return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 # The template: marks around each turn, and a backslash inside control strings of texts.
@@ -187,8 +215,8 @@ def escaped(text: Column) -> Column:
 
 
 def unescape(text: str) -> str:
-    """A backslash stands for the character after it; ``\\n`` (in roles only) for a line end."""
-    return re.sub(r"\\(.)", lambda found: "\n" if found[1] == "n" else found[1], text, flags=re.DOTALL)
+    """A backslash stands for the character after it; before U+2028 (in roles only) for a line end."""
+    return re.sub(r"\\(.)", lambda found: "\n" if found[1] == "\u2028" else found[1], text, flags=re.DOTALL)
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -199,7 +227,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     are not the assistant's.
     """
     # a line end in a role would end the mark; it is written as backslash and line separator
-    role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\ "))
+    role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\u2028"))
     body = escaped(F.col("text"))
     head = F.concat(F.lit(OPEN), role, F.lit(MIDDLE))
     assistant = F.col("role") == "assistant"
@@ -244,7 +272,7 @@ class _Running:
         for found in TURN.finditer(piece):
             if found.start() != at:
                 raise ValueError("text between the turns")
-            role = unescape(found[1].replace("\\ ", "\n"))
+            role = unescape(found[1])
             self.all.update(f"{role}\n{unescape(found[2])}\n".encode("utf-8", "surrogatepass"))
             self.turns, at = self.turns + 1, found.end()
         if at != len(piece):
