@@ -7,14 +7,16 @@ logistic function of the weighted passage representation. Attention logits are b
 so a document is scored as a running sum over its passages and its length does not
 matter.
 
-The model is fitted on the driver from at most ``TRAIN_DOCS`` labelled documents, chosen
-by hash, with at most ``TRAIN_PASSAGES`` evenly spaced passages each. Every document is
-scored over its whole text in a projection without shuffle.
+The model is fitted on the driver from labelled documents: of those with a text of at most
+``TRAIN_TEXT`` bytes, chosen by hash, the first ``TRAIN_DOCS`` whose texts have at most
+``TRAIN_BYTES`` bytes together. Every passage of a chosen text is read, and encoded as in
+scoring. Every document is scored over its whole text in a projection without shuffle.
 
 Defined cases: null and empty texts are one empty passage; labels that contradict each
 other count as the lower one, null labels not at all; without labels every score is 0.5;
-rows are scored one by one, repeated or not; an empty table gives no rows; other columns
-are ignored.
+rows are scored one by one, repeated or not; of the rows of one id the one with the
+smallest text hash is fitted; an empty table gives no rows; other columns are ignored. Ids
+are integers, as everywhere in these tables; others are an error of the cast.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm import text as T
 
 PASSAGE = 512
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 32
+TRAIN_BYTES = 32 << 20
+TRAIN_TEXT = 4 << 20
 FOLDS = 5
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 16
@@ -145,6 +148,11 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
         yield slices, owners
 
 
+def features(text: bytes) -> np.ndarray:
+    """Features of all passages of one text, as they are scored."""
+    return np.concatenate([encode(slices)[0] for slices, _ in _pieces([text])])
+
+
 def train(x: np.ndarray, owner: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
     """Fit by Adam on the log loss of documents. ``owner`` is sorted; one label per document."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -184,23 +192,27 @@ def train(x: np.ndarray, owner: np.ndarray, label: np.ndarray, seed: int = 7) ->
 
 
 def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-        folds: int = FOLDS, docs: int = TRAIN_DOCS) -> Model:
+        folds: int = FOLDS, docs: int = TRAIN_DOCS, total: int = TRAIN_BYTES, longest: int = TRAIN_TEXT) -> Model:
     """Fit on labelled documents outside fold 0 of ``folds``."""
     known = T.pick(labels, doc_id="doc_id", label=label).filter("doc_id is not null and label is not null")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).filter(T.fold(F.col("doc_id"), folds) != 0)
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).select(F.col("doc_id").alias("l_id"), F.col("label").cast("int").alias("label"))
-    rows = T.pick(documents, doc_id=doc_id, text=text)
-    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "label", "text")
+    known = known.select(F.col("doc_id").cast("long").alias("l_id"), F.col("label").cast("int").alias("label"))
+    rows = T.pick(documents, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    sizes = rows.groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).filter(F.col("size") <= longest)
+    drawn = sizes.join(known, F.col("doc_id") == F.col("l_id")).select("l_id", "label", "size", F.xxhash64("l_id").alias("place"))
+    drawn = drawn.orderBy("place", "l_id").limit(docs)
+    running = Window.orderBy("place", "l_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = drawn.withColumn("so_far", F.sum("size").over(running)).filter(F.col("so_far") <= total).select("l_id", "label")
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    of_one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("nth", F.row_number().over(of_one)).filter("nth = 1").select("doc_id", "label", "text")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, (identity, y, value) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)])):
+            for identity, y, value in zip(*[batch.column(c).to_pylist() for c in range(3)]):
                 data = (value or "").encode("utf-8", "surrogatepass")
-                n = max(1, -(-len(data) // PASSAGE))
-                picked = np.unique(np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).round().astype(int))
-                x = np.concatenate([encode([data[p * PASSAGE:(p + 1) * PASSAGE]])[0] for p in picked])
-                out.append((identity, y, x.astype(np.float32).tobytes()))
+                out.append((identity, y, features(data).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["doc_id", "label", "x"])
 
