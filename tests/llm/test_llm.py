@@ -506,3 +506,123 @@ def test_remove_spans_beside_columns_of_its_own_names(spark):
     docs = spark.createDataFrame([(1, f"before {passage} after", 5, "x"), (2, "clean text", 6, "y")], "doc_id long, text string, _hit_spans int, _hit_id string")
     out = decontaminate.remove_spans(docs, spark.createDataFrame([("i", passage)], "item_id string, text string"))
     assert sorted(tuple(r) for r in out.collect()) == [(1, "before after", 5, "x"), (2, "clean text", 6, "y")]
+
+
+def test_mixed_words_against_sql(spark):
+    def without_shards(spark, sf_dir):
+        return queries.op2_mix_sources(spark, sf_dir).drop("mix_shards")
+
+    assert compare.check(spark, compare.connect(SF), without_shards, oracle.OP2, SF) is None
+    rows = queries.op2_mix_sources(spark, SF).collect()
+    assert all(r["taken"] == r["size"] * len([s for s in r["mix_shards"].split(",") if s]) for r in rows)
+
+
+def test_shards_of_the_mix_hold_their_quotas(spark):
+    counts, words_each, shards = {"a": 40, "b": 300, "c": 90}, 10, 4
+    rows = [(i, s, " ".join(["w"] * words_each)) for s, n in counts.items() for i in range(n)]
+    mixed = source_mix.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), shards=shards, block_words=words_each).collect()
+    goal = source_mix.targets({s: n * words_each for s, n in counts.items()})
+    blocks = [int(goal[s] / words_each // counts[s]) * counts[s] for s in counts]
+    quotas = [b + int((goal[s] - b * words_each) // words_each) + 1 if goal[s] > b * words_each else b for s, b in zip(counts, blocks)]
+    drawn = source_mix.split_quotas(quotas, shards)
+    for i, s in enumerate(counts):
+        got = [sum(r["source"] == s and r["mix_shard"] == k for r in mixed) for k in range(shards)]
+        # the last block of a partial pass is taken if half of it is inside
+        assert all(0 <= want - have <= 1 for want, have in zip(drawn[i].tolist(), got)) and sum(drawn[i]) - sum(got) <= 1
+
+
+def test_texts_without_words_keep_to_the_limit_of_the_mix(spark):
+    rows = [(i, "a", t) for i, t in enumerate(["x y", "", None, " ", ""])] + [(i, "b", "w " * 500) for i in range(9, 30)]
+    mixed = source_mix.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    takes = collections.Counter(r["doc_id"] for r in mixed)
+    assert all(takes[i] <= 3 for i in range(5)) and takes[0] == 3
+
+
+MAPPED = "doc_id long, text string, source string, _row_hash string, tags map<string,int>"
+
+
+def test_map_columns_and_clashing_names(spark):
+    rows = [(1, "a b c d", "s", "u", {"x": 1, "y": 2}), (1, "a b c d", "s", "u", {"y": 2, "x": 1}), (2, "other words here", "s", "v", None)]
+    df = spark.createDataFrame(rows, MAPPED)
+    kept = simhash.keep_one(df)
+    assert kept.schema == df.schema and sorted((r["doc_id"], r["_row_hash"]) for r in kept.collect()) == [(1, "u"), (2, "v")]
+    mixed = source_mix.mix(df)
+    assert mixed.schema["tags"].dataType == df.schema["tags"].dataType
+    assert sorted((r["doc_id"], str(sorted((r["tags"] or {}).items()))) for r in mixed.collect()) == sorted((r[0], str(sorted((r[4] or {}).items()))) for r in rows)
+    placed = feistel.shard_rows(df, shards=2)
+    assert sorted(r["slot"] * 2 + r["shard"] for r in placed.collect()) == [0, 1, 2]
+    assert {str(r["tags"]) for r in placed.filter("doc_id = 2").collect()} == {"None"}
+
+
+def test_json_records_of_unexpected_values(spark):
+    records = [
+        '{"id": "12", "prompt": 5, "response": true}', '{"id": "x", "prompt": "p", "response": "r"}', '{"id": 3, "messages": []}',
+        '{"id": 4, "messages": [{"role": "user", "content": "hi"}, "stray"]}', '{"id": 5, "messages": [{"role": 7, "content": {"a": [1]}}, {"role": "user", "content": "q"}]}',
+        '{"id": 6, "instruction": "do", "input": 0, "output": null}', '{"id": 99999999999999999999, "question": "q", "answer": "\\ud800"}',
+        "[" * 100_000, '{"messages[].role": 1, "messages[].content": 2, "id": 8}', '{"id": 9.5, "question": [], "answer": "a"}', "",
+    ]
+    rows = chat_format.json_to_turns(spark.createDataFrame([(r,) for r in records], "record string")).collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r["conv_id"]].append((r["role"], r["text"], r["layout"]))
+    assert got[12] == [("user", "5", "prompt"), ("assistant", "true", "prompt")]
+    assert got[3] == [("", "", None)] and got[4] == [("", "", None)] and got[8] == [("", "", None)]
+    assert got[5] == [("7", '{"a": [1]}', "messages"), ("user", "q", "messages")]
+    assert got[6] == [("user", "do\n\n0", "instruction"), ("assistant", "", "instruction")]
+    assert ("assistant", "\ufffd", "question") in got[None] and ("user", "p", "prompt") in got[None]
+
+
+@pytest.mark.parametrize("role", ["\\\u2028", "\u2028", "\n", "\\\n\\", "\\\\\u2028n", "\\n", "<|im_end|>\n"])
+def test_roles_come_back(spark, role):
+    turns = spark.createDataFrame([(1, 0, role, "\\\u2028 t")], chat_format.TURNS)
+    row = chat_format.read_back(chat_format.format_turns(turns)).first()
+    assert row["turns_sha256"] == hashlib.sha256(f"{role}\n\\\u2028 t\n".encode()).hexdigest()
+
+
+def test_quality_training_reads_whole_texts_as_scored():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(list(b"ab AB!\n#"), n).tolist()) for n in (0, 1, 511, 512, 513, 40_000)]
+    together, owner = mil_quality.encode(texts)
+    for i, text in enumerate(texts):
+        assert (mil_quality.features(text) == together[owner == i]).all()
+    assert len(mil_quality.features(texts[-1])) == 79
+
+
+def test_quality_sample_is_of_labelled_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i} words") for i in range(40)] + [(40, "long " * 1000), (7, "second row")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    seen = {}
+
+    def train(x, owner, label):
+        seen["n"] = len(label)
+        return mil_quality.Model(np.zeros(mil_quality.WIDTH), np.ones(mil_quality.WIDTH), None)
+
+    original, mil_quality.train = mil_quality.train, train
+    try:
+        folds = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(41))
+        mil_quality.fit(docs, labels)
+        assert seen["n"] == folds
+        mil_quality.fit(docs, labels, docs=10)
+        assert seen["n"] == 10
+        mil_quality.fit(docs, labels, longest=100)
+        assert seen["n"] == folds - (zlib.crc32(b"40") % 5 != 0)
+    finally:
+        mil_quality.train = original
+
+
+def test_partitions_of_one_tiny_text(spark, tmp_path):
+    texts = [None, "", "a", "a b", "a b c", "a b c d", "a b c d e", " ", "\n"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(9)
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    assert mil_quality.score(df, mil_quality.fit(df, labels)).count() == 9
+    assert len({r["doc_id"] for r in source_mix.mix(df).collect()}) == 9
+    assert decontaminate.contaminated(decontaminate.find_hits(df, bench)).count() == 9
+    assert simhash.groups(df).count() == 9
+    assert paragraph_dedup.find_repeats(df).count() == 0
+    assert ctw.score(df).count() == 9
+    rules = domain_rules.fit(df, labels)
+    assert domain_rules.apply_rules(df, rules.weights, rules.threshold, word_weights=rules.word_weights, word_threshold=rules.word_threshold).count() == 9
+    assert feistel.shard_rows(df).count() == 9
+    turns = df.selectExpr("doc_id AS conv_id", "doc_id AS turn", "'user' AS role", "coalesce(text, '') AS text")
+    assert chat_format.read_back(chat_format.format_turns(turns)).count() == 9
