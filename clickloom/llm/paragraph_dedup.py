@@ -75,8 +75,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(begin):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     place = np.arange(len(data)) - np.repeat(np.append(0, begin), np.diff(np.concatenate([[0], begin, [len(data)]])))
-    # the place is capped: bytes of very long words past it are weighted by their order no more
     values = BYTE_HASH[data] * PLACE_HASH[np.minimum(place, len(PLACE_HASH) - 1)]
+    far = np.flatnonzero(place >= len(PLACE_HASH))
+    if len(far):
+        # the table ends here; the few bytes of very long words get a multiplier of their own place
+        values[far] = BYTE_HASH[data[far]] * (_mix(place[far].astype(np.uint64)) | np.uint64(1))
     ends = np.cumsum([len(t) + 1 for t in texts])
     return _mix(np.add.reduceat(values, begin)), np.searchsorted(ends, begin, side="right")
 

@@ -626,3 +626,13 @@ def test_partitions_of_one_tiny_text(spark, tmp_path):
     assert feistel.shard_rows(df).count() == 9
     turns = df.selectExpr("doc_id AS conv_id", "doc_id AS turn", "'user' AS role", "coalesce(text, '') AS text")
     assert chat_format.read_back(chat_format.format_turns(turns)).count() == 9
+
+
+def test_long_words_with_permuted_tails_differ():
+    rng = np.random.default_rng(5)
+    tail = list(b"abcdefghij" * 30)
+    texts = [b"x" * 128 + bytes(rng.permutation(tail).tolist()) for _ in range(50)]
+    with np.errstate(over="ignore"):
+        hashes, _ = paragraph_dedup.word_hashes(texts)
+        again, _ = paragraph_dedup.word_hashes([b"before " + texts[0]])
+    assert len(set(hashes.tolist())) == len(set(texts)) == 50 and again[1] == hashes[0]
