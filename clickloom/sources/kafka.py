@@ -33,9 +33,38 @@ MESSAGE = (
 )
 
 
+#: The login module that takes the client's id and secret from the JAAS line.
+OAUTH_MODULE = "org.apache.kafka.common.security.oauthbearer.OAuthBearerLoginModule"
+
+
 def client_options(env: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Client options that the environment sets.
+
+    ``KAFKA_OAUTH_CLIENT_ID`` and ``KAFKA_OAUTH_CLIENT_SECRET``, with an optional
+    ``KAFKA_OAUTH_SCOPE``, make the JAAS line, unless a whole line is given. One of the
+    first two without the other is an error.
+    """
     env = os.environ if env is None else env
-    return {option: env[name].strip() for name, option in ENVIRONMENT.items() if env.get(name, "").strip()}
+    options = {option: env[name].strip() for name, option in ENVIRONMENT.items() if env.get(name, "").strip()}
+    if "kafka.sasl.jaas.config" not in options and (line := _oauth_line(env)):
+        options["kafka.sasl.jaas.config"] = line
+        options.setdefault("kafka.sasl.mechanism", "OAUTHBEARER")
+    return options
+
+
+def _oauth_line(env: Mapping[str, str]) -> str | None:
+    client, secret, scope = (env.get(f"KAFKA_OAUTH_{name}", "").strip() for name in ("CLIENT_ID", "CLIENT_SECRET", "SCOPE"))
+    if not client and not secret:
+        return None
+    if not client or not secret:
+        raise ValueError("KAFKA_OAUTH_CLIENT_ID and KAFKA_OAUTH_CLIENT_SECRET go together")
+    given = {"clientId": client, "clientSecret": secret} | ({"scope": scope} if scope else {})
+    quoted = " ".join(f'{name}="{_jaas(value)}"' for name, value in given.items())
+    return f"{OAUTH_MODULE} required {quoted};"
+
+
+def _jaas(value: str) -> str:
+    return value.replace("\\", "\\\\").replace('"', '\\"')
 
 
 def start_position(mode: str | Mapping[int, int], topic: str) -> str:

@@ -141,3 +141,15 @@ def test_shuffles_are_sized_by_the_input(spark):
         assert runtime.size_shuffles(spark, path, path, partition_bytes=100) > 100
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_oauth_client_makes_the_login_line():
+    env = {"KAFKA_OAUTH_CLIENT_ID": "me", "KAFKA_OAUTH_CLIENT_SECRET": 'a"b\\c', "KAFKA_OAUTH_SCOPE": "read"}
+    options = kafka.client_options(env)
+    assert options["kafka.sasl.jaas.config"].endswith(r'required clientId="me" clientSecret="a\"b\\c" scope="read";')
+    assert options["kafka.sasl.mechanism"] == "OAUTHBEARER"
+    whole = kafka.client_options(env | {"KAFKA_SASL_JAAS_CONFIG": "line;", "KAFKA_SASL_MECHANISM": "PLAIN"})
+    assert (whole["kafka.sasl.jaas.config"], whole["kafka.sasl.mechanism"]) == ("line;", "PLAIN")
+    assert kafka.client_options({}) == {}
+    with pytest.raises(ValueError):
+        kafka.client_options({"KAFKA_OAUTH_CLIENT_ID": "me"})
