@@ -15,15 +15,24 @@ first and last few.
    been compared with every member, so no link between different sets is lost and a run
    of similar paragraphs needs no all-pairs search.
 4. Links are joined to components. A paragraph is repeated if its class is in two
-   documents or more. Consecutive repeated paragraphs of at least ``MIN_WORDS`` words are
-   reported; all but the class's first place are removals.
+   documents or more.
+5. A passage goes on beyond its outermost cuts. From every border of a repeated stretch
+   the prefixes of the words outside are hashed with the paragraph's class; the longest
+   prefix found in two documents is added. The words up to the next cut and ``RADIUS``
+   more are enough: if more agreed, the next paragraph would be repeated itself.
+6. Stretches of one document with an edit between them are one passage if two documents
+   hold their classes in that order and the five-word shingles of the joined passage
+   that lie in the stretches are ``SIMILARITY`` of the union. Passages of at least
+   ``MIN_WORDS`` words are reported. Removals are all but the class's first place, with
+   the words around it that an earlier document has there too.
 
 Words and paragraphs are compared by 64-bit hashes, A-Z in lower case.
 
 Defined cases: null and empty texts have no paragraphs; texts of fewer than five words
-are one shingle; repeats inside one document alone are not reported; rows of equal id
-and text count as one document; rows with a null id as one more; empty tables give no
-rows; other columns are ignored.
+are one shingle; repeats inside one id alone are not reported, and all rows with a null
+id have one id in this; rows of equal id and text are one document, of equal id and
+unequal text documents with passages of their own; empty tables give no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,8 +153,8 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            ids = batch.column(0)
-            for at, texts in _blocks(batch.column(1)):
+            ids, docs = batch.column(0), batch.column(1)
+            for at, texts in _blocks(batch.column(2)):
                 words, owner = word_hashes(texts)
                 if not len(words):
                     continue
@@ -160,17 +169,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mixed[grams == LAST] = LAST
                     bands.append((np.minimum.reduceat(mixed, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 columns = [
-                    ids.take(pa.array(at + doc)), pa.array((np.arange(len(doc)) - np.repeat(first, counts)).astype(np.int32)),
+                    ids.take(pa.array(at + doc)), docs.take(pa.array(at + doc)), pa.array((np.arange(len(doc)) - np.repeat(first, counts)).astype(np.int32)),
                     pa.array((starts - np.repeat(starts[first], counts)).astype(np.int32)), pa.array(np.diff(np.append(starts, len(words))).astype(np.int32)),
                     pa.array(whole(words, starts).view(np.int64)), *[pa.array(b) for b in bands],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "n_words", "hash", *[f"band_{b}" for b in range(BANDS)]])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "paragraph", "start", "n_words", "hash", *[f"band_{b}" for b in range(BANDS)]])
+
+
+def keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id`` (``NULL_ID`` for null), ``doc`` (a hash of id and text) and ``text``."""
+    own, words = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    return documents.select(F.coalesce(own, F.lit(NULL_ID)).alias("id"), F.xxhash64(own, words).alias("doc"), words.alias("text"))
 
 
 def cut_paragraphs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every paragraph's ``doc_id``, number, first word, words, hash and MinHash values."""
-    rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(_cut, "doc_id long, paragraph int, start int, n_words int, hash long, " + ", ".join(f"band_{b} int" for b in range(BANDS)))
+    """Every paragraph's ``id``, ``doc``, number, first word, words, hash and MinHash values."""
+    kind = "id long, doc long, paragraph int, start int, n_words int, hash long, "
+    return keyed(documents, doc_id, text).mapInArrow(_cut, kind + ", ".join(f"band_{b} int" for b in range(BANDS)))
 
 
 def colliding(distinct: DataFrame) -> DataFrame:
@@ -231,10 +246,9 @@ def verified_links(candidates: DataFrame, distinct: DataFrame, documents: DataFr
     """Edges (``a``, ``b``) that connect all candidates of a run with similarity of at least ``SIMILARITY``."""
     members = candidates.select("hash").distinct()
     # one document of each paragraph is cut again for its shingles
-    places = distinct.select("hash", "first_doc").join(members, "hash", "left_semi")
-    wanted = T.broadcast_within(places.select(F.col("first_doc").alias("w_id")).distinct(), BROADCAST_DOCS)
-    rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
+    places = distinct.select("hash", "first").join(members, "hash", "left_semi")
+    wanted = T.broadcast_within(places.select(F.col("first").alias("id")).distinct(), BROADCAST_DOCS)
+    rows = keyed(documents, doc_id, text).join(wanted, "id", "left_semi").select("text")
     sets = rows.mapInArrow(_sets, "hash long, grams array<long>").join(members, "hash", "left_semi").dropDuplicates(["hash"])
     runs = candidates.join(sets, "hash").repartition("run").sortWithinPartitions("run", "hash").select("run", "hash", "grams")
 
@@ -300,20 +314,105 @@ def link_run(hashes: np.ndarray, sets: list[np.ndarray], similarity: float = SIM
     return list(zip(hashes[child].tolist(), hashes[parent[child]].tolist()))
 
 
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all prefixes of the words outside each border, with the class of the paragraph inside."""
+    names = ["id", "doc", "paragraph", "side", "keys"]
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            borders = batch.column(3)
+            for at, texts in _blocks(batch.column(2)):
+                words, owner = word_hashes(texts)
+                starts = paragraphs(words, owner)
+                mine = borders.slice(at, len(texts))
+                text = np.repeat(np.arange(len(texts)), mine.value_lengths().to_numpy())
+                number, side, root = (mine.flatten().field(i).to_numpy() for i in range(3))
+                low, high = np.searchsorted(owner, text), np.searchsorted(owner, text, side="right")
+                # a paragraph's first word and the first words of those around it, inside its text
+                place = np.searchsorted(starts, low) + number
+                edge = np.append(starts, len(words))
+                cut = lambda k: np.clip(edge[np.clip(place + k, 0, len(starts))], low, high)
+                after = np.minimum(cut(2) + RADIUS, high) - cut(1)
+                before = cut(0) - np.maximum(np.where(number > 0, cut(-1), low) - RADIUS, low)
+                lengths = np.where(side > 0, after, before)
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                step = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
+                word = np.where(np.repeat(side > 0, lengths), np.repeat(cut(1), lengths) + step, np.repeat(cut(0), lengths) - 1 - step)
+                sums = np.append(np.uint64(0), np.cumsum(_mix(words[word] + _mix(step.astype(np.uint64) + np.uint64(1)))))
+                prefix = sums[1:] - np.repeat(sums[offsets[:-1]], lengths)
+                inside = np.repeat(_mix(root.astype(np.int64).view(np.uint64) ^ BAND_KEYS[-1]) + side.astype(np.int64).view(np.uint64), lengths)
+                keys = _mix(prefix + _mix(inside + step.astype(np.uint64) * MIX_1))
+                row = pa.array(at + text)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(row), batch.column(1).take(row), pa.array(number.astype(np.int32)), pa.array(side.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.view(np.int64)))], names)
+
+
+def extensions(repeated: DataFrame, documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Words beyond the borders of repeated stretches that two documents have there.
+
+    ``id``, ``doc``, ``paragraph``, ``before`` and ``after``; of these ``old_before`` and
+    ``old_after`` are in a document with a smaller id.
+    """
+    in_doc = Window.partitionBy("id", "doc").orderBy("paragraph")
+    ends = F.array(
+        F.struct(F.lit(-1).alias("side"), F.coalesce(F.col("paragraph") - F.lag("paragraph").over(in_doc) != 1, F.col("paragraph") > 0).alias("open")),
+        F.struct(F.lit(1).alias("side"), F.coalesce(F.lead("paragraph").over(in_doc) - F.col("paragraph") != 1, F.lit(True)).alias("open")))
+    border = repeated.withColumn("ends", ends).select("id", "doc", "paragraph", "root", F.inline("ends"))
+    # where one place of a class has a border, its other places are compared too, though more follows them
+    mixed = border.groupBy("root", "side").agg(F.max(F.col("open").cast("int")).alias("some"), F.min(F.col("open").cast("int")).alias("every"))
+    mixed = mixed.filter("some = 1 AND every = 0").select(F.col("root").alias("m_root"), F.col("side").alias("m_side"))
+    border = border.join(mixed, (F.col("root") == F.col("m_root")) & (F.col("side") == F.col("m_side")), "left")
+    border = border.filter(F.col("open") | F.col("m_root").isNotNull())
+    # no more than the paragraphs of one text
+    by_doc = T.stored(border.groupBy("id", "doc").agg(F.collect_list(F.struct("paragraph", "side", "root")).alias("borders")), "borders")
+    wanted = T.broadcast_within(by_doc.select("id", "doc"), BROADCAST_DOCS)
+    texts = keyed(documents, doc_id, text).join(wanted, ["id", "doc"], "left_semi").join(by_doc, ["id", "doc"])
+    found = texts.select("id", "doc", "text", "borders").mapInArrow(_borders, "id long, doc long, paragraph int, side int, keys array<long>")
+    found = T.stored(found, "prefixes")
+    one = found.select("id", "doc", "paragraph", "side", F.posexplode("keys").alias("at", "key"))
+    shared = one.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first")
+    longest = lambda side, *more: F.max(F.when((F.col("side") == side) & F.lit(True if not more else more[0]), F.col("at") + 1).otherwise(0))
+    old = F.col("first") < F.col("id")
+    return one.join(shared, "key").groupBy("id", "doc", "paragraph").agg(
+        longest(-1).alias("before"), longest(1).alias("after"), longest(-1, old).alias("old_before"), longest(1, old).alias("old_after"))
+
+
+def passages(stretched: DataFrame, min_words: int) -> DataFrame:
+    """``id``, ``doc``, ``stretch`` and ``passage_words`` of all stretches in a passage of ``min_words``."""
+    in_doc = Window.partitionBy("id", "doc").orderBy("stretch")
+    rows = stretched.groupBy("id", "doc", "stretch").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min_by("root", "paragraph").alias("opens"), F.max_by("root", "paragraph").alias("closes"))
+    words = F.col("high") - F.col("low")
+    whole_grams = lambda n: F.greatest(n - (SHINGLE - 1), F.lit(0))
+    rows = rows.withColumns({
+        "kept": whole_grams(words) + whole_grams(F.lag(words).over(in_doc)), "all": whole_grams(F.col("high") - F.lag("low").over(in_doc)),
+        "left": F.lag("closes").over(in_doc)})
+    # both documents have at most (1 + 1 / SIMILARITY) / 2 times the common shingles, so the union is small enough
+    rows = T.stored(rows.withColumn("near", F.coalesce(F.col("kept") >= SIMILARITY * (2 * F.col("all") - F.col("kept")) - 1e-9, F.lit(False))), "stretches")
+    pairs = rows.filter("near").groupBy(F.col("left").alias("p_left"), F.col("opens").alias("p_right")).agg(F.min("id").alias("f"), F.max("id").alias("l"))
+    pairs = pairs.filter("f <> l").select("p_left", "p_right")
+    joined = rows.join(pairs, F.col("near") & (F.col("left") == F.col("p_left")) & (F.col("opens") == F.col("p_right")), "left")
+    joined = joined.withColumn("passage", F.sum(F.when(F.col("p_left").isNull(), 1).otherwise(0)).over(in_doc))
+    whole_passage = Window.partitionBy("id", "doc", "passage")
+    joined = joined.withColumn("passage_words", F.max("high").over(whole_passage) - F.min("low").over(whole_passage))
+    return joined.filter(F.col("passage_words") >= min_words).select("id", "doc", "stretch", "passage_words")
+
+
 def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per paragraph inside a repeated passage.
 
-    ``doc_id``, ``paragraph``, ``start`` and ``n_words`` (word positions), ``passage_words``
-    (of the whole passage), ``class_id``, ``first_doc_id`` (the smallest id that holds the
-    class) and ``removed`` (it is not the class's first place).
+    ``doc_id``, ``paragraph``, ``start`` and ``n_words`` (word positions, with the words
+    around the paragraph that are repeated too; spans of neighbours may overlap),
+    ``passage_words`` (of the whole passage), ``class_id``, ``first_doc_id`` (the smallest
+    id that holds the class), ``removed`` (it is not the class's first place), and
+    ``removed_start`` and ``removed_words`` (the words that an earlier place has).
     """
     cut = T.stored(cut_paragraphs(documents, doc_id, text), "paragraphs")
     distinct = T.stored(cut.groupBy("hash").agg(
-        F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first"), F.max(F.coalesce("doc_id", F.lit(NULL_ID))).alias("last"),
-        *[F.min(f"band_{b}").alias(f"band_{b}") for b in range(BANDS)]), "distinct-paragraphs")
-    named = distinct.withColumn("first_doc", F.when(F.col("first") != NULL_ID, F.col("first")))
-    candidates = T.stored(colliding(named), "colliding")
-    roots = components.connected(verified_links(candidates, named, documents, doc_id, text))
+        F.min("id").alias("first"), F.max("id").alias("last"), *[F.min(f"band_{b}").alias(f"band_{b}") for b in range(BANDS)]), "distinct-paragraphs")
+    candidates = T.stored(colliding(distinct), "colliding")
+    roots = components.connected(verified_links(candidates, distinct, documents, doc_id, text))
     classes = distinct.select("hash", "first", "last").join(roots, F.col("hash") == F.col("node"), "left")
     # most classes are one paragraph of one document; they leave before the next shuffle
     classes = classes.withColumn("root", F.coalesce("root", "hash"))
@@ -323,14 +422,22 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     repeated = linked.select(F.col("hash").alias("r_hash"), "root").join(spans.withColumnRenamed("root", "r_root"), F.col("root") == F.col("r_root")).select("r_hash", "root", "class_first")
 
     # equal rows are one document, hence distinct
-    found = cut.join(repeated, F.col("hash") == F.col("r_hash")).select("doc_id", "paragraph", "start", "n_words", "root", "class_first").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("paragraph", "start", "root")
-    found = found.withColumn("gap", F.when(F.col("paragraph") - F.lag("paragraph").over(by_doc) <= 1, 0).otherwise(1))
-    found = found.withColumn("passage", F.sum("gap").over(by_doc))
-    found = found.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("doc_id", "passage")))
-    found = found.filter(F.col("passage_words") >= min_words)
-    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), "paragraph")
-    first = found.groupBy("root").agg(F.min(place).alias("f")).select(F.col("root").alias("f_root"), "f")
-    return found.join(first, F.col("root") == F.col("f_root")).select(
-        "doc_id", "paragraph", "start", "n_words", "passage_words", F.col("root").alias("class_id"),
-        F.when(F.col("class_first") != NULL_ID, F.col("class_first")).alias("first_doc_id"), (place != F.col("f")).alias("removed"))
+    found = T.stored(cut.join(repeated, F.col("hash") == F.col("r_hash")).select("id", "doc", "paragraph", "start", "n_words", "root", "class_first").distinct(), "repeated")
+    more = ["before", "after", "old_before", "old_after"]
+    wide = found.join(extensions(found, documents, doc_id, text), ["id", "doc", "paragraph"], "left").fillna(0, more)
+    wide = wide.withColumns({"low": F.col("start") - F.col("before"), "high": F.col("start") + F.col("n_words") + F.col("after")})
+    in_doc = Window.partitionBy("id", "doc").orderBy("paragraph")
+    apart = F.coalesce(F.col("low") > F.lag("high").over(in_doc), F.lit(True))
+    wide = T.stored(wide.withColumn("apart", apart.cast("int")).withColumn("stretch", F.sum("apart").over(in_doc)), "stretched")
+    kept = wide.join(passages(wide, min_words), ["id", "doc", "stretch"])
+
+    place = F.struct("id", "paragraph", "doc")
+    first = kept.groupBy("root").agg(F.min(place).alias("f")).select(F.col("root").alias("f_root"), "f")
+    kept = kept.join(first, F.col("root") == F.col("f_root")).withColumn("removed", place != F.col("f"))
+    # the paragraph itself goes with the words around it that are old; without it these stay too
+    around = lambda name: F.when(F.col("removed"), F.col(name)).otherwise(0)
+    return kept.select(
+        F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "paragraph", F.col("low").alias("start"), (F.col("high") - F.col("low")).alias("n_words"),
+        "passage_words", F.col("root").alias("class_id"), F.nullif("class_first", F.lit(NULL_ID)).alias("first_doc_id"), "removed",
+        (F.col("start") - around("old_before")).alias("removed_start"),
+        F.when(F.col("removed"), F.col("n_words") + F.col("old_before") + F.col("old_after")).otherwise(0).alias("removed_words"))

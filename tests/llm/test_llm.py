@@ -228,6 +228,85 @@ def test_repeats_inside_other_lines(spark):
     assert paragraph_dedup.find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def _planted_repeats(spark, n, pairs, edit=False, seed=8):
+    """Words that find_repeats reports and removes, and the planted places, by document."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    words = lambda k: list(rng.choice(vocabulary, k))
+    texts, planted = {}, {}
+    for i in range(pairs):
+        passage = words(n)
+        edited = list(passage)
+        if edit:
+            edited[int(rng.integers(n))] = f"edit{i}"
+        for k, own in enumerate((passage, edited)):
+            before = words(int(rng.integers(5, 80)))
+            texts[2 * i + k] = before + own + words(int(rng.integers(5, 80)))
+            planted[2 * i + k] = set(range(len(before), len(before) + n))
+    reported, removed = collections.defaultdict(set), collections.defaultdict(set)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    for r in paragraph_dedup.find_repeats(df).collect():
+        reported[r["doc_id"]] |= set(range(r["start"], r["start"] + r["n_words"]))
+        if r["removed"]:
+            removed[r["doc_id"]] |= set(range(r["removed_start"], r["removed_start"] + r["removed_words"]))
+    return texts, planted, reported, removed
+
+
+def test_repeated_words_equal_brute_force(spark):
+    texts, planted, reported, removed = _planted_repeats(spark, 60, 150)
+    n, holders = paragraph_dedup.MIN_WORDS, collections.defaultdict(set)
+    for d, words in texts.items():
+        for at in range(len(words) - n + 1):
+            holders[tuple(words[at:at + n])].add(d)
+    beyond = total = 0
+    for d, words in texts.items():
+        brute = set()
+        for at in range(len(words) - n + 1):
+            if len(holders[tuple(words[at:at + n])]) > 1:
+                brute |= set(range(at, at + n))
+        # a passage is found by a whole paragraph inside it; then it is found to its last word
+        assert planted[d] <= brute
+        assert removed[d] == (reported[d] if d % 2 else set())
+        beyond, total = beyond + len((reported[d] or brute) ^ brute), total + len(brute)
+    # similar paragraphs of 0.8 or more may differ in a word at their ends
+    assert beyond <= 0.005 * total
+    assert sum(map(bool, reported.values())) >= 0.99 * len(texts)
+
+
+def test_edited_passages_are_joined(spark):
+    texts, planted, reported, _ = _planted_repeats(spark, 60, 150, edit=True)
+    assert sum(bool(reported[d]) for d in texts) >= 0.95 * len(texts)
+    assert sum(len(reported[d] & planted[d]) for d in texts) >= 0.8 * sum(map(len, planted.values()))
+    assert sum(len(reported[d] - planted[d]) for d in texts) <= 0.01 * sum(map(len, planted.values()))
+
+
+def test_words_around_a_class_stay_in_one_document(spark):
+    """Two later documents share more than the first one has: the first of the two keeps it."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    words = lambda k: list(rng.choice(vocabulary, k))
+    passage, more = words(40), words(4)
+    texts = {1: words(30) + passage + words(30), 2: words(30) + passage + more + words(30), 3: words(30) + passage + more + words(30)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    removed = collections.defaultdict(set)
+    for r in paragraph_dedup.find_repeats(df).collect():
+        if r["removed"]:
+            removed[r["doc_id"]] |= set(range(r["removed_start"], r["removed_start"] + r["removed_words"]))
+    assert removed == {2: set(range(30, 70)), 3: set(range(30, 74))}
+
+
+def test_repeats_with_null_and_equal_ids(spark):
+    rng = np.random.default_rng(10)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    text = lambda k: " ".join(rng.choice(vocabulary, k))
+    passage = text(60)
+    rows = [(None, f"{text(20)} {passage}"), (None, text(90)), (7, f"{passage} {text(20)}"), (7, f"{passage} {text(30)}"), (7, text(50))]
+    rows += [rows[2]]
+    found = paragraph_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {None, 7} and all(58 <= r["passage_words"] <= 62 for r in found)
+    assert {r["first_doc_id"] for r in found} == {7}
+
+
 def test_run_links_equal_brute_force():
     rng = np.random.default_rng(6)
     base = [np.unique(rng.integers(0, 10**6, 30)) for _ in range(4)]
