@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom import runtime
 from clickloom.llm import components
 from clickloom.llm import text as T
 
@@ -54,6 +55,8 @@ BANDS = 3
 MIN_WORDS = 16
 #: Documents up to this number are broadcast when their shingles are fetched again.
 BROADCAST_DOCS = 2_000_000
+#: So are classes up to this number when their borders are sought.
+BROADCAST_CLASSES = 200_000
 SLICE = 1 << 20
 #: Stands for a null id among ids; the largest, so that a real id is a class's first.
 NULL_ID = (1 << 63) - 1
@@ -353,16 +356,15 @@ def extensions(repeated: DataFrame, documents: DataFrame, doc_id: str, text: str
     ``id``, ``doc``, ``paragraph``, ``before`` and ``after``; of these ``old_before`` and
     ``old_after`` are in a document with a smaller id.
     """
-    in_doc = Window.partitionBy("id", "doc").orderBy("paragraph")
-    ends = F.array(
-        F.struct(F.lit(-1).alias("side"), F.coalesce(F.col("paragraph") - F.lag("paragraph").over(in_doc) != 1, F.col("paragraph") > 0).alias("open")),
-        F.struct(F.lit(1).alias("side"), F.coalesce(F.lead("paragraph").over(in_doc) - F.col("paragraph") != 1, F.lit(True)).alias("open")))
-    border = repeated.withColumn("ends", ends).select("id", "doc", "paragraph", "root", F.inline("ends"))
     # where one place of a class has a border, its other places are compared too, though more follows them
-    mixed = border.groupBy("root", "side").agg(F.max(F.col("open").cast("int")).alias("some"), F.min(F.col("open").cast("int")).alias("every"))
-    mixed = mixed.filter("some = 1 AND every = 0").select(F.col("root").alias("m_root"), F.col("side").alias("m_side"))
-    border = border.join(mixed, (F.col("root") == F.col("m_root")) & (F.col("side") == F.col("m_side")), "left")
-    border = border.filter(F.col("open") | F.col("m_root").isNotNull())
+    sides = ("open_before", "open_after")
+    mixed = repeated.groupBy(F.col("root").alias("m_root")).agg(
+        *[(F.max(F.col(c).cast("int")) != F.min(F.col(c).cast("int"))).alias(f"m_{c}") for c in sides]).filter(" OR ".join(f"m_{c}" for c in sides))
+    mixed = T.broadcast_within(T.stored(mixed, "mixed-borders"), BROADCAST_CLASSES)
+    border = repeated.join(mixed, F.col("root") == F.col("m_root"), "left")
+    border = border.withColumns({c: F.col(c) | F.coalesce(f"m_{c}", F.lit(False)) for c in sides}).filter("open_before OR open_after")
+    ends = F.filter(F.array(F.when(F.col("open_before"), F.lit(-1)), F.when(F.col("open_after"), F.lit(1))), lambda side: side.isNotNull())
+    border = border.select("id", "doc", "paragraph", "root", F.explode(ends).alias("side"))
     # no more than the paragraphs of one text
     by_doc = T.stored(border.groupBy("id", "doc").agg(F.collect_list(F.struct("paragraph", "side", "root")).alias("borders")), "borders")
     wanted = T.broadcast_within(by_doc.select("id", "doc"), BROADCAST_DOCS)
@@ -408,10 +410,10 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     id that holds the class), ``removed`` (it is not the class's first place), and
     ``removed_start`` and ``removed_words`` (the words that an earlier place has).
     """
-    cut = T.stored(cut_paragraphs(documents, doc_id, text), "paragraphs")
-    distinct = T.stored(cut.groupBy("hash").agg(
+    cut, cut_path = T.stored_at(cut_paragraphs(documents, doc_id, text), "paragraphs")
+    distinct, distinct_path = T.stored_at(cut.groupBy("hash").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), *[F.min(f"band_{b}").alias(f"band_{b}") for b in range(BANDS)]), "distinct-paragraphs")
-    candidates = T.stored(colliding(distinct), "colliding")
+    candidates, candidates_path = T.stored_at(colliding(distinct), "colliding")
     roots = components.connected(verified_links(candidates, distinct, documents, doc_id, text))
     classes = distinct.select("hash", "first", "last").join(roots, F.col("hash") == F.col("node"), "left")
     # most classes are one paragraph of one document; they leave before the next shuffle
@@ -421,12 +423,18 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     spans = linked.groupBy("root").agg(F.min("first").alias("class_first"), F.max("last").alias("class_last")).filter("class_first <> class_last")
     repeated = linked.select(F.col("hash").alias("r_hash"), "root").join(spans.withColumnRenamed("root", "r_root"), F.col("root") == F.col("r_root")).select("r_hash", "root", "class_first")
 
-    # equal rows are one document, hence distinct
-    found = T.stored(cut.join(repeated, F.col("hash") == F.col("r_hash")).select("id", "doc", "paragraph", "start", "n_words", "root", "class_first").distinct(), "repeated")
+    # equal rows are one document, so a paragraph counts once; one exchange serves this and the neighbours
+    in_doc = Window.partitionBy("id", "doc").orderBy("paragraph")
+    found = cut.join(repeated, F.col("hash") == F.col("r_hash")).select("id", "doc", "paragraph", "start", "n_words", "root", "class_first")
+    found = found.repartition("id", "doc").dropDuplicates(["id", "doc", "paragraph"]).withColumns({
+        "open_before": F.coalesce(F.col("paragraph") - F.lag("paragraph").over(in_doc) != 1, F.col("paragraph") > 0),
+        "open_after": F.coalesce(F.lead("paragraph").over(in_doc) - F.col("paragraph") != 1, F.lit(True))})
+    found = T.stored(found, "repeated")
+    for path in (cut_path, distinct_path, candidates_path):
+        runtime.remove(documents.sparkSession, path)
     more = ["before", "after", "old_before", "old_after"]
     wide = found.join(extensions(found, documents, doc_id, text), ["id", "doc", "paragraph"], "left").fillna(0, more)
     wide = wide.withColumns({"low": F.col("start") - F.col("before"), "high": F.col("start") + F.col("n_words") + F.col("after")})
-    in_doc = Window.partitionBy("id", "doc").orderBy("paragraph")
     apart = F.coalesce(F.col("low") > F.lag("high").over(in_doc), F.lit(True))
     wide = T.stored(wide.withColumn("apart", apart.cast("int")).withColumn("stretch", F.sum("apart").over(in_doc)), "stretched")
     kept = wide.join(passages(wide, min_words), ["id", "doc", "stretch"])
