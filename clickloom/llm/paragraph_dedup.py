@@ -7,8 +7,8 @@ first and last few.
 
 1. Every paragraph gets its hash and one MinHash per band over its five-word shingles.
    Equal paragraphs are merged.
-2. One row per distinct paragraph and band is sorted by MinHash; runs of equal values
-   are candidates. A band of one row finds a pair of similarity 0.8 with probability
+2. One row per distinct paragraph and band is sorted by MinHash; members of a run of equal
+   values are candidates, but for those whose sketches rule out every other member. A band of one row finds a pair of similarity 0.8 with probability
    0.8, three bands with 0.992.
 3. Candidates of a run are verified by the exact Jaccard similarity of their shingle
    sets, and linked. A run is searched from pivots until all but its largest set have
@@ -57,6 +57,10 @@ MIN_WORDS = 16
 BROADCAST_DOCS = 2_000_000
 #: So are classes up to this number when their borders are sought.
 BROADCAST_CLASSES = 200_000
+#: Borders beyond this number with the same first word outside are not brought together.
+BUSY_BORDERS = 10_000
+#: In runs up to this number the sketches of all pairs are compared.
+PAIRED_RUN = 128
 SLICE = 1 << 20
 #: Stands for a null id among ids; the largest, so that a real id is a class's first.
 NULL_ID = (1 << 63) - 1
@@ -171,12 +175,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mixed = _mix(grams ^ BAND_KEYS[band])
                     mixed[grams == LAST] = LAST
                     bands.append((np.minimum.reduceat(mixed, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                some = grams != LAST
+                bits = np.where(some, np.uint32(256) << ((grams >> np.uint64(32)) * np.uint64(24) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+                sketch = np.bitwise_or.reduceat(bits, starts) | np.minimum(np.add.reduceat(some.astype(np.uint32), starts), 255).astype(np.uint32)
                 columns = [
                     ids.take(pa.array(at + doc)), docs.take(pa.array(at + doc)), pa.array((np.arange(len(doc)) - np.repeat(first, counts)).astype(np.int32)),
                     pa.array((starts - np.repeat(starts[first], counts)).astype(np.int32)), pa.array(np.diff(np.append(starts, len(words))).astype(np.int32)),
-                    pa.array(whole(words, starts).view(np.int64)), *[pa.array(b) for b in bands],
+                    pa.array(whole(words, starts).view(np.int64)), *[pa.array(b) for b in bands], pa.array(sketch.view(np.int32)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "paragraph", "start", "n_words", "hash", *[f"band_{b}" for b in range(BANDS)]])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "paragraph", "start", "n_words", "hash", *[f"band_{b}" for b in range(BANDS)], "sketch"])
 
 
 def keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -186,26 +193,31 @@ def keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def cut_paragraphs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every paragraph's ``id``, ``doc``, number, first word, words, hash and MinHash values."""
-    kind = "id long, doc long, paragraph int, start int, n_words int, hash long, "
-    return keyed(documents, doc_id, text).mapInArrow(_cut, kind + ", ".join(f"band_{b} int" for b in range(BANDS)))
+    """Every paragraph's ``id``, ``doc``, number, first word, words, hash, MinHash values and ``sketch``.
+
+    A sketch has 24 bits, of which every shingle sets one by its hash, and below these the
+    number of shingles, or 255.
+    """
+    kind = "id long, doc long, paragraph int, start int, n_words int, hash long, " + "".join(f"band_{b} int, " for b in range(BANDS))
+    return keyed(documents, doc_id, text).mapInArrow(_cut, kind + "sketch int")
 
 
 def colliding(distinct: DataFrame) -> DataFrame:
-    """``run`` and ``hash`` of all distinct paragraphs that share a MinHash value with another one.
+    """``run`` and ``hash`` of the distinct paragraphs that share a MinHash value with one they may be similar to.
 
     Runs of the same members in several bands are one run.
     """
-    values = F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"band_{b}").alias("value")) for b in range(BANDS)])
-    rows = distinct.select("hash", F.explode(values).alias("v")).select("v.band", "v.value", "hash")
-    rows = rows.repartition("band", "value").sortWithinPartitions("band", "value")
+    # band and value in one number, which is sorted by its bits
+    values = F.array(*[F.lit(b << 32) + F.col(f"band_{b}") for b in range(BANDS)])
+    rows = distinct.select(F.explode(values).alias("value"), "hash", "sketch")
+    rows = rows.repartition("value").sortWithinPartitions("value")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             new = [batch.column(i).to_numpy() for i in range(3)]
             held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
-            cuts = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+            cuts = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
             if len(cuts):
                 yield _shared(*[h[:cuts[-1]] for h in held])
                 held = [h[cuts[-1]:] for h in held]
@@ -215,13 +227,36 @@ def colliding(distinct: DataFrame) -> DataFrame:
     return rows.mapInArrow(runs, "run long, hash long").distinct()
 
 
-def _shared(band: np.ndarray, value: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
-    starts = np.concatenate([[0], np.flatnonzero((band[1:] != band[:-1]) | (value[1:] != value[:-1])) + 1]) if len(band) else np.zeros(0, dtype=int)
-    lengths = np.diff(np.append(starts, len(band)))
+def _shared(value: np.ndarray, members: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+    change = np.concatenate([[True], value[1:] != value[:-1]])[:len(value)]
+    run = np.cumsum(change) - 1
+    keep = _paired(np.bincount(run, minlength=0), sketches.view(np.uint32))
+    run, members = run[keep], members[keep]
+    starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])[:len(run)])
     with np.errstate(over="ignore"):
         name = np.add.reduceat(_mix(members.view(np.uint64)), starts) if len(starts) else np.zeros(0, dtype=np.uint64)
-    keep = np.repeat(lengths > 1, lengths)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, lengths)[keep].view(np.int64)), pa.array(members[keep])], ["run", "hash"])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, np.diff(np.append(starts, len(run)))).view(np.int64)), pa.array(members)], ["run", "hash"])
+
+
+def _paired(lengths: np.ndarray, sketches: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Which members of some runs may be similar to another member of theirs.
+
+    Sets of a and b shingles with this similarity differ in (1 - s) / (1 + s) * (a + b) at
+    most, and every bit in which two sketches differ is a shingle that one of them lacks.
+    So no similar pair is lost; 255 shingles and more allow all bits to differ. Runs of more than ``PAIRED_RUN`` are kept whole.
+    """
+    keep = np.repeat(lengths > PAIRED_RUN, lengths)
+    size, bits = (sketches & np.uint32(255)).astype(np.float64), sketches >> np.uint32(8)
+    after = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(keep))
+    at = np.flatnonzero(~keep)
+    for lag in range(1, PAIRED_RUN):
+        at = at[after[at] > lag]
+        if not len(at):
+            break
+        apart = np.bitwise_count(bits[at] ^ bits[at + lag])
+        near = at[apart <= (1 - similarity) / (1 + similarity) * (size[at] + size[at + lag]) + 1e-9]
+        keep[near] = keep[near + lag] = True
+    return keep
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,13 +405,37 @@ def extensions(repeated: DataFrame, documents: DataFrame, doc_id: str, text: str
     wanted = T.broadcast_within(by_doc.select("id", "doc"), BROADCAST_DOCS)
     texts = keyed(documents, doc_id, text).join(wanted, ["id", "doc"], "left_semi").join(by_doc, ["id", "doc"])
     found = texts.select("id", "doc", "text", "borders").mapInArrow(_borders, "id long, doc long, paragraph int, side int, keys array<long>")
-    found = T.stored(found, "prefixes")
-    one = found.select("id", "doc", "paragraph", "side", F.posexplode("keys").alias("at", "key"))
-    shared = one.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first")
-    longest = lambda side, *more: F.max(F.when((F.col("side") == side) & F.lit(True if not more else more[0]), F.col("at") + 1).otherwise(0))
-    old = F.col("first") < F.col("id")
-    return one.join(shared, "key").groupBy("id", "doc", "paragraph").agg(
-        longest(-1).alias("before"), longest(1).alias("after"), longest(-1, old).alias("old_before"), longest(1, old).alias("old_after"))
+    # a border's row stands for its place while the prefixes are compared
+    found = T.stored(found.withColumn("border", F.monotonically_increasing_id()), "prefixes")
+    longest = _longest_shared(found.select("border", "id", "keys"))
+    ends = found.select("border", "id", "doc", "paragraph", "side").join(longest, "border")
+    on = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name))).alias
+    return ends.groupBy("id", "doc", "paragraph").agg(
+        on(-1, "n")("before"), on(1, "n")("after"), on(-1, "old")("old_before"), on(1, "old")("old_after")).fillna(0)
+
+
+def _longest_shared(borders: DataFrame) -> DataFrame:
+    """``border``, ``n`` (words of its longest prefix in two documents) and ``old`` (with a smaller id), where there is one.
+
+    What has a prefix in common has the first word in common, so borders are dealt out by
+    that, each with all its prefixes. Where very many have it, every prefix goes by itself.
+    """
+    rows = borders.filter(F.size("keys") > 0).withColumn("head", F.col("keys")[0])
+    busy = F.broadcast(T.stored(rows.groupBy("head").count().filter(F.col("count") > BUSY_BORDERS).select("head"), "busy-borders"))
+
+    def longest(one: DataFrame) -> DataFrame:
+        n = F.col("at") + 1
+        return one.filter("first <> last").groupBy("border").agg(F.max(n).alias("n"), F.max(F.when(F.col("first") < F.col("id"), n)).alias("old"))
+
+    def prefixes(of: DataFrame) -> DataFrame:
+        return of.select("head", "border", "id", F.posexplode("keys").alias("at", "key"))
+
+    same = Window.partitionBy("head", "key")
+    dealt = prefixes(rows.join(busy, "head", "left_anti").repartition("head"))
+    few = longest(dealt.withColumns({"first": F.min("id").over(same), "last": F.max("id").over(same)}))
+    hot = prefixes(rows.join(busy, "head", "left_semi"))
+    many = longest(hot.join(hot.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")), "key"))
+    return few.unionByName(many)
 
 
 def passages(stretched: DataFrame, min_words: int) -> DataFrame:
@@ -412,7 +471,7 @@ def find_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     cut, cut_path = T.stored_at(cut_paragraphs(documents, doc_id, text), "paragraphs")
     distinct, distinct_path = T.stored_at(cut.groupBy("hash").agg(
-        F.min("id").alias("first"), F.max("id").alias("last"), *[F.min(f"band_{b}").alias(f"band_{b}") for b in range(BANDS)]), "distinct-paragraphs")
+        F.min("id").alias("first"), F.max("id").alias("last"), *[F.min(f"band_{b}").alias(f"band_{b}") for b in range(BANDS)], F.min("sketch").alias("sketch")), "distinct-paragraphs")
     candidates, candidates_path = T.stored_at(colliding(distinct), "colliding")
     roots = components.connected(verified_links(candidates, distinct, documents, doc_id, text))
     classes = distinct.select("hash", "first", "last").join(roots, F.col("hash") == F.col("node"), "left")
