@@ -23,6 +23,8 @@ TIMEOUT = 1800
 GAP_SLICE = 60
 #: Parts of a fixed-age timeout; one user's distinct times of a part meet in a task.
 AGE_PARTS = 64
+#: Events and slices of a stretch that one task walks through; longer ones go by pointers.
+WALKED_EVENTS, WALKED_SLICES = 10_000, 1_000
 
 
 def sessionize(
@@ -121,14 +123,20 @@ def _by_age(rows: DataFrame, key: str, timeout: int, parts: int = AGE_PARTS) ->
     sliced = rows.withColumn("_slice", _slice_of("_us", timeout))
     # written once: the summaries are read by every step below
     slices, _ = _written(_islands(sliced, key, timeout))
-    starts = slices.where("_slice = _island_slice").select(key, F.col("_island").alias("_at"))
-    widest = slices.agg(F.max(F.when(F.col("_long"), F.col("_slices")))).first()[0]
+    walked = F.col("_long") & (F.col("_events") <= WALKED_EVENTS) & (F.col("_slices") <= WALKED_SLICES)
+    starts = slices.where("_slice = _island_slice").where(~walked).select(key, F.col("_island").alias("_at"))
+    some, widest = slices.agg(F.max(walked), F.max(F.when(F.col("_long") & ~walked, F.col("_slices")))).first()
+
+    def times_of(chosen: Column) -> DataFrame:
+        stretches = slices.where(chosen).select(key, "_slice", "_island")
+        return sliced.select(key, "_slice", "_us").join(stretches, [key, "_slice"]).select(key, "_island", "_us")
+
     # a stretch that reaches the timeout lies in two slices at least
     if widest:
-        stretches = slices.where("_long").select(key, "_slice", "_island")
-        times = sliced.select(key, "_slice", "_us").join(stretches, [key, "_slice"])
-        pointers = _next_starts(times.select(key, "_island", "_us").distinct(), key, timeout, parts)
+        pointers = _next_starts(times_of(F.col("_long") & ~walked).distinct(), key, timeout, parts)
         starts = _reached(starts, pointers, key, math.ceil(math.log2(widest)))
+    if some:
+        starts = starts.unionByName(_walked_starts(times_of(walked), key, timeout))
 
     along = W.Window.partitionBy(key).orderBy("_slice")
     carried = (
@@ -146,6 +154,17 @@ def _by_age(rows: DataFrame, key: str, timeout: int, parts: int = AGE_PARTS) ->
     )
 
 
+def _walked_starts(times: DataFrame, key: str, timeout: int) -> DataFrame:
+    """All starts of stretches whose times fit an array, by one walk through each."""
+
+    def walk(found: Column, us: Column) -> Column:
+        return F.when((F.size(found) > 0) & (us < F.element_at(found, -1) + timeout), found).otherwise(F.concat(found, F.array(us)))
+
+    none = F.array().cast("array<bigint>")
+    along = F.sort_array(F.collect_set("_us"))
+    return times.groupBy(key, "_island").agg(along.alias("_times")).select(key, F.explode(F.aggregate("_times", none, walk)).alias("_at"))
+
+
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     """The frame as a table in the shared folder, and its path."""
     path = runtime.passing_dir(df.sparkSession, "sessionize")
@@ -160,7 +179,7 @@ def _islands(sliced: DataFrame, key: str, timeout: int) -> DataFrame:
     independent. One shorter than the timeout is a single session.
     """
     along = W.Window.partitionBy(key).orderBy("_slice")
-    slices = sliced.groupBy(key, "_slice").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
+    slices = sliced.groupBy(key, "_slice").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("_n"))
     pause = F.col("_first") - F.lag("_last").over(along) >= timeout
     island = W.Window.partitionBy(key, "_island")
     return (
@@ -168,8 +187,9 @@ def _islands(sliced: DataFrame, key: str, timeout: int) -> DataFrame:
         .withColumn("_island", F.last("_open_at", ignorenulls=True).over(_up_to_here(along)))
         .withColumn("_long", F.max("_last").over(island) - F.col("_island") >= timeout)
         .withColumn("_slices", F.count("*").over(island))
+        .withColumn("_events", F.sum("_n").over(island))
         .withColumn("_island_slice", _slice_of("_island", timeout))
-        .drop("_open_at", "_first", "_last")
+        .drop("_open_at", "_first", "_last", "_n")
     )
 
 
