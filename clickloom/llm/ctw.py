@@ -26,17 +26,16 @@ scored each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm import text as T
+from clickloom.llm.paragraph_dedup import word_hashes
 
 DEPTH = 5
 FOLDS, HELD_OUT = 5, 1
@@ -59,9 +58,35 @@ def normal_text(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(T.ASCII_LOWER).split())
 
 
-def word_key(word: bytes) -> int:
-    value = xxhash.xxh64_intdigest(word)
-    return value - (1 << 64) if value >> 63 else value
+def word_keys(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all words of some normal texts, and the text that each belongs to, some ``PIECE`` bytes at a time."""
+    group, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            # long texts are cut between words
+            end = text.find(b" ", at + PIECE) if len(text) - at > PIECE else -1
+            part = text[at:end if end >= 0 else len(text)]
+            if group and size + len(part) > PIECE:
+                yield _keys(group, owners)
+                group, owners, size = [], [], 0
+            group.append(part)
+            owners.append(i)
+            size += len(part)
+            at += len(part) + 1
+    if group:
+        yield _keys(group, owners)
+
+
+def _keys(parts: list[bytes], owners: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, owner = word_hashes(parts)
+    return hashes.view(np.int64), np.array(owners)[owner]
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of some sorted ones and their numbers."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+    return keys[starts], np.diff(np.append(starts, len(keys)))
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,7 +138,8 @@ def count(documents: DataFrame) -> DataFrame:
     """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held, words, docs, size = [], [], 0, Counter(), 0, 0
+        keys, counts, held, docs, size = [], [], 0, 0, 0
+        words, word_counts, held_words = [], [], 0
 
         def packed(kind, key, n):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(np.asarray(key, dtype=np.int64)), pa.array(np.asarray(n, dtype=np.int64))], ["kind", "key", "n"])
@@ -123,11 +149,13 @@ def count(documents: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2048)
                 train = part.column(0).to_numpy(zero_copy_only=False)
                 texts = [normal_text(v) for v in part.column(1).to_pylist()]
-                for text, known in zip(texts, train):
-                    size += len(text)
-                    if known:
-                        docs += 1
-                        words.update(text.split())
+                size += sum(map(len, texts))
+                docs += int(np.count_nonzero(train))
+                for hashes, owner in word_keys(texts):
+                    some = _counted(np.sort(hashes[train[owner]]))
+                    words.append(some[0])
+                    word_counts.append(some[1])
+                    held_words += len(some[0])
                 for (runs, owner), owners in pieces(texts):
                     flags = train[owners].astype(np.uint64)
                     tagged = runs << np.uint64(1) | flags[owner.astype(np.int64)]
@@ -143,12 +171,16 @@ def count(documents: DataFrame) -> DataFrame:
                     if held > HELD_KEYS:
                         yield packed(RUN, *merged)
                         keys, counts, held = [], [], 0
-                if len(words) > HELD_KEYS // 2:
-                    yield packed(WORD, [word_key(w) for w in words], list(words.values()))
-                    words = Counter()
+                if held_words > HELD_KEYS:
+                    merged = _merged(words, word_counts)
+                    words, word_counts, held_words = [merged[0]], [merged[1]], len(merged[0])
+                    if held_words > HELD_KEYS // 2:
+                        yield packed(WORD, *merged)
+                        words, word_counts, held_words = [], [], 0
         if keys:
             yield packed(RUN, *_merged(keys, counts))
-        yield packed(WORD, [word_key(w) for w in words], list(words.values()))
+        if words:
+            yield packed(WORD, *_merged(words, word_counts))
         yield packed(DOCS, [0], [docs])
         yield packed(BYTES, [0], [size])
 
@@ -313,14 +345,14 @@ def _wanted(table: pa.Table) -> pa.Table:
     """Distinct byte runs and words of a chunk."""
     seen, words, held = [], [], 0
     for texts in _texts(table):
-        words.append(_word_keys({w for text in texts for w in text.split()}))
+        words += [_distinct(hashes) for hashes, _ in word_keys(texts)]
         for (runs, _), _ in pieces(texts):
             seen.append(_distinct(runs))
             held += len(seen[-1])
             if held > 2 * HELD_KEYS:
                 seen = [_distinct(np.concatenate(seen))]
                 held = len(seen[0])
-    runs, keys = _distinct(np.concatenate(seen)).astype(np.int64), _distinct(np.concatenate(words))
+    runs, keys = _distinct(np.concatenate(seen)).astype(np.int64), _distinct(np.concatenate([np.zeros(0, dtype=np.int64), *words]))
     n = len(runs) + len(keys)
     kinds = np.repeat(np.array([RUN, WORD], dtype=np.int32), [len(runs), len(keys)])
     del seen, words
@@ -329,15 +361,16 @@ def _wanted(table: pa.Table) -> pa.Table:
     return pa.table([chunk, pa.array(kinds), pa.array(np.concatenate([runs, keys]))], ["chunk", "kind", "key"])
 
 
-def _word_keys(words: set[bytes]) -> np.ndarray:
-    return np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
-
-
 def _distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
+def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def _texts(table: pa.Table) -> Iterator[list[bytes]]:
     for at in range(0, table.num_rows, 512):
         yield [normal_text(v) for v in table.column("text").slice(at, 512).to_pylist()]
@@ -347,28 +380,32 @@ def _scorer(base: tuple[int, int, int]):
     train_docs, train_tokens, distinct = base
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
 
+    def base_log(c):
+        return np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
+
     def score(table: pa.Table, found: pa.Table) -> pa.Table:
         kind, key, value = (found.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.lexsort([key, kind])
-        kind, key, value = kind[order], key[order], value[order]
-        first = int(np.searchsorted(kind, WORD))
-        del found, order
+        (runs, log_p), (known, known_n) = (_sorted(key[kind == k], value[kind == k]) for k in (RUN, WORD))
+        runs = runs.astype(np.uint64)
+        del found, kind, key, value
         pa.default_memory_pool().release_unused()
-        runs, log_p, known, known_n = key[:first].astype(np.uint64), value[:first], key[first:], value[first:]
         n = table.num_rows
-        tokens, hits, sizes = (np.zeros(n, dtype=np.int64) for _ in range(3))
-        base_score, total = np.zeros(n), np.zeros(n)
+        # the end of a text is a token, seen once in each training document
+        tokens, hits, sizes = np.ones(n, dtype=np.int64), np.full(n, int(train_docs > 0)), np.zeros(n, dtype=np.int64)
+        base_score, total = np.full(n, base_log(float(train_docs))), np.zeros(n)
         at = 0
         for texts in _texts(table):
-            split = [text.split() for text in texts]
-            here = {w for words in split for w in words}
-            keys = _word_keys(here)
-            place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-            seen = dict(zip(here, np.where(known[place] == keys, known_n[place], 0.0).tolist())) if len(known) else dict.fromkeys(here, 0.0)
-            for i, (text, words) in enumerate(zip(texts, split)):
-                c = np.array([seen[w] for w in words] + [float(train_docs)])
-                tokens[at + i], hits[at + i], sizes[at + i] = len(c), np.count_nonzero(c), len(text)
-                base_score[at + i] = np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1))).sum()
+            here = slice(at, at + len(texts))
+            for hashes, owner in word_keys(texts):
+                order = np.argsort(hashes)
+                one, times = _counted(hashes[order])
+                place = np.minimum(np.searchsorted(known, one), max(len(known) - 1, 0))
+                c = np.where(known[place] == one, known_n[place], 0.0) if len(known) else np.zeros(len(one))
+                each = lambda of: np.bincount(owner[order], weights=np.repeat(of, times), minlength=len(texts))
+                tokens[here] += each(np.ones(len(one))).astype(np.int64)
+                hits[here] += each(c > 0).astype(np.int64)
+                base_score[here] += each(base_log(c))
+            sizes[here] = [len(text) for text in texts]
             for (own, owner), owners in pieces(texts):
                 tagged = own << np.uint64(16) | owner
                 tagged.sort()
